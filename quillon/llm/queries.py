@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, langid, mixing, packing, simhash
+from . import compression, langid, linededup, mixing, packing, simhash
 from .common import remainder
 
 
@@ -28,6 +28,12 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(table(spark, sf_dir, "documents"))
+    matches = F.transform("matches", lambda m: F.concat_ws(":", m["n"], m["of_doc"], m["of_n"]))
+    return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.length("text").alias("n_chars_kept"), F.md5("text").alias("text_md5"), F.array_join(matches, " ").alias("matches"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -36,5 +42,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {"op10_mixing": op10_mixing, "op1_compression": op1_compression, "op3_langid": op3_langid, "op9_packing": op9_packing, "op2_simhash": op2_simhash}
+QUERIES = {"op4_linededup": op4_linededup, "op10_mixing": op10_mixing, "op1_compression": op1_compression, "op3_langid": op3_langid, "op9_packing": op9_packing, "op2_simhash": op2_simhash}
 ORACLE_SQL: dict[str, str] = {}
