@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, langid, linededup, mixing, packing, simhash
+from . import compression, langid, linededup, mixing, packing, simhash, warc
 from .common import remainder
 
 
@@ -34,6 +34,26 @@ def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.length("text").alias("n_chars_kept"), F.md5("text").alias("text_md5"), F.array_join(matches, " ").alias("matches"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(table(spark, sf_dir, "pages"))
+
+
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, lower(coalesce(url, '')) AS u FROM pages),
+h AS (SELECT page_id, u, strlen(html) AS payload_bytes, sha1(html) AS hex FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first,
+        regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*://)?(?:www\.)?([^/?#]*)([^#]*)', 1) AS host,
+        regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*://)?(?:www\.)?([^/?#]*)([^#]*)', 2) AS rest FROM h)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(hex, 1 + 10 * CAST(i // 8 AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS INT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to,
+  array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || rest AS urlkey,
+  strftime(make_timestamp((1577836800 + page_id % 315360000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured
+FROM f"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -42,5 +62,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {"op4_linededup": op4_linededup, "op10_mixing": op10_mixing, "op1_compression": op1_compression, "op3_langid": op3_langid, "op9_packing": op9_packing, "op2_simhash": op2_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op6_warc": op6_warc, "op4_linededup": op4_linededup, "op10_mixing": op10_mixing, "op1_compression": op1_compression, "op3_langid": op3_langid, "op9_packing": op9_packing, "op2_simhash": op2_simhash}
+ORACLE_SQL = {"op6_warc": OP6_SQL}
