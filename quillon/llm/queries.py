@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, langid, linededup, mixing, packing, simhash, warc
+from . import compression, langid, linededup, lm, mixing, packing, simhash, warc
 from .common import remainder
 
 
@@ -54,6 +54,10 @@ SELECT page_id, payload_bytes,
 FROM f"""
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -62,5 +66,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {"op6_warc": op6_warc, "op4_linededup": op4_linededup, "op10_mixing": op10_mixing, "op1_compression": op1_compression, "op3_langid": op3_langid, "op9_packing": op9_packing, "op2_simhash": op2_simhash}
+QUERIES = {"op7_lm": op7_lm, "op6_warc": op6_warc, "op4_linededup": op4_linededup, "op10_mixing": op10_mixing, "op1_compression": op1_compression, "op3_langid": op3_langid, "op9_packing": op9_packing, "op2_simhash": op2_simhash}
 ORACLE_SQL = {"op6_warc": OP6_SQL}
