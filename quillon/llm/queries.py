@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, langid, licenses, linededup, lm, mixing, packing, simhash, warc
+from . import compression, iblt, langid, licenses, linededup, lm, mixing, packing, simhash, warc
 from .common import remainder
 
 
@@ -62,6 +62,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -70,5 +74,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {"op8_licenses": op8_licenses, "op7_lm": op7_lm, "op6_warc": op6_warc, "op4_linededup": op4_linededup, "op10_mixing": op10_mixing, "op1_compression": op1_compression, "op3_langid": op3_langid, "op9_packing": op9_packing, "op2_simhash": op2_simhash}
+QUERIES = {"op5_iblt": op5_iblt, "op8_licenses": op8_licenses, "op7_lm": op7_lm, "op6_warc": op6_warc, "op4_linededup": op4_linededup, "op10_mixing": op10_mixing, "op1_compression": op1_compression, "op3_langid": op3_langid, "op9_packing": op9_packing, "op2_simhash": op2_simhash}
 ORACLE_SQL = {"op8_licenses": licenses.oracle_sql(), "op6_warc": OP6_SQL}
