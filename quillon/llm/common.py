@@ -54,14 +54,16 @@ def _clean() -> None:
             return
 
 
-def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]], schema: str) -> DataFrame:
-    """mapInArrow with Python lists: fn takes columns (strings as UTF-8 bytes) and returns columns.
-
-    Batches are bounded in rows and bytes, so that long texts can't fill a worker.
-    """
-    spark = df.sparkSession
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches in rows and bytes, so that long texts can't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, object]], schema: str) -> DataFrame:
+    """mapInArrow with Python lists: fn takes columns (strings as UTF-8 bytes) and returns columns."""
+    spark = df.sparkSession
+    bounded_batches(spark)
     out = pa.schema([pa.field(f.name, _arrow(f.dataType.simpleString())) for f in spark.createDataFrame([], schema).schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,13 +10,15 @@ the shortest code wins.  As statistics are frozen, every (context, byte) has a f
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, remainder
+from .common import bounded_batches, map_rows, remainder
 
 ORDER = 4
 #: Labelled rows per language and languages that the classifier is fitted on, at most; taken by a hash of their id.
@@ -24,6 +26,8 @@ SAMPLE_ROWS, MAX_LANGUAGES = 400, 64
 #: Cells (contexts x byte classes x languages) of the table that is broadcast: 48 MB of float32 at most.
 MAX_CELLS = 12_000_000
 UNKNOWN = "und"
+#: A text whose best language has less than this share of the likelihoods is rejected in the pipeline.
+LEAST_SCORE = 0.5
 _PAD = b"\n" * ORDER
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -181,6 +185,19 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, max_cells: int = MAX_CELLS)
     return fit(languages, np.searchsorted(languages, seen["lang"].to_numpy()), seen["gram"].to_numpy(), seen["n"].to_numpy().astype(float), max_cells)
 
 
+def _judge(m: Model | None, texts: list[bytes | None]) -> tuple[list, list, list]:
+    """lang_pred, score and bits_per_byte of each text."""
+    pred, score, per_byte = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
+    rows = [i for i, t in enumerate(texts) if m is not None and t is not None and has_letter(t)]
+    known = [normalised(texts[i]) for i in rows]
+    for i, t, bits in zip(rows, known, m.lengths(known) if rows else (), strict=True):
+        best = int(bits.argmin())
+        pred[i] = m.languages[best]
+        score[i] = float(1 / np.exp2(-np.minimum(bits - bits[best], 1000)).sum())
+        per_byte[i] = float(bits[best] / len(t))
+    return pred, score, per_byte
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte of every row; whole texts are scored, and only they.
 
@@ -190,16 +207,21 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     box = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(cols: dict) -> dict:
-        m = box.value
-        n = len(cols["doc_id"])
-        out = {"doc_id": cols["doc_id"], "lang_pred": [UNKNOWN] * n, "score": [0.0] * n, "bits_per_byte": [None] * n}
-        rows = [i for i, t in enumerate(cols["text"]) if m is not None and t is not None and has_letter(t)]
-        texts = [normalised(cols["text"][i]) for i in rows]
-        for i, t, bits in zip(rows, texts, m.lengths(texts) if rows else (), strict=True):
-            best = int(bits.argmin())
-            out["lang_pred"][i] = m.languages[best]
-            out["score"][i] = float(1 / np.exp2(-np.minimum(bits - bits[best], 1000)).sum())
-            out["bits_per_byte"][i] = float(bits[best] / len(t))
-        return out
+        pred, score, per_byte = _judge(box.value, cols["text"])
+        return {"doc_id": cols["doc_id"], "lang_pred": pred, "score": score, "bits_per_byte": per_byte}
 
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, lang_pred string, score double, bits_per_byte double")
+
+
+def accepted(docs: DataFrame, model: Model | None, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a language by a score of `least` or more."""
+    box, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [None if t is None else t.encode() for t in b.column(at).to_pylist()]
+            pred, score, _ = _judge(box.value, texts)
+            yield b.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
