@@ -1,6 +1,6 @@
 """Document fingerprints by invertible Bloom lookup sketches of passage digests.
 
-A text's passages (lines, and sentences of a line) are hashed to 64 bits.  A sketch has blocks of three rows of eight cells;
+A text's passages (lines, and sentences of a line) are hashed to 64 bits.  A sketch has blocks of three rows of sixteen cells;
 a digest goes to one block and there to one cell of each row, which keeps the number, the XOR of the digests and the XOR of
 their check values.  The difference of two sketches holds only what differs; cells with a single digest give it away, it is
 taken out of its other cells, and so on.  If that stops early, both texts are sketched again with more blocks.  The
@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS, WIDTH, ROUNDS = 3, 8, 12
+ROWS, WIDTH, ROUNDS = 3, 16, 12
 #: Digests of both texts for each block of a retry; a further one has four times the blocks.
-PER_BLOCK = 8
+PER_BLOCK = 16
 #: Documents of a range, about, within which each is brought together with the next one; and ranges at most.
 RANGE_ROWS, MAX_RANGES = 256, 1 << 14
 _PASSAGE = r"\n|(?<=[.!?]) +"
@@ -33,17 +33,23 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(7)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _place(key: Column, cell: Column) -> Column:
-    """Whether a digest belongs to a cell (0 to 23) of its block."""
-    return F.call_function("shiftrightunsigned", key, F.lit(40) + F.floor(cell / WIDTH).cast("int") * 3).bitwiseAND(F.lit(WIDTH - 1)) == cell % WIDTH
+def _cells() -> Column:
+    """Bits of a digest that each cell of a block looks at, and their value there."""
+    shifts = [(40 + 4 * row, value) for row in range(ROWS) for value in range(WIDTH)]
+    return F.array(*[F.struct(F.lit((WIDTH - 1) << at).alias("m"), F.lit(v << at).alias("v")) for at, v in shifts])
+
+
+def _in(key: Column, cell: Column) -> Column:
+    return key.bitwiseAND(cell["m"]) == cell["v"]
 
 
 def cells(keys: Column) -> Column:
     """One block's cells of these digests."""
     zero = F.lit(0).cast("long")
     xor = lambda ks, of: F.aggregate(ks, zero, lambda a, h: a.bitwiseXOR(of(h)))
-    one = lambda ks: F.struct(F.size(ks).alias("n"), xor(ks, lambda h: h).alias("k"), xor(ks, _check).alias("x"))
-    return F.transform(F.sequence(F.lit(0), F.lit(ROWS * WIDTH - 1)), lambda c: _let(F.filter(keys, lambda h: _place(h, c)), one))
+    none = F.struct(F.lit(0).alias("n"), zero.alias("k"), zero.alias("x"))
+    one = lambda ks: F.when(F.size(ks) == 0, none).otherwise(F.struct(F.size(ks).alias("n"), xor(ks, lambda h: h).alias("k"), xor(ks, _check).alias("x")))
+    return F.transform(_cells(), lambda c: _let(F.filter(keys, lambda h: _in(h, c)), one))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -58,15 +64,15 @@ def peel(diff: Column) -> Column:
     start = F.struct(diff.alias("cells"), F.array().cast("array<struct<k:bigint,n:int>>").alias("found"), F.lit(True).alias("on")).cast(_STATE)
 
     def out_of(state: Column, pure: Column) -> Column:
-        def cell(c: Column, i: Column) -> Column:
+        def cell(c: Column, place: Column) -> Column:
             taken = lambda hit: F.struct(
                 F.aggregate(hit, c["n"], lambda a, p: a - p["n"]).alias("n"),
                 F.aggregate(hit, c["k"], lambda a, p: a.bitwiseXOR(p["k"])).alias("k"),
                 F.aggregate(hit, c["x"], lambda a, p: a.bitwiseXOR(_check(p["k"]))).alias("x"),
             )
-            return _let(F.filter(pure, lambda p: _place(p["k"], i)), taken)
+            return _let(F.filter(pure, lambda p: _in(p["k"], place)), lambda hit: F.when(F.size(hit) == 0, c).otherwise(taken(hit)))
 
-        return F.struct(F.transform(state["cells"], cell).alias("cells"), F.concat(state["found"], pure).alias("found"), F.lit(True).alias("on"))
+        return F.struct(F.zip_with(state["cells"], _cells(), cell).alias("cells"), F.concat(state["found"], pure).alias("found"), F.lit(True).alias("on"))
 
     def turn(state: Column, _: Column) -> Column:
         alone = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["x"] == _check(c["k"])))
