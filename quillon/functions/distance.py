@@ -59,7 +59,7 @@ def kernel(x: np.ndarray, q: np.ndarray, metric: Metric) -> np.ndarray:
         return acc
 
     if metric is Metric.SQUARED_L2:
-        return fold(lambda j: (x[:, j, None] - q[None, :, j]) ** 2)
+        return fold(lambda j: (x[:, j, None] - q[None, :, j]) * (x[:, j, None] - q[None, :, j]))
     product = fold(lambda j: x[:, j, None] * q[None, :, j])
     if metric is Metric.INNER_PRODUCT:
         return -product

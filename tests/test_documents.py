@@ -1,0 +1,143 @@
+import math
+import random
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.config import HybridOptions, Metric
+from quillon.errors import EngineError
+from quillon.functions import text
+from quillon.operators import filters, keyword
+from quillon.plans import hybrid
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    out = []
+    for i in range(220):
+        numbers = {"score": (i - 100) / 4} if i % 4 else {}
+        dates = {"modified": date(2026, 10, 1 + i % 28)} if i % 5 else {}
+        out.append((i, f"common errno_{i % 13} 한국어", f"source-{i % 7}.md", [f"bucket-{i % 3}", "all"], numbers, dates, [float(i)]))
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, "id long, text string, source string, tags array<string>, numbers map<string,double>, dates map<string,date>, vector array<float>").cache()
+
+
+def holds(e, row):
+    _, _, source, tags, numbers, dates, _ = row
+    if isinstance(e, filters.And):
+        return all(holds(p, row) for p in e.parts)
+    if isinstance(e, filters.Or):
+        return any(holds(p, row) for p in e.parts)
+    if isinstance(e, filters.Not):
+        return not holds(e.part, row)
+    if isinstance(e, filters.Source):
+        return source == e.value
+    if isinstance(e, filters.Tag):
+        return e.value in tags
+    v = (numbers if e.kind == "number" else dates).get(e.field)
+    if v is None:
+        return False
+    return (e.lower is None or v > e.lower[0] or (v == e.lower[0] and e.lower[1])) and (e.upper is None or v < e.upper[0] or (v == e.upper[0] and e.upper[1]))
+
+
+def some_filter(rng, depth):
+    kind = rng.randrange(7 if depth else 4)
+    if kind == 0:
+        return filters.Source(f"source-{rng.randrange(8)}.md")
+    if kind == 1:
+        return filters.Tag(rng.choice(["all", "bucket-1", "none"]))
+    if kind == 2:
+        a = rng.randrange(-25, 30)
+        return filters.Range("number", "score", rng.choice([None, (float(a), rng.random() < 0.5)]), rng.choice([None, (float(a + rng.randrange(9)), rng.random() < 0.5)]))
+    if kind == 3:
+        return filters.Range("date", "modified", (date(2026, 10, rng.randrange(1, 15)), rng.random() < 0.5), rng.choice([None, (date(2026, 10, 20), True)]))
+    if kind == 4:
+        return filters.Not(some_filter(rng, depth - 1))
+    return (filters.And if kind == 5 else filters.Or)(tuple(some_filter(rng, depth - 1) for _ in range(rng.randrange(4))))
+
+
+def test_random_filters(docs, rows):
+    rng = random.Random(11)
+    trees = [some_filter(rng, 3) for _ in range(24)]
+    got = docs.select("id", *[filters.column(t).alias(f"f{i}") for i, t in enumerate(trees)]).collect()
+    for r in got:
+        assert [r[f"f{i}"] for i in range(len(trees))] == [holds(t, rows[r["id"]]) for t in trees]
+
+
+def test_parser():
+    f = filters
+    assert f.parse('TaG("a") oR tag("b") AND nOt source("c")') == f.Or((f.Tag("a"), f.And((f.Tag("b"), f.Not(f.Source("c"))))))
+    assert f.parse(r'source("한글\n\"\\🚀.md")') == f.Source('한글\n"\\🚀.md')
+    assert f.parse('number("x") != 1') == f.Not(f.Range("number", "x", (1.0, True), (1.0, True)))
+    assert f.parse('number("x")>=-2.5e1') == f.Range("number", "x", (-25.0, True), None)
+    bad = ["", "true", "tag(a)", 'tag("")', 'tag("x") OR', 'tag("x") trailing', 'NOTtag("x")', '(tag("x")', 'number("x")', 'number("x") === 1', 'number("x") = NaN', 'number("x") > inf', 'date("x") = "2026-02-29"', r'tag("\uD800")', r'tag("\uDC00")', r'tag("\u0000")', r'tag("\q")', "(" * 33 + 'tag("x")' + ")" * 33, " OR ".join(['tag("x")'] * 300)]
+    for text_ in bad:
+        with pytest.raises(EngineError):
+            f.parse(text_)
+    with pytest.raises(EngineError):
+        f.validate(f.Range("number", "x", (2.0, True), (1.0, True)))
+
+
+def test_bm25_by_hand(spark):
+    d = spark.createDataFrame([(1, "alpha alpha beta"), (2, "alpha beta gamma gamma"), (3, "delta"), (4, "")], "id long, text string")
+    got = {r["id"]: r["score"] for r in keyword.search(d, "ALPHA beta alpha", 9).collect()}
+    part = lambda tf, n: math.log(2) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 2))
+    assert set(got) == {1, 2}
+    assert abs(got[1] - part(2, 3) - part(1, 3)) < 1e-12 and abs(got[2] - 2 * part(1, 4)) < 1e-12
+    assert keyword.counters(d, "ALPHA beta alpha").first().asDict() == {"eligible": 4, "matching": 2, "postings_visited": 4}
+    only = keyword.search(d, "alpha", 9, where=F.col("id") == 2).collect()
+    assert [r["id"] for r in only] == [2] and abs(only[0]["score"] - part(1, 4)) < 1e-12
+    assert keyword.search(d, "... -- ___", 5).count() == 0 and keyword.search(d.limit(0), "alpha", 5).count() == 0
+
+
+def test_tokens(spark):
+    d = spark.createDataFrame([(1, "search_metadata ERR-42 Engine 백업 한글 ___ --"), (2, None)], "id long, text string")
+    got = [r[0] for r in d.orderBy("id").select(text.words(F.col("text"))).collect()]
+    assert got == [["search_metadata", "err-42", "engine", "백업", "한글"], []]
+
+
+def test_korean_grams(spark):
+    d = spark.createDataFrame([(1, "백업을 백업을"), (2, "백업"), (3, "else"), (4, "")], "id long, text string")
+    got = {r["id"]: r["score"] for r in keyword.search(d, "백업 백업", 9, analyzer=text.KOREAN_NGRAM).collect()}
+    assert abs(got[1] - math.log(2) * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 2))) < 1e-12 and abs(got[2] - math.log(2)) < 1e-12
+
+
+def test_fusion(spark):
+    d = spark.createDataFrame([(1, "none", [0.0, 0.0]), (2, "ERR-42", [1.0, 0.0]), (3, "ERR-42 ERR-42", [2.0, 0.0]), (4, "ERR-42 ERR-42 ERR-42", [0.0, 0.0])], "id long, text string, vector array<float>")
+    found = hybrid.search(d, "ERR-42", [0.0, 0.0], 3, Metric.SQUARED_L2, HybridOptions(candidates=3), where=F.col("id") != 4).orderBy("rank").collect()
+    assert [r["id"] for r in found] == [2, 3, 1] or [r["id"] for r in found] == [3, 2, 1]
+    assert found[-1]["keyword_rank"] is None
+    with pytest.raises(EngineError):
+        hybrid.fuse(d, d, 65)
+
+
+def test_context_counts_hidden_chunks(spark):
+    c = spark.createDataFrame([(1, "same.md", 1, 1, ["keep"]), (2, "same.md", 2, 2, ["hidden"]), (3, "same.md", 3, 3, ["keep"]), (9, "other.md", 1, 1, ["keep"])], "id long, source string, start_line int, end_line int, tags array<string>")
+    keep = F.array_contains("tags", "keep")
+    near = lambda i, r: sorted(x["id"] for x in hybrid.context(c, spark.createDataFrame([(i,)], "id long"), r, keep).collect())
+    assert near(1, 3) == [1, 3] and near(1, 1) == [1] and near(2, 3) == [] and near(77, 1) == []
+    with pytest.raises(EngineError):
+        near(1, 4)
+
+
+def test_pages_and_groups(spark):
+    d = spark.range(10).withColumn("source", F.col("id") % 3).withColumn("rank", F.col("id").cast("int"))
+    first, after = hybrid.page(d, None, 4)
+    assert [r["id"] for r in first.collect()] == [0, 1, 2, 3] and after == 3
+    rest, after = hybrid.page(d, 7, 4)
+    assert [r["id"] for r in rest.collect()] == [8, 9] and after is None
+    assert sorted(r["id"] for r in hybrid.first_of_source(d).collect()) == [0, 1, 2]
+    assert [r["id"] for r in hybrid.rerank(d, lambda hits: [h["id"] for h in reversed(hits)], 2).orderBy("rank").collect()] == [9, 8]
+    with pytest.raises(EngineError):
+        hybrid.rerank(d, lambda hits: [1, 1], 2)
+
+
+def test_mode():
+    for query in ("ERR-42 failed", "parse_line broke", "Timeout", "the myFuncName here", "a::b here"):
+        assert text.retrieval_mode(query) == "hybrid", query
+    assert text.retrieval_mode("why is the sky blue") == "vector" and text.retrieval_mode("Timeout", "keyword") == "keyword"
