@@ -1,14 +1,15 @@
 """Language-model scores: add-0.1 unigrams, and online logistic mixing of hashed-context bit predictors.
 
-Counts of (context, byte) over all training texts, for contexts of one to four bytes and of the word so far, hashed into
-tables of fixed size, are frozen into log-odds for each bit of a byte given its earlier bits.  A bit's probability is the
-logistic of their weighted sum.  The weights are chosen by a gate, the kind of the byte before and the bit's place; a document
+Counts of (context, byte) over all training texts, for contexts of one, two, three and five bytes, hashed into tables
+of fixed size, are frozen into log-odds for each bit of a byte's Huffman code given its earlier bits.  A bit's probability is
+the logistic of their weighted sum.  The weights are chosen by a gate, the kind of the byte before and the bit's place; a document
 starts with weights fitted on a bounded sample and refines its own by gradient steps after every block, so later blocks are
 scored with what earlier ones taught.  The end of a text is coded as one more byte.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, BATCH_BYTES, BATCH_ROWS, remainder, write_out
+from .common import ASCII_LOWER, bounded_batches, remainder, write_out
 
 END = " "  # no word holds a space
 ALPHA = 0.1
-#: Bits of the context hash of each predictor: order 1, 2, 3, 4, and the word so far.
-TABLE_BITS = (8, 14, 15, 15, 15)
+#: Bits of the context hash of each predictor: one, two, three and five bytes.
+TABLE_BITS = (8, 14, 14, 14)
 BLOCK, RATE = 256, 0.02
 #: Training documents, and bytes of each, that the first weights are fitted on; taken by a hash of the id.
 SAMPLE_DOCS, SAMPLE_BYTES = 64, 4096
@@ -32,44 +33,75 @@ HOT_WORDS = 150_000
 #: Words that a training task counts before it hands them on.
 HELD_WORDS = 300_000
 _STEP_BYTES = 1 << 14
-_NODE = np.array([[1 << j | b >> (8 - j) for j in range(8)] for b in range(256)], np.int64)
-_BIT = np.array([[b >> (7 - j) & 1 for j in range(8)] for b in range(256)], np.float32)
+_DEPTHS = 8
 _KIND = np.array([1 if chr(b).isalnum() or b >= 128 else 0 if b in b" \t\n\v\f\r" else 2 for b in range(256)])
-_PAD = b"\n" * 4
+_FAR = 5
+_PAD = b"\n" * _FAR
 
 
 def contexts(padded: np.ndarray) -> list[np.ndarray]:
     """Context numbers of each predictor for every byte after the padding."""
     a = padded.astype(np.uint32)
-    n = len(a) - 4
-    back = [a[4 - k : 4 - k + n] for k in range(1, 5)]
-    word = _KIND[padded] == 1
-    at = np.arange(len(a))
-    start = np.maximum.accumulate(np.where(word, 0, at + 1))  # where the word that holds a byte begins
-    power = np.uint32(0x2F0B4C47)
-    rolled = np.zeros(len(a), np.uint32)
-    for k in range(8):  # the word's last eight bytes
-        inside = at - k >= start
-        rolled = np.where(inside, rolled * power + a[np.maximum(at - k, 0)] + np.uint32(1), rolled)
-    word_so_far = rolled[3 : 3 + n] * np.uint32(0x9E3779B1)
+    n = len(a) - _FAR
+    back = [a[_FAR - k : _FAR - k + n] for k in range(1, _FAR + 1)]
     two = back[0] | back[1] << np.uint32(8)
     three = two | back[2] << np.uint32(16)
     hashed = [
         back[0],
         two * np.uint32(0x9E3779B1) >> np.uint32(32 - TABLE_BITS[1]),
         three * np.uint32(0x85EBCA6B) >> np.uint32(32 - TABLE_BITS[2]),
-        (three | back[3] << np.uint32(24)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - TABLE_BITS[3]),
-        word_so_far >> np.uint32(32 - TABLE_BITS[4]),
+        ((three | back[3] << np.uint32(24)) * np.uint32(0xC2B2AE35) ^ back[4] * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B) >> np.uint32(32 - TABLE_BITS[3]),
     ]
     return [h.astype(np.int64) for h in hashed]
 
 
+@dataclass
+class Code:
+    """A Huffman code of bytes: the nodes and bits of each byte's path, one after the other, and their matrices."""
+
+    start: np.ndarray
+    length: np.ndarray
+    node: np.ndarray
+    bit: np.ndarray
+
+    @staticmethod
+    def of(counts: np.ndarray) -> Code:
+        heap = [(float(n) + 1, b, None) for b, n in enumerate(counts)]
+        heapq.heapify(heap)
+        made = 256
+        while len(heap) > 1:
+            x, y = heapq.heappop(heap), heapq.heappop(heap)
+            heapq.heappush(heap, (x[0] + y[0], made, (x, y)))
+            made += 1
+        paths: list[list] = [[] for _ in range(256)]
+        todo = [(heap[0], [])]
+        while todo:
+            (_, name, halves), path = todo.pop()
+            if halves is None:
+                paths[name] = path
+            else:
+                todo += [(half, [*path, (name - 256, bit)]) for bit, half in enumerate(halves)]
+        length = np.array([len(p) for p in paths])
+        flat = [step for p in paths for step in p]
+        return Code(np.cumsum(length) - length, length, np.array([n for n, _ in flat]), np.array([b for _, b in flat], np.float32))
+
+    def log_odds(self, counts: np.ndarray) -> np.ndarray:
+        """counts (contexts, 256) of bytes -> log-odds of a set bit at every node, as one row of contexts * 256."""
+        of = np.repeat(np.arange(256), self.length)
+        passes = [np.zeros((256, 256), np.float32) for _ in range(2)]
+        for bit in range(2):
+            some = self.bit == bit
+            passes[bit][of[some], self.node[some]] = 1
+        return np.log((counts @ passes[1] + 0.02) / (counts @ passes[0] + 0.02)).clip(-12, 12).astype(np.float32).ravel()
+
+
 @dataclass
 class Mixer:
-    tables: list[np.ndarray]  # log-odds, (contexts * 256,) float16: context * 256 + node
-    weights: np.ndarray  # (kinds, 8, predictors)
+    code: Code
+    tables: list[np.ndarray]  # log-odds by context * 256 + node
+    weights: np.ndarray  # (kinds * depths, predictors)
 
-    def code(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def bits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each text with its end, and the weights each ended with."""
         total = np.zeros(len(texts))
         last = np.zeros((len(texts), *self.weights.shape), np.float32)
@@ -87,47 +119,37 @@ class Mixer:
     def _together(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         buf = np.frombuffer(b"".join(_PAD + t + b"\0" for t in texts), np.uint8)
         lens = np.array([len(t) + 1 for t in texts])
-        starts = np.cumsum(lens + 4) - lens - 4  # of the texts among bytes that have four before them
-        ctx = contexts(buf)
-        kind = _KIND[buf[3:-1]]
-        data = buf[4:]
+        starts = np.cumsum(lens + _FAR) - lens - _FAR  # of the texts among bytes that have enough before them
+        ctx = [c << 8 for c in contexts(buf)]
+        kind, data, code = _KIND[buf[_FAR - 1 : -1]] * _DEPTHS, buf[_FAR:], self.code
+        gates, m = self.weights.shape
         w = np.repeat(self.weights[None].astype(np.float32), len(texts), 0)
         total = np.zeros(len(texts))
-        k, m = self.weights.shape[0], self.weights.shape[2]
         for at in range(0, int(lens.max()), BLOCK):
             live = np.flatnonzero(lens > at)
             for part in np.array_split(live, -(-len(live) * BLOCK // _STEP_BYTES)):
                 n = np.minimum(lens[part] - at, BLOCK)
                 of = np.repeat(np.arange(len(part)), n)
                 i = np.arange(len(of)) + np.repeat(starts[part] + at - (np.cumsum(n) - n), n)
-                node, y = _NODE[data[i]], _BIT[data[i]]
-                st = np.stack([t[(c[i] << 8)[:, None] + node] for t, c in zip(self.tables, ctx, strict=True)], 2).astype(np.float32)
-                gate = of * k + kind[i]
-                mine = w[part].reshape(-1, 8, m)
-                z = np.einsum("ijm,ijm->ij", st, mine[gate])
+                long = code.length[data[i]]
+                depth = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
+                step = np.repeat(code.start[data[i]], long) + depth
+                node, y, i = code.node[step], code.bit[step], np.repeat(i, long)
+                st = [t[c[i] | node] for t, c in zip(self.tables, ctx, strict=True)]
+                gate = np.repeat(of * gates, long) + kind[i] + np.minimum(depth, _DEPTHS - 1)
+                mine = w[part].reshape(-1, m)
+                z = sum(mine[gate, k] * s for k, s in enumerate(st))
+                z = np.where(y > 0, z, -z)  # log-odds of what is there
                 e = np.exp(-np.abs(z))
-                cost = np.maximum(np.where(y > 0, -z, z), 0) + np.log1p(e)
-                total[part] += np.add.reduceat(cost.sum(1, dtype=np.float64), np.cumsum(n) - n)
-                err = y - np.where(z >= 0, 1 / (1 + e), e / (1 + e))
-                step = np.zeros((len(part) * k, 8 * m), np.float32)
-                order = np.argsort(gate, kind="stable")
-                sorted_gate = gate[order]
-                first = np.flatnonzero(np.r_[True, sorted_gate[1:] != sorted_gate[:-1]])
-                grads = (err[:, :, None] * st).reshape(len(of), 8 * m)
-                step[sorted_gate[first]] = np.add.reduceat(grads[order], first, axis=0)
-                w[part] = np.clip(w[part] + RATE * step.reshape(len(part), k, 8, m) / 16, -4, 4)
+                cost = np.log1p(e) - np.minimum(z, 0)
+                total[part] += np.bincount(np.repeat(of, long), cost, len(part))
+                miss = np.where(z >= 0, e, 1) / (1 + e)  # probability of what isn't there
+                err = np.where(y > 0, miss, -miss)
+                grad = np.stack([np.bincount(gate, err * s, len(mine)) for s in st], 1)
+                w[part] = np.clip(mine + RATE / 16 * grad, -4, 4).reshape(len(part), gates, m)
         return total / np.log(2), w
 
 
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    """counts (contexts, 256) of bytes -> log-odds of a set bit at every node of the byte's bits, as one row."""
-    out = np.zeros(counts.shape, np.float16)
-    for j in range(8):
-        halves = counts.reshape(len(counts), 1 << j, 2, -1).sum(3)
-        out[:, 1 << j : 2 << j] = np.log((halves[:, :, 1] + 0.02) / (halves[:, :, 0] + 0.02)).clip(-12, 12)
-    return out.ravel()
-
-
 def gather(docs: DataFrame) -> DataFrame:
     """(word, slot, n) from docs (text): word counts (slot null) and (context, byte) counts (word null), by task.
 
@@ -143,7 +165,7 @@ def gather(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        tables = [np.zeros(256 << bits, np.int64) for bits in TABLE_BITS]
+        tables = [np.zeros(256 << bits, np.int32) for bits in TABLE_BITS]
         for b in batches:
             texts = [(t or "").encode().translate(ASCII_LOWER) for t in b.column(0).to_pylist()]
             for t in texts:
@@ -159,12 +181,12 @@ def gather(docs: DataFrame) -> DataFrame:
                     held += len(texts[last])
                     last += 1
                 buf = np.frombuffer(b"".join(_PAD + t + b"\0" for t in texts[first:last]), np.uint8)
-                real = np.ones(len(buf) - 4, bool)
-                ends = np.cumsum([len(t) + 5 for t in texts[first:last]])
-                for k in range(4):
-                    real[(ends[:-1] + k - 4)] = False  # the padding of the next text
+                real = np.ones(len(buf) - _FAR, bool)
+                ends = np.cumsum([len(t) + 1 + _FAR for t in texts[first:last]])
+                for k in range(_FAR):
+                    real[ends[:-1] + k - _FAR] = False  # the padding of the next text
                 for table, c in zip(tables, contexts(buf), strict=True):
-                    np.add.at(table, (c << 8 | buf[4:])[real], 1)
+                    np.add.at(table, (c << 8 | buf[_FAR:])[real], np.int32(1))
                 first = last
         if words:
             yield batch([x.decode() for x in words], None, list(words.values()))
@@ -175,31 +197,32 @@ def gather(docs: DataFrame) -> DataFrame:
                 yield batch([], slots + base, table[slots])
             base += len(table)
 
-    _bounded(docs)
+    bounded_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "word string, slot long, n long")
 
 
-def _bounded(df: DataFrame) -> None:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def train(docs: DataFrame) -> tuple[Mixer, DataFrame, int, int]:
     """The mixer, the table of word counts (word, c), and all and different tokens of the training texts (null: empty)."""
     seen = write_out(gather(docs), "lm-counts")
     vocabulary = write_out(seen.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    slots = seen.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most the tables' sizes
-    counts = np.zeros(sum(256 << bits for bits in TABLE_BITS), np.float32)
-    counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
-    edges = np.cumsum([0, *(256 << bits for bits in TABLE_BITS)])
-    tables = [log_odds(counts[a:b].reshape(-1, 256)) for a, b in zip(edges, edges[1:], strict=False)]
-    mixer = Mixer(tables, np.full((3, 8, len(tables)), 0.3, np.float32))
+    summed = write_out(seen.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")), "lm-slots")
+    code, tables, base = None, [], 0
+    for bits in TABLE_BITS:  # one at a time: at most a table's size comes to the driver
+        size = 256 << bits
+        slots = summed.where((F.col("slot") >= base) & (F.col("slot") < base + size)).select((F.col("slot") - base).cast("int").alias("slot"), F.col("n").cast("float").alias("n")).toPandas()
+        counts = np.zeros(size, np.float32)
+        counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
+        counts = counts.reshape(-1, 256)
+        code = code or Code.of(counts.sum(0))  # from contexts of one byte, which are not hashed
+        tables.append(code.log_odds(counts))
+        base += size
+    mixer = Mixer(code, tables, np.full((3 * _DEPTHS, len(tables)), 0.3, np.float32))
     able = docs.where("text is not null")
     few = able.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.substring("text", 1, SAMPLE_BYTES).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
     sample = [r["t"].encode().translate(ASCII_LOWER) for r in few]
     for _ in range(4 if sample else 0):
-        mixer = Mixer(tables, mixer.code(sample)[1].mean(0))
+        mixer = Mixer(code, tables, mixer.bits(sample)[1].mean(0))
     return mixer, vocabulary, int(tokens), int(distinct)
 
 
@@ -233,7 +256,7 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
             texts = [(t or "").encode().translate(ASCII_LOWER) for t in b.column(2).to_pylist()]
             cols: list[list] = [[] for _ in out]
             rare: list[list] = [[], [], []]
-            for row, doc_id, text, bits in zip(rows, ids, texts, mix.code(texts)[0], strict=True):
+            for row, doc_id, text, bits in zip(rows, ids, texts, mix.bits(texts)[0], strict=True):
                 words = [*text.split(), END.encode()]
                 got = list(map(log.get, words))
                 known = [x for x in got if x is not None]
@@ -254,7 +277,7 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
                 made = {"row": rare[0], "word": rare[1], "n": rare[2]}
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else pa.nulls(k, f.type) for f in out], schema=out)
 
-    _bounded(docs)
+    bounded_batches(docs.sparkSession)
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, bits double, n_bytes long, word string, n long"
     found = write_out(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema), "lm-scores")
     rest = found.where("word is not null").select("row", "word", "n").join(vocabulary, "word", "left")
