@@ -150,7 +150,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES,
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs."""
     names = docs.columns
-    copies = mix(docs, weights, max_copies).groupBy("key").agg(F.sum("copies").alias("n")).where("n > 0").withColumnRenamed("key", "__key")
+    copies = mix(docs, weights, max_copies).groupBy("key").agg(F.sum("copies").alias("__n")).where("__n > 0").withColumnRenamed("key", "__key")
     keyed = docs.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in names]))
     once = keyed.dropDuplicates(["__key"])
-    return once.join(copies, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*[F.col(f"`{c}`") for c in names])
+    return once.join(copies, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*[F.col(f"`{c}`") for c in names])

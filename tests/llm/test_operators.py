@@ -41,20 +41,20 @@ def one(df, *names):
     return sorted(tuple(r[n] for n in names) for r in df.collect() if r["doc_id"] is not None)
 
 
-def test_every_operator_takes_messy_and_empty_tables(spark, messy):
-    n = messy.count()
-    pages = messy.selectExpr("doc_id as page_id", "source as url", "text as html", "key as digest", "fp as first")
+@pytest.mark.parametrize("empty", [False, True])
+def test_every_operator_takes_messy_and_empty_tables(spark, messy, empty):
+    table = messy.limit(0) if empty else messy
+    n = table.count()
+    pages = table.selectExpr("doc_id as page_id", "source as url", "text as html", "key as digest", "fp as first")
+    assert mixing.mixed_documents(table).columns == table.columns and (mixing.mixed_documents(table).count() == 0) == empty
+    assert simhash.one_of_each(table).columns == table.columns and (simhash.one_of_each(table).count() == 0) == empty
     whole = {
         "compression": compression.rules, "simhash": simhash.near_duplicates, "lines": linededup.dedup, "iblt": iblt.fingerprints, "lm": lm.score, "mix": mixing.mix,
-        "langid": lambda d: langid.predict(d, langid.train(d)), "warc": lambda d: warc.captures(pages if d is messy else pages.limit(0)),
+        "langid": lambda d: langid.predict(d, langid.train(d)), "warc": lambda _: warc.captures(pages), "pack": lambda d: packing.pack(d).where("piece = 0"),
     }
     for name, f in whole.items():
-        assert f(messy).count() == n, name
-        assert f(messy.limit(0)).count() == 0, name
-    assert licenses.scan(messy).count() == 0 and licenses.scan(messy.limit(0)).count() == 0
-    assert packing.pack(messy.limit(0)).count() == 0 and packing.pack(messy).where("piece = 0").count() == n
-    assert mixing.mixed_documents(messy).columns == messy.columns and simhash.one_of_each(messy).columns == messy.columns
-    assert mixing.mixed_documents(messy.limit(0)).count() == 0 and simhash.one_of_each(messy.limit(0)).count() == 0
+        assert f(table).count() == n, name
+    assert licenses.scan(table).count() == 0
 
 
 def test_compression_base_by_brute_force(docs, texts):
