@@ -32,14 +32,23 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(" ".join(p) for p in zip(words, words[1:], strict=False)))
 
 
-def anchors(bigrams: list[str], dice: float = DICE) -> list[str]:
-    """Words of which every match has at least one: fewer bigrams than a match must share are without them."""
-    needed = dice / (2 - dice) * len(bigrams) - 1e-9  # shared bigrams of the smallest match
+def anchors(templates: list[list[str]], dice: float = DICE) -> list[str]:
+    """Words of which every match of a template has at least one: bigrams without them are fewer than a match must share.
+
+    Long words come first, as they are rarer in other texts, and those that serve most templates.
+    """
     out: list[str] = []
-    for word in sorted({w for b in bigrams for w in b.split()}, key=lambda w: (-len(w), w)):
-        if sum(not set(b.split()) & set(out) for b in bigrams) < needed:
-            break
-        out.append(word)
+    words = {w for t in templates for b in t for w in b.split()}
+    serves = {w: sum(any(w in b.split() for b in t) for t in templates) for w in words}
+    order = sorted(words, key=lambda w: (-min(len(w), 7), -serves[w] if len(w) > 4 else serves[w], w))
+    for t in sorted(templates, key=len):
+        needed = dice / (2 - dice) * len(t) - 1e-9  # shared bigrams of the smallest match
+        free = lambda t=t: sum(not set(b.split()) & set(out) for b in t)
+        for w in order:
+            if free() < needed:
+                break
+            if w not in out and any(w in b.split() for b in t):
+                out.append(w)
     return out
 
 
@@ -57,20 +66,26 @@ def scan(docs: DataFrame, dice: float = DICE, templates: tuple = TEMPLATES) -> D
     Templates whose size rules out the coefficient are not compared.
     """
     known = [(name, template_bigrams(text)) for name, text in templates]
-    words = sorted({w for _, b in known for w in anchors(b, dice)})
-    likely = F.lower("unit").rlike("|".join(map(re.escape, words)))
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.lower("text").rlike("|".join(map(re.escape, words))))
+    words = anchors([b for _, b in known], dice)
+
+    def likely(text: Column) -> Column:  # lower-cased once, not for each word
+        has = lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+        return F.coalesce(F.get(F.transform(F.array(F.lower(text)), has), F.lit(0)), F.lit(False))
+
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(likely(F.col("text")))
     lines = F.split("text", "\n")
     units = some.select("doc_id", F.posexplode(lines).alias("line", "unit"))
     whole = some.where(F.contains("text", F.lit("\n"))).select("doc_id", F.lit(-1).alias("line"), F.col("text").alias("unit"))
-    sets = units.union(whole).where(likely).select("doc_id", "line", bigrams(F.col("unit")).alias("b"))
+    # explode keeps Catalyst from evaluating the bigrams once for each use of them
+    sets = units.union(whole).where(likely(F.col("unit"))).select("doc_id", "line", F.explode(F.array(bigrams(F.col("unit")))).alias("b"))
     n = F.size("b")
     scores = []
     for k, (_, own) in enumerate(known):
         score = 2.0 * F.size(F.array_intersect("b", F.array(*map(F.lit, own)))) / (n + len(own))
         fits = (n >= dice / (2 - dice) * len(own) - 1e-9) & (n <= (2 - dice) / dice * len(own) + 1e-9)
         scores.append(F.when(fits, F.struct(score.alias("dice"), F.lit(-k).alias("k"))))
-    best = sets.select("doc_id", "line", F.array_max(F.array_compact(F.array(*scores))).alias("best")).where(F.col("best.dice") >= dice)
+    top = F.array(F.array_max(F.array_compact(F.array(*scores))))
+    best = sets.select("doc_id", "line", F.explode(F.filter(top, lambda s: s["dice"] >= dice)).alias("best"))
     names = reduce(lambda c, k: c.when(F.col("best.k") == -k, known[k][0]), range(1, len(known)), F.when(F.col("best.k") == 0, known[0][0]))
     return best.select("doc_id", "line", names.alias("license"), (-F.col("best.k")).alias("template"), F.round("best.dice", 9).alias("dice"))
 
