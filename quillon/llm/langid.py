@@ -23,8 +23,8 @@ from .common import bounded_batches, map_rows, remainder
 ORDER = 4
 #: Labelled rows per language and languages that the classifier is fitted on, at most; taken by a hash of their id.
 SAMPLE_ROWS, MAX_LANGUAGES = 400, 64
-#: Cells (contexts x byte classes x languages) of the table that is broadcast: 48 MB of float32 at most.
-MAX_CELLS = 12_000_000
+#: Cells (contexts x byte classes x languages) of the table that is broadcast: 16 MB of float32 at most.
+MAX_CELLS = 4_000_000
 UNKNOWN = "und"
 #: A text whose best language has less than this share of the likelihoods is rejected in the pipeline.
 LEAST_SCORE = 0.5
@@ -140,7 +140,7 @@ def fit(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray,
             break
         least *= 2
     first = np.cumsum([0, *map(len, nodes)])
-    prob = np.zeros((first[-1], a, many))
+    prob = np.zeros((first[-1], a, many), np.float32)
     for k in range(ORDER + 1):
         key = np.zeros(len(c), np.int64)
         for j in range(ORDER - k, ORDER):
