@@ -22,7 +22,7 @@ from .common import bounded_batches, map_rows, remainder
 
 ORDER = 4
 #: Labelled rows per language and languages that the classifier is fitted on, at most; taken by a hash of their id.
-SAMPLE_ROWS, MAX_LANGUAGES = 400, 64
+SAMPLE_ROWS, MAX_LANGUAGES = 200, 64
 #: Cells (contexts x byte classes x languages) of the table that is broadcast: 16 MB of float32 at most.
 MAX_CELLS = 4_000_000
 UNKNOWN = "und"
