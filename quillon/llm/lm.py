@@ -1,7 +1,8 @@
 """Language-model scores: add-0.1 unigrams, and online logistic mixing of hashed-context bit predictors.
 
-Counts of (context, byte) over all training texts, for contexts of one, two, three and five bytes, hashed into tables
-of fixed size, are frozen into log-odds for each bit of a byte's Huffman code given its earlier bits.  A bit's probability is
+Counts of (context, byte) over all training texts, for contexts of one to four bytes and of the word so far, are exact in a
+written table; they are frozen into log-odds for each bit of a byte's Huffman code given its earlier bits, in tables by the hash
+of (context, node) whose size follows the number of different contexts.  A bit's probability is
 the logistic of their weighted sum.  The weights are chosen by a gate, the kind of the byte before and the bit's place; a document
 starts with weights fitted on a bounded sample and refines its own by gradient steps after every block, so later blocks are
 scored with what earlier ones taught.  The end of a text is coded as one more byte.
@@ -23,8 +24,10 @@ from .common import ASCII_LOWER, bounded_batches, remainder, write_out
 
 END = " "  # no word holds a space
 ALPHA = 0.1
-#: Bits of the context hash of each predictor: one, two, three and five bytes.
-TABLE_BITS = (8, 14, 14, 14)
+#: Least bits of each predictor's contexts: one, two, three, four bytes, and the word so far.
+TABLE_BITS = (8, 14, 15, 15, 15)
+#: Places of a table for each different context, at least, as a power of two.
+PLACES_BITS = 4
 BLOCK, RATE = 256, 0.02
 #: Training documents, and bytes of each, that the first weights are fitted on; taken by a hash of the id.
 SAMPLE_DOCS, SAMPLE_BYTES = 64, 4096
@@ -32,27 +35,49 @@ SAMPLE_DOCS, SAMPLE_BYTES = 64, 4096
 HOT_WORDS = 150_000
 #: Words that a training task counts before it hands them on.
 HELD_WORDS = 300_000
+#: (context, byte) counts that a training task holds before it hands them on, and bytes it counts at once.
+HELD_SLOTS, COUNTED_BYTES = 1 << 21, 1 << 22
 _STEP_BYTES = 1 << 14
 _DEPTHS = 8
 _KIND = np.array([1 if chr(b).isalnum() or b >= 128 else 0 if b in b" \t\n\v\f\r" else 2 for b in range(256)])
-_FAR = 5
+_FAR = 4
 _PAD = b"\n" * _FAR
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_NODES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * _ODD
+_CONTEXT = (1 << 48) - 1
 
 
 def contexts(padded: np.ndarray) -> list[np.ndarray]:
-    """Context numbers of each predictor for every byte after the padding."""
-    a = padded.astype(np.uint32)
+    """Context of each predictor, under 2 ** 48, for every byte after the padding."""
+    a = padded.astype(np.uint64)
     n = len(a) - _FAR
     back = [a[_FAR - k : _FAR - k + n] for k in range(1, _FAR + 1)]
-    two = back[0] | back[1] << np.uint32(8)
-    three = two | back[2] << np.uint32(16)
-    hashed = [
-        back[0],
-        two * np.uint32(0x9E3779B1) >> np.uint32(32 - TABLE_BITS[1]),
-        three * np.uint32(0x85EBCA6B) >> np.uint32(32 - TABLE_BITS[2]),
-        ((three | back[3] << np.uint32(24)) * np.uint32(0xC2B2AE35) ^ back[4] * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B) >> np.uint32(32 - TABLE_BITS[3]),
-    ]
-    return [h.astype(np.int64) for h in hashed]
+    two = back[0] | back[1] << np.uint64(8)
+    three = two | back[2] << np.uint64(16)
+    four = three | back[3] << np.uint64(24)
+    # a word's bytes times powers of _ODD from its start, by differences of running sums
+    power = np.full(len(a) + 1, _ODD)
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((a + np.uint64(1)) * power[:-1], dtype=np.uint64)])
+    at = np.arange(len(a))
+    start = np.maximum.accumulate(np.where(_KIND[padded] == 1, 0, at + 1))[_FAR - 1 : _FAR - 1 + n]  # where the word so far begins
+    back_power = np.full(len(a) + 1, np.uint64(pow(int(_ODD), -1, 1 << 64)))
+    back_power[0] = 1
+    back_power = np.cumprod(back_power, dtype=np.uint64)
+    word = (sums[_FAR : _FAR + n] - sums[start]) * back_power[start]
+    return [c.astype(np.int64) for c in (back[0], two, three, four, _mixed(word) >> np.uint64(16))]
+
+
+def _mixed(context: np.ndarray) -> np.ndarray:
+    h = context.astype(np.uint64) * _ODD
+    h ^= h >> np.uint64(29)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _places(mixed: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
+    """Places of (context, node) in a table of size, a power of two."""
+    return ((mixed ^ _NODES[node]) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 @dataclass
@@ -86,19 +111,30 @@ class Code:
         return Code(np.cumsum(length) - length, length, np.array([n for n, _ in flat]), np.array([b for _, b in flat], np.float32))
 
     def log_odds(self, counts: np.ndarray) -> np.ndarray:
-        """counts (contexts, 256) of bytes -> log-odds of a set bit at every node, as one row of contexts * 256."""
-        of = np.repeat(np.arange(256), self.length)
-        passes = [np.zeros((256, 256), np.float32) for _ in range(2)]
-        for bit in range(2):
-            some = self.bit == bit
-            passes[bit][of[some], self.node[some]] = 1
-        return np.log((counts @ passes[1] + 0.02) / (counts @ passes[0] + 0.02)).clip(-12, 12).astype(np.float32).ravel()
+        """counts (contexts, 256) of bytes -> the table of log-odds of a set bit at every node, of contexts * 256 places."""
+        context, byte = np.nonzero(counts)
+        return self.table(context << 8 | byte, counts[context, byte], counts.size)
+
+    def table(self, keys: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+        """Counts n of keys context << 8 | byte -> the table of log-odds of a set bit of (context, node), of size places."""
+        seen = np.zeros(2 * size, np.int64 if size <= 1 << 20 else np.uint32)
+        for first in range(0, len(keys), 1 << 18):
+            key = keys[first : first + (1 << 18)]
+            long = self.length[key & 255]
+            step = np.repeat(self.start[key & 255], long) + np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
+            place = _places(np.repeat(_mixed(key >> 8 & _CONTEXT), long), self.node[step], size)
+            np.add.at(seen, 2 * place + (self.bit[step] > 0), np.repeat(n[first : first + (1 << 18)], long).astype(seen.dtype))
+        out = np.zeros(size, np.float16)
+        for first in range(0, size, 1 << 20):
+            zero, one = seen[2 * first : 2 * (first + (1 << 20))].reshape(-1, 2).T.astype(np.float32)
+            out[first : first + (1 << 20)] = np.log((one + np.float32(0.02)) / (zero + np.float32(0.02))).clip(-12, 12)
+        return out
 
 
 @dataclass
 class Mixer:
     code: Code
-    tables: list[np.ndarray]  # log-odds by context * 256 + node
+    tables: list[np.ndarray]  # log-odds by _places of context and node
     weights: np.ndarray  # (kinds * depths, predictors)
 
     def bits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +156,7 @@ class Mixer:
         buf = np.frombuffer(b"".join(_PAD + t + b"\0" for t in texts), np.uint8)
         lens = np.array([len(t) + 1 for t in texts])
         starts = np.cumsum(lens + _FAR) - lens - _FAR  # of the texts among bytes that have enough before them
-        ctx = [c << 8 for c in contexts(buf)]
+        ctx = [_mixed(c) for c in contexts(buf)]
         kind, data, code = _KIND[buf[_FAR - 1 : -1]] * _DEPTHS, buf[_FAR:], self.code
         gates, m = self.weights.shape
         w = np.repeat(self.weights[None].astype(np.float32), len(texts), 0)
@@ -135,7 +171,7 @@ class Mixer:
                 depth = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
                 step = np.repeat(code.start[data[i]], long) + depth
                 node, y, i = code.node[step], code.bit[step], np.repeat(i, long)
-                st = [t[c[i] | node] for t, c in zip(self.tables, ctx, strict=True)]
+                st = [t[_places(c[i], node, len(t))].astype(np.float32) for t, c in zip(self.tables, ctx, strict=True)]
                 gate = np.repeat(of * gates, long) + kind[i] + np.minimum(depth, _DEPTHS - 1)
                 mine = w[part].reshape(-1, m)
                 z = sum(mine[gate, k] * s for k, s in enumerate(st))
@@ -150,10 +186,21 @@ class Mixer:
         return total / np.log(2), w
 
 
+def _summed(slots: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Different slots, sorted, with the sums of n, or how often each occurs."""
+    if n is None:
+        slots = np.sort(slots)
+    else:
+        order = np.argsort(slots, kind="stable")
+        slots, n = slots[order], n[order]
+    first = np.flatnonzero(np.diff(slots, prepend=-1))
+    return slots[first], np.diff(first, append=len(slots)) if n is None else np.add.reduceat(n, first) if len(first) else n
+
+
 def gather(docs: DataFrame) -> DataFrame:
     """(word, slot, n) from docs (text): word counts (slot null) and (context, byte) counts (word null), by task.
 
-    Tables have a fixed size and word counts are handed on in turns, so a task's memory doesn't grow with its input.
+    A slot is predictor << 56 | context << 8 | byte.  Counts are handed on in turns, so a task's memory doesn't grow with its input.
     """
     schema = pa.schema([("word", pa.string()), ("slot", pa.int64()), ("n", pa.int64())])
 
@@ -165,7 +212,7 @@ def gather(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        tables = [np.zeros(256 << bits, np.int32) for bits in TABLE_BITS]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
             texts = [(t or "").encode().translate(ASCII_LOWER) for t in b.column(0).to_pylist()]
             for t in texts:
@@ -176,26 +223,26 @@ def gather(docs: DataFrame) -> DataFrame:
                 words = Counter()
             first = 0
             while first < len(texts):
-                last, held = first, 0
-                while last < len(texts) and (last == first or held + len(texts[last]) < 1 << 20):
-                    held += len(texts[last])
+                last, size = first, 0
+                while last < len(texts) and (last == first or size + len(texts[last]) < COUNTED_BYTES):
+                    size += len(texts[last])
                     last += 1
                 buf = np.frombuffer(b"".join(_PAD + t + b"\0" for t in texts[first:last]), np.uint8)
                 real = np.ones(len(buf) - _FAR, bool)
                 ends = np.cumsum([len(t) + 1 + _FAR for t in texts[first:last]])
                 for k in range(_FAR):
                     real[ends[:-1] + k - _FAR] = False  # the padding of the next text
-                for table, c in zip(tables, contexts(buf), strict=True):
-                    np.add.at(table, (c << 8 | buf[_FAR:])[real], np.int32(1))
+                for k, c in enumerate(contexts(buf)):
+                    held.append(_summed((k << 56 | c << 8 | buf[_FAR:])[real]))
+                if sum(len(slots) for slots, _ in held) > HELD_SLOTS:
+                    held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
+                    if len(held[0][0]) > HELD_SLOTS // 2:
+                        yield batch([], *held.pop())
                 first = last
         if words:
             yield batch([x.decode() for x in words], None, list(words.values()))
-        base = 0
-        for table in tables:
-            slots = np.flatnonzero(table)
-            if len(slots):
-                yield batch([], slots + base, table[slots])
-            base += len(table)
+        if held:
+            yield batch([], *_summed(*map(np.concatenate, zip(*held, strict=True))))
 
     bounded_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "word string, slot long, n long")
@@ -207,16 +254,14 @@ def train(docs: DataFrame) -> tuple[Mixer, DataFrame, int, int]:
     vocabulary = write_out(seen.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     summed = write_out(seen.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")), "lm-slots")
-    code, tables, base = None, [], 0
-    for bits in TABLE_BITS:  # one at a time: at most a table's size comes to the driver
-        size = 256 << bits
-        slots = summed.where((F.col("slot") >= base) & (F.col("slot") < base + size)).select((F.col("slot") - base).cast("int").alias("slot"), F.col("n").cast("float").alias("n")).toPandas()
-        counts = np.zeros(size, np.float32)
-        counts[slots["slot"].to_numpy()] = slots["n"].to_numpy()
-        counts = counts.reshape(-1, 256)
-        code = code or Code.of(counts.sum(0))  # from contexts of one byte, which are not hashed
-        tables.append(code.log_odds(counts))
-        base += size
+    which = F.shiftright("slot", 56).cast("int").alias("k")
+    different = {r["k"]: r["m"] for r in summed.groupBy(which).agg(F.approx_count_distinct(F.shiftright("slot", 8)).alias("m")).collect()}  # one row a predictor
+    code, tables = None, []
+    for k, bits in enumerate(TABLE_BITS):  # one at a time
+        found = summed.where((F.col("slot") >= k << 56) & (F.col("slot") < (k + 1) << 56)).toArrow()
+        keys, n = found["slot"].to_numpy(), found["n"].to_numpy()
+        code = code or Code.of(np.bincount(keys & 255, n, 256))  # from contexts of one byte
+        tables.append(code.table(keys, n, 1 << max(bits, PLACES_BITS + max(1, different.get(k, 0) - 1).bit_length())))
     mixer = Mixer(code, tables, np.full((3 * _DEPTHS, len(tables)), 0.3, np.float32))
     able = docs.where("text is not null")
     few = able.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.substring("text", 1, SAMPLE_BYTES).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()

@@ -248,6 +248,19 @@ def test_mixed_bits_do_not_hang_on_company():
     assert np.allclose(mixer.bits(texts)[0], alone, rtol=1e-5)
 
 
+def test_lm_tables_grow_with_contexts_and_know_the_word(spark):
+    buf = np.frombuffer(lm._PAD + b"many words. any words, manyx" + b"\0", np.uint8)
+    ctx = lm.contexts(buf)
+    text = bytes(buf[lm._FAR :])
+    so_far = [re.search(rb"[a-z]*$", text[:i])[0] for i in range(len(text))]
+    for i, x in enumerate(so_far):  # equal contexts where the word so far is equal, from its first byte on
+        assert [ctx[4][i] == c for c in ctx[4]] == [x == y for y in so_far]
+    assert len(ctx) == 5
+    few, many = (spark.createDataFrame([(d, " ".join(hashlib.md5(f"{d} {i}".encode()).hexdigest() for i in range(k))) for d in range(40)], "doc_id long, text string") for k in (1, 300))
+    small, large = (lm.train(x)[0].tables for x in (few, many))
+    assert len(large[3]) >= 4 * len(small[3]) and len(large[4]) >= 4 * len(small[4])
+
+
 def test_licenses(spark):
     d = spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny"), (2, "Licensed under CC BY-NC 4.0"), (3, "released under the license of nobody"), (4, None)], "doc_id long, text string")
     got = one(licenses.scan(d), "doc_id", "line", "license", "dice")
