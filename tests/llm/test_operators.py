@@ -271,6 +271,27 @@ def test_licenses(spark):
         assert sum(not set(x.split()) & a for x in b) < 0.8 / 1.2 * len(b)
 
 
+def test_licenses_in_windows(spark):
+    full = dict(licenses.full_texts())
+    gpl = next(t for name, t in licenses.TEMPLATES if name == "GPL-3.0" and len(t) > 100).split()
+    wrapped = "\n".join("// " + " ".join(gpl[i : i + 12]) for i in range(0, len(gpl), 12))
+    pad = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (1, f"MIT License\n\nCopyright (c) 2020 Some One\n\n{full['MIT']}"),
+        (2, f"{wrapped}\nint main() {{\n  return 0; }}"),
+        (3, f"{pad}. Released under the MIT License. {pad}"),
+        (4, f"{pad}\n{full['BSD-3-Clause']}\n{pad}\n{full['ISC']}"),
+        (5, f"{pad}\nreleased under the\nmit licensing {pad}"),
+        (None, f"{pad} Released under the\nMIT License {pad}"),
+    ]
+    rows += [(10 + k, f"{pad}\n{t}\n{pad}") for k, t in enumerate(full.values())]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    names = {(r["doc_id"], r["license"]) for r in got}
+    want = {(1, "MIT"), (2, "GPL-3.0"), (3, "MIT"), (4, "BSD-3-Clause"), (4, "ISC"), (None, "MIT")}
+    assert names == want | {(10 + k, name) for k, name in enumerate(full)} | {(16, "Unlicense")}
+    assert [(r["line"], r["dice"]) for r in got if r["doc_id"] == 3] == [(-2, 1.0)]
+
+
 def test_packing_round_trip(docs, texts):
     from tokenizers import Tokenizer
 
