@@ -29,7 +29,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.dedup(table(spark, sf_dir, "documents"))
+    found = linededup.dedup(table(spark, sf_dir, "documents"), short=True)
     matches = F.transform("matches", lambda m: F.concat_ws(":", m["n"], m["of_doc"], m["of_n"]))
     return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.length("text").alias("n_chars_kept"), F.md5("text").alias("text_md5"), F.array_join(matches, " ").alias("matches"))
 

@@ -189,6 +189,23 @@ def test_line_dedup_by_brute_force(spark, docs, texts):
         assert r["text"] == "\n".join(x for n, x in enumerate(made[r["doc_id"]].split("\n")) if (r["doc_id"], n) not in gone)
 
 
+def test_line_dedup_takes_short_lines(spark):
+    rows = {
+        1: "All rights reserved.\na b c d\n\none", 2: "all  rights   reserved.\na b c d e\n\ntwo", 3: "reserved. rights All\nb c d e f g\n \none", 4: "x   y   z\na b c\nONE one",
+        5: "x y z\na b c d x\nseven words of a line that stays",
+    }
+    sets, want = [], set()
+    for d, text in rows.items():
+        for n, line in enumerate(text.split("\n")):
+            if x := set(line.lower().split()):
+                if any(len(x & o) / len(x | o) >= 0.8 for o in sets):
+                    want.add((d, n))
+                sets.append(x)
+    out = linededup.dedup(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), short=True).collect()
+    got = [(r["doc_id"], n) for r in out for n in r["removed"]]
+    assert sorted(got) == sorted(want) and {(2, 0), (2, 1), (3, 0), (3, 3), (4, 2), (5, 0), (5, 1)} == want
+
+
 def test_iblt_by_brute_force(docs, texts):
     passages = lambda t: {p for p in re.split(r"\n|(?<=[.!?]) +", t) if p}
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
