@@ -4,7 +4,7 @@ Counts of (context, byte) over all training texts, for contexts of one to four b
 written table; they are frozen into log-odds for each bit of a byte's Huffman code given its earlier bits, in tables by the hash
 of (context, node) whose size follows the number of different contexts.  A bit's probability is
 the logistic of their weighted sum.  The weights are chosen by a gate, the kind of the byte before and the bit's place; a document
-starts with weights fitted on a bounded sample and refines its own by gradient steps after every block, so later blocks are
+starts with the mean of the weights that all training texts end with and refines its own by gradient steps after every block, so later blocks are
 scored with what earlier ones taught.  The end of a text is coded as one more byte.
 """
 
@@ -29,8 +29,8 @@ TABLE_BITS = (8, 14, 15, 15, 15)
 #: Places of a table for each different context, at least, as a power of two.
 PLACES_BITS = 4
 BLOCK, RATE = 256, 0.02
-#: Training documents, and bytes of each, that the first weights are fitted on; taken by a hash of the id.
-SAMPLE_DOCS, SAMPLE_BYTES = 64, 4096
+#: Rounds over all training texts that fit the first weights.
+ROUNDS = 4
 #: Words with their counts that every worker holds, at most; the other words of a document are joined by shuffle.
 HOT_WORDS = 150_000
 #: Words that a training task counts before it hands them on.
@@ -248,6 +248,34 @@ def gather(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, slot long, n long")
 
 
+def fitted(docs: DataFrame, mixer: Mixer) -> np.ndarray:
+    """Mean of the weights that each whole text of docs ends with, starting from the mixer's; the mixer's if there is no text.
+
+    Sums are of whole numbers, so they don't hang on how rows are dealt.
+    """
+    box, unit, shape = docs.sparkSession.sparkContext.broadcast(mixer), 1 << 24, mixer.weights.shape
+    schema = pa.schema([("i", pa.int32()), ("s", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(shape, np.int64), 0
+        for b in batches:
+            texts = [t.encode().translate(ASCII_LOWER) for t in b.column(0).to_pylist()]
+            if texts:
+                total += np.rint(box.value.bits(texts)[1].astype(np.float64) * unit).astype(np.int64).sum(0)
+                n += len(texts)
+        cells = np.arange(total.size, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.ravel()), pa.array(np.full(total.size, n))], schema=schema)
+
+    bounded_batches(docs.sparkSession)
+    sums = docs.where("text is not null").select("text").mapInArrow(run, "i int, s long, n long").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()  # one row a weight
+    box.unpersist()
+    out = mixer.weights.ravel().copy()
+    for r in sums:
+        if r["n"]:
+            out[r["i"]] = r["s"] / unit / r["n"]
+    return out.reshape(shape)
+
+
 def train(docs: DataFrame) -> tuple[Mixer, DataFrame, int, int]:
     """The mixer, the table of word counts (word, c), and all and different tokens of the training texts (null: empty)."""
     seen = write_out(gather(docs), "lm-counts")
@@ -263,11 +291,8 @@ def train(docs: DataFrame) -> tuple[Mixer, DataFrame, int, int]:
         code = code or Code.of(np.bincount(keys & 255, n, 256))  # from contexts of one byte
         tables.append(code.table(keys, n, 1 << max(bits, PLACES_BITS + max(1, different.get(k, 0) - 1).bit_length())))
     mixer = Mixer(code, tables, np.full((3 * _DEPTHS, len(tables)), 0.3, np.float32))
-    able = docs.where("text is not null")
-    few = able.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.substring("text", 1, SAMPLE_BYTES).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
-    sample = [r["t"].encode().translate(ASCII_LOWER) for r in few]
-    for _ in range(4 if sample else 0):
-        mixer = Mixer(code, tables, mixer.bits(sample)[1].mean(0))
+    for _ in range(ROUNDS if tokens else 0):
+        mixer = Mixer(code, tables, fitted(docs, mixer))
     return mixer, vocabulary, int(tokens), int(distinct)
 
 
