@@ -38,3 +38,17 @@ def approximate_distance(codes: Column, scale: Column, sqnorm: Column, query: tu
         return -scale * qs * dot
     norm = F.sqrt(sqnorm.cast("double")) * math.sqrt(qn)
     return F.when(norm == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1.0 - dot / norm)))
+
+
+def approximate_kernel(codes: np.ndarray, scale: np.ndarray, sqnorm: np.ndarray, queries: np.ndarray, metric: Metric) -> np.ndarray:
+    """approximate_distance of rows to each query, as (rows, queries)."""
+    asked = [encode_query(q.tolist()) for q in queries]
+    dot = codes.astype(np.float64) @ np.array([q for q, _, _ in asked], np.float64).T  # whole numbers
+    scale, sqnorm = scale[:, None], sqnorm[:, None].astype(np.float64)
+    qs, qn = np.array([x for _, x, _ in asked])[None], np.array([x for _, _, x in asked], np.float64)[None]
+    if metric is Metric.SQUARED_L2:
+        return np.maximum(0.0, scale * scale * sqnorm + qs * qs * qn - 2.0 * scale * qs * dot)
+    if metric is Metric.INNER_PRODUCT:
+        return -scale * qs * dot
+    norm = np.sqrt(sqnorm) * np.sqrt(qn)
+    return np.where(norm == 0, 1.0, np.clip(1.0 - dot / np.where(norm == 0, 1.0, norm), 0.0, 2.0))

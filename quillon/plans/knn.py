@@ -82,8 +82,8 @@ def auto(df: DataFrame, query: list[float], k: int, metric: Metric, options: Sea
     return exact(rows, query, k, metric, id_col, vector), Report("exact", reason, counts["m"], counts["m"] if k else 0, found, metric.value, found)
 
 
-def many(df: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col: str = "id", vector: str = "vector") -> DataFrame:
-    """(qid, id, distance, rank) for each row of queries (qid, vector).
+def many(df: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col: str = "id", vector: str = "vector", candidates: int | None = None) -> DataFrame:
+    """(qid, id, distance, rank) for each row of queries (qid, vector); with candidates, of so many by 8-bit codes for each query.
 
     Each Arrow batch keeps its k best for a query, so at most k rows per query and batch are shuffled, and no pair is a row
     before that.  Query vectors are broadcast within a fixed bound, in turns if there are more.
@@ -102,8 +102,12 @@ def many(df: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col: str
         held.append(row)
         cells += len(row["vector"])
     turns.append(held)
+    if candidates is not None and not k <= candidates <= MAX_SQ8_CANDIDATES:
+        raise invalid("candidates must be k to 65536")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+    if candidates is not None:
+        rows = quantize.encode(rows, "v").select("id", "v", "codes", "scale", "sqnorm")
+    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("distance", pa.float64()), ("near", pa.float64())])
     parts = []
     for turn in (t for t in turns if t):
         box = df.sparkSession.sparkContext.broadcast((np.array([r["qid"] for r in turn]), np.array([r["vector"] for r in turn], np.float32)))
@@ -116,16 +120,24 @@ def many(df: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col: str
                 step = max(1, (1 << 21) // max(1, len(ids)))
                 for at in range(0, len(qids), step):
                     d = kernel(x, q[at : at + step], metric)
-                    some = min(k, len(ids))
-                    limit = np.partition(d, some - 1, axis=0)[some - 1]
-                    n, j = np.nonzero(d <= limit[None, :])  # ties stay; the window decides
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[at + j]), pa.array(ids[n]), pa.array(d[n, j])], schema=schema)
-
-        parts.append(rows.mapInArrow(run, "qid long, id long, distance double"))
+                    near, some = d, min(k, len(ids))
+                    if candidates is not None:
+                        codes = np.asarray(b.column(2).flatten()).reshape(len(ids), -1)
+                        near = quantize.approximate_kernel(codes, np.asarray(b.column(3)), np.asarray(b.column(4)), q[at : at + step], metric)
+                        some = min(candidates, len(ids))
+                    limit = np.partition(near, some - 1, axis=0)[some - 1]
+                    n, j = np.nonzero(near <= limit[None, :])  # ties stay; the window decides
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[at + j]), pa.array(ids[n]), pa.array(d[n, j]), pa.array(near[n, j])], schema=schema)
+
+        parts.append(rows.mapInArrow(run, "qid long, id long, distance double, near double"))
     if not parts:
         return df.sparkSession.createDataFrame([], "qid long, id long, distance double, rank int")
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
+    if candidates is not None:
+        nearest = Window.partitionBy("qid").orderBy("near", "id")
+        found = found.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= candidates).drop("place")
+    found = found.drop("near")
     order = Window.partitionBy("qid").orderBy("distance", zero_sign(F.col("distance")), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
