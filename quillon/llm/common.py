@@ -16,8 +16,9 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 #: Lower-cases A-Z only.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
-_tables: list[tuple[SparkSession, str]] = []
+DICTIONARY_BYTES = 16 << 20
 _written: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,20 +39,42 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def write_out(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing before it."""
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing before it.
+
+    Dictionaries may be larger than usual: hashes of words and keys of rows repeat, and are long otherwise.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.dictionary.page.size", DICTIONARY_BYTES).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_quillon_path"] = path
+    return out
 
 
-def write_bucketed(df: DataFrame, name: str, key: str, *order: str) -> DataFrame:
-    """Writes df as a table dealt by key, one file a bucket; joins and windows by key then need no exchange."""
-    spark = df.sparkSession
-    n = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = f"quillon_{name}_{uuid.uuid4().hex}"
-    df.repartition(n, key).sortWithinPartitions(key, *order).write.bucketBy(n, key).sortBy(key, *order).saveAsTable(table)
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables of write_out that nothing will read again."""
+    for df in tables:
+        if path := df.__dict__.pop("_quillon_path", None):
+            _delete(df.sparkSession, path)
+            _written.remove((df.sparkSession, path))
+
+
+def keep_table(spark: SparkSession, table: str) -> DataFrame:
+    """A written table, which goes when the driver ends, or with drop_table."""
     _tables.append((spark, table))
-    return spark.table(table)
+    out = spark.table(table)
+    out.__dict__["_quillon_table"] = table
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    table = df.__dict__.pop("_quillon_table")
+    _tables.remove((df.sparkSession, table))
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
@@ -63,9 +86,7 @@ def _clean() -> None:
             break
     for spark, path in reversed(_written):
         try:
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session has gone, with it the cluster's folders
             return
 
@@ -111,5 +132,19 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 def n_words(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``, JVM-side; null text has none."""
-    flat = F.translate(F.coalesce(text, F.lit("")), WORD_SPACE, " " * 6)
-    return F.size(F.array_remove(F.split(flat, " "), "")).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{WORD_SPACE}]+"), "")).cast("long")
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that no name can clash with an operator's own."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of df in a form that hashes: those that hold maps as JSON."""
+    return [F.to_json(F.col(quoted(f.name))) if "map<" in f.dataType.simpleString() or f.dataType.typeName() == "variant" else F.col(quoted(f.name)) for f in df.schema]
