@@ -4,11 +4,16 @@ Each language has counts of what follows every context of up to four bytes, lear
 and then frozen.  A context that has seen n symbols, d of them distinct, gives a seen symbol count / (n + d) and escapes with
 d / (n + d) to the context one byte shorter, whose probabilities are rescaled without the symbols already seen; below the
 empty context all bytes are alike.  A text's code length under a language is the exact sum of -log2 of these over its bytes;
-the shortest code wins.  As statistics are frozen, every (context, byte) has a fixed length, so scoring is a table look-up.
+the shortest code wins.
+
+No context is left out.  The tables are sparse: one row for each (context, byte) that a language of a group has seen, found by
+hash, with that byte's length in each of the group's languages; a byte that none has seen after the longest context is found
+after a shorter one, and costs the escapes in between besides.  Tables of a few languages each are built by executors.
 """
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,15 +26,17 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, map_rows, remainder
 
 ORDER = 4
-#: Labelled rows per language and languages that the classifier is fitted on, at most; taken by a hash of their id.
-SAMPLE_ROWS, MAX_LANGUAGES = 200, 64
-#: Cells (contexts x byte classes x languages) of the table that is broadcast: 16 MB of float32 at most.
-MAX_CELLS = 4_000_000
+#: Labelled rows of each language that the classifier is fitted on, at most, taken by a hash of their id; and characters after
+#: which no further row is taken.
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 1 << 21
+#: Languages whose tables are built together.
+GROUP = 8
 UNKNOWN = "und"
 #: A text whose best language has less than this share of the likelihoods is rejected in the pipeline.
 LEAST_SCORE = 0.5
 _PAD = b"\n" * ORDER
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normalised(text: bytes) -> bytes:
@@ -49,13 +56,17 @@ def _grams(data: bytes) -> np.ndarray:
     return g
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most `rows` labelled rows of each language, chosen by a hash of the id among those whose crc32(doc_id) mod 4 is not 2."""
-    able = docs.where((remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    picked = able.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
-    # a few thousand ids: languages x rows
-    return able.select("doc_id", "lang", "text").join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(lang, text): a bounded number of labelled rows of each language whose crc32(doc_id) mod 4 is not 2, whole texts."""
+    able = docs.where((remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
+    keyed = able.select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.xxhash64("text").alias("t"), F.length("text").alias("n"))
+    first = keyed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
+    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    picked = first.withColumn("before", before).where(F.col("before") < chars).select("lang", F.col("doc_id").alias("id"), "t").distinct()
+    # `rows` ids for each language, whatever the corpus
+    same = (F.col("a.lang") == F.col("p.lang")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("t"))
+    return able.alias("a").join(F.broadcast(picked).alias("p"), same, "left_semi").select("lang", "text")
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
@@ -67,7 +78,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
         for lang, text in zip(cols["lang"], cols["text"], strict=True):
             by.setdefault(lang, []).append(_PAD + normalised(text))
         for lang, texts in by.items():
-            g, n = np.unique(np.concatenate([_grams(t) for t in texts]), return_counts=True)
+            g, n = np.unique(np.concatenate([_grams(t) for t in texts]), return_counts=True)  # an empty text has none
             out["lang"] += [lang.decode()] * len(g)
             out["gram"] += g.tolist()
             out["n"] += n.tolist()
@@ -76,35 +87,94 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return map_rows(rows.select("lang", "text"), count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Keys:
+    """Places of integer keys, by open addressing in an array at least twice as long."""
+
+    def __init__(self, keys: np.ndarray, slots: np.ndarray | None = None):
+        self.keys = keys
+        if slots is None:
+            slots = np.full(1 << (2 * max(1, len(keys)) - 1).bit_length(), -1, np.int32)
+            todo, at = np.arange(len(keys), dtype=np.int32), self._home(keys, len(slots))
+            while len(todo):
+                free = slots[at] < 0
+                slots[at[free]] = todo[free]  # of those that meet at a place, the last one has it
+                left = slots[at] != todo
+                todo, at = todo[left], (at[left] + 1) & (len(slots) - 1)
+        self.slots = slots
+
+    @staticmethod
+    def _home(keys: np.ndarray, size: int) -> np.ndarray:
+        return (keys.astype(np.uint64) * _ODD >> np.uint64(65 - size.bit_length())).view(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 if there is none."""
+        if not len(self.keys):
+            return np.full(len(wanted), -1, np.int32)
+        at = self._home(wanted, len(self.slots))
+        out = self.slots[at]
+        open_ = np.flatnonzero((out >= 0) & (self.keys[out] != wanted))
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & (len(self.slots) - 1)
+            got = self.slots[at]
+            out[open_] = got
+            on = (got >= 0) & (self.keys[got] != wanted[open_])
+            open_, at = open_[on], at[on]
+        return out
+
+
 @dataclass
-class Model:
-    """Tables of frozen code lengths; contexts of three bytes are dense, those of four are reached through a seen three."""
+class Tables:
+    """Of a group of languages: what each (context, byte) costs, and the escapes from each context down to none."""
+
+    pairs: Keys  # a one, the context's bytes, the byte
+    cost: np.ndarray  # (pair, language): bits, less the escapes of the pair's own context
+    contexts: Keys  # a one, the context's bytes
+    escapes: np.ndarray  # (context, language)
+    unseen: float = 8.0  # bits of a byte below the empty context
+
+    def lengths(self, five: np.ndarray) -> np.ndarray:
+        """Bits of each byte after its four, in each language; five: those five bytes as an integer."""
+        out = np.full((len(five), self.cost.shape[1]), self.unseen, np.float32)
+        todo = np.arange(len(five))
+        for k in range(ORDER, -1, -1):
+            key = five[todo] & ((1 << 8 * (k + 1)) - 1) | 1 << 8 * (k + 1)
+            got = self.pairs.find(key)
+            hit = got >= 0
+            out[todo[hit]] = self.cost[got[hit]]
+            todo = todo[~hit]
+            if not len(todo):
+                break
+        todo, four = np.arange(len(five)), five >> 8
+        for k in range(ORDER, -1, -1):  # the longest known context
+            got = self.contexts.find(four[todo] & ((1 << 8 * k) - 1) | 1 << 8 * k)
+            hit = got >= 0
+            out[todo[hit]] += self.escapes[got[hit]]
+            todo = todo[~hit]
+            if not len(todo):
+                break
+        return out
+
 
+@dataclass
+class Model:
     languages: list[str]
-    cls: np.ndarray  # byte -> class; class 0: bytes that training never saw
-    third: np.ndarray  # three classes -> number of a seen context, 0: none
-    fourth: np.ndarray  # (that number, class) -> node, 0: none
-    upto3: np.ndarray  # three classes -> node of the longest known context in them
-    bits: np.ndarray  # (node, class, language)
+    groups: list[Tables]
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths in bits, (texts, languages); texts are normalised."""
-        a = self.bits.shape[1]
         total = np.zeros((len(texts), len(self.languages)))
-        flat = self.bits.reshape(-1, len(self.languages))
         for first, last in _chunks([len(t) for t in texts]):
-            c = self.cls[np.frombuffer(b"".join(_PAD + t for t in texts[first:last]), np.uint8)]
-            three = (c[:-2] * a + c[1:-1]) * a + c[2:]
-            node = self.fourth[self.third[three[:-2]] * a + c[3:-1]]
-            node = np.where(node > 0, node, self.upto3[three[1:-1]])
-            cost = flat[node * a + c[ORDER:]]
             lens = np.array([len(t) for t in texts[first:last]])
-            starts = np.cumsum(lens + ORDER) - (lens + ORDER)
             full = np.flatnonzero(lens)
-            edges = np.stack([starts[full], starts[full] + lens[full]], 1).ravel()
-            if len(full):
-                cost = np.concatenate([cost, np.zeros((1, cost.shape[1]), cost.dtype)])
-                total[first + full] = np.add.reduceat(cost, edges, axis=0, dtype=np.float64)[::2]
+            if not len(full):
+                continue
+            five = _grams(b"".join(_PAD + texts[first + i] for i in full))
+            starts = np.cumsum(lens[full] + ORDER) - (lens[full] + ORDER)
+            edges = np.stack([starts, starts + lens[full]], 1).ravel()
+            cost = np.concatenate([g.lengths(five) for g in self.groups], 1)
+            cost = np.concatenate([cost, np.zeros((1, cost.shape[1]), cost.dtype)])
+            total[first + full] = np.add.reduceat(cost, edges, axis=0, dtype=np.float64)[::2]
         return total
 
 
@@ -118,71 +188,59 @@ def _chunks(lens: list[int], most: int = 1 << 19) -> list[tuple[int, int]]:
     return [*out, (first, len(lens))] if lens else []
 
 
-def fit(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_cells: int = MAX_CELLS) -> Model:
-    """lang: index of each gram's language."""
-    by = np.stack([gram >> (8 * k) & 255 for k in range(ORDER, -1, -1)], 1)
-    seen = np.unique(by)
-    cls = np.zeros(256, np.int64)
-    cls[seen] = np.arange(1, len(seen) + 1)
-    c, a, many = cls[by], len(seen) + 1, len(languages)
-    weight = np.ones(a)
-    weight[0] = 256 - len(seen)  # bytes of the class
-    least = 4
-    while True:  # contexts rarer than `least` are left out, the more so the larger the table would be
-        nodes: list[np.ndarray] = [np.zeros(1, np.int64)]
-        for k in range(1, ORDER + 1):
-            key = np.zeros(len(c), np.int64)
-            for j in range(ORDER - k, ORDER):
-                key = key * a + c[:, j]
-            u, inv = np.unique(key, return_inverse=True)
-            nodes.append(u[np.bincount(inv, n) >= (least if k > 2 else 1)])
-        if sum(map(len, nodes)) * a * many <= max_cells:
-            break
-        least *= 2
-    first = np.cumsum([0, *map(len, nodes)])
-    prob = np.zeros((first[-1], a, many), np.float32)
+def fit(many: int, lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Tables:
+    """Tables of `many` languages; lang is the number of each gram's language, n how often the gram occurs there."""
+    keys: list[np.ndarray] = []
+    costs: list[np.ndarray] = []
+    contexts: list[np.ndarray] = []
+    escapes: list[np.ndarray] = []
     for k in range(ORDER + 1):
-        key = np.zeros(len(c), np.int64)
-        for j in range(ORDER - k, ORDER):
-            key = key * a + c[:, j]
-        at = np.searchsorted(nodes[k], key).clip(max=len(nodes[k]) - 1)
-        ok = nodes[k][at] == key
-        count = np.bincount((at[ok] * a + c[ok, ORDER]) * many + lang[ok], n[ok], len(nodes[k]) * a * many).reshape(-1, a, many)
-        if k == 0:
-            lower = np.full((1, a, many), 1 / 256)
-        elif k == 1:
-            lower = np.repeat(prob[:1], len(nodes[1]), 0)
-        else:  # a context's suffix occurs at least as often as it does
-            lower = prob[first[k - 1] + np.searchsorted(nodes[k - 1], nodes[k] % a ** (k - 1))]
-        total, distinct, had = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True), count > 0
-        rest = np.where(had, 0, lower * weight[None, :, None]).sum(1, keepdims=True)
+        low = (1 << 8 * (k + 1)) - 1
+        pair, inv = np.unique(gram & low, return_inverse=True)
+        count = np.bincount(inv * many + lang, n, len(pair) * many).reshape(-1, many)
+        context, of = np.unique(pair >> 8, return_inverse=True)
+        had = count > 0
+        each = lambda x, of=of, m=len(context): np.stack([np.bincount(of, x[:, j], m) for j in range(many)], 1)
+        total, distinct = each(count), each(had)
+        if k:
+            shorter = bits[np.searchsorted(keys[-1], pair & low >> 8)]  # what the bytes cost after one byte less  # noqa: F821
+            below = escapes[-1][np.searchsorted(contexts[-1], context & low >> 16)]
+        else:
+            shorter, below = np.full((len(pair), many), 8.0), np.zeros((len(context), many))
+        rest = np.maximum(1 - each(np.where(had, np.exp2(-shorter), 0)), 1e-9)
         with np.errstate(invalid="ignore", divide="ignore"):
-            escape = np.where(total > 0, distinct / (total + distinct), 1.0) / np.where(rest > 0, rest, 1)
-            prob[first[k] : first[k + 1]] = np.where(had, count / (total + distinct), escape * lower)
-    third = np.zeros(a**3, np.int64)
-    known = np.unique(nodes[4] // a)
-    third[known] = np.arange(1, len(known) + 1)
-    fourth = np.zeros((len(known) + 1) * a, np.int64)
-    fourth[third[nodes[4] // a] * a + nodes[4] % a] = first[4] + np.arange(len(nodes[4]))
-    upto3 = np.zeros(a**3, np.int64)
-    for k in range(1, 4):
-        of = np.zeros(a**k, np.int64)
-        of[nodes[k]] = first[k] + np.arange(len(nodes[k]))
-        deep = of[np.arange(a**3) % a**k]
-        upto3 = np.where(deep > 0, deep, upto3)
-    small = lambda x: x.astype(np.int32)
-    return Model(languages, small(cls), small(third), small(fourth), small(upto3), (-np.log2(np.maximum(prob, 1e-30))).astype(np.float32))
-
-
-def train(docs: DataFrame, rows: int = SAMPLE_ROWS, max_cells: int = MAX_CELLS) -> Model | None:
-    """The model of a bounded sample; None if no row can teach anything."""
-    seen = gram_counts(sample(docs, rows)).toPandas()
-    if not len(seen):
-        return None
-    languages = sorted(seen["lang"].unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES}")
-    return fit(languages, np.searchsorted(languages, seen["lang"].to_numpy()), seen["gram"].to_numpy(), seen["n"].to_numpy().astype(float), max_cells)
+            out = np.where(total > 0, np.log2(rest) - np.log2(distinct / (total + distinct)), 0.0)
+            bits = np.where(had, np.log2((total + distinct)[of]) - np.log2(count), out[of] + shorter)
+        keys.append(pair)
+        contexts.append(context)
+        escapes.append(below + out)
+        costs.append(bits - escapes[-1][of])
+    marked = lambda found, extra: np.concatenate([x | 1 << 8 * (k + extra) for k, x in enumerate(found)])
+    return Tables(Keys(marked(keys, 1)), np.concatenate(costs).astype(np.float32), Keys(marked(contexts, 0)), np.concatenate(escapes).astype(np.float32))
+
+
+def train(docs: DataFrame, rows: int = SAMPLE_ROWS, group: int = GROUP) -> Model | None:
+    """The model of a bounded sample; None if no row can teach anything.  Any number of languages: tables grow in proportion."""
+    spark = docs.sparkSession
+    seen = gram_counts(sample(docs, rows))
+    languages = sorted(r["lang"] for r in docs.where(F.col("lang").isNotNull()).select("lang").distinct().collect())  # one row a language
+    number = spark.createDataFrame([(name, k // group, k % group) for k, name in enumerate(languages)], "lang string, part int, k long")
+
+    def build(part: pa.Table) -> pa.Table:
+        k = part["k"].to_numpy()
+        mine, k = np.unique(k, return_inverse=True)  # languages of this group that the sample has
+        t, out = fit(len(mine), k, part["gram"].to_numpy(), part["n"].to_numpy().astype(float)), io.BytesIO()
+        np.savez(out, mine=mine, pairs=t.pairs.keys, cost=t.cost, contexts=t.contexts.keys, escapes=t.escapes)
+        return pa.table({"part": pa.array([part["part"][0].as_py()], pa.int32()), "tables": pa.array([out.getvalue()], pa.binary())})
+
+    counted = seen.join(F.broadcast(number), "lang").select("part", "k", "gram", "n")
+    built = counted.groupBy("part").applyInArrow(build, "part int, tables binary").orderBy("part").collect()  # tables of the bounded sample
+    names, groups = [], []
+    for r in built:
+        with np.load(io.BytesIO(r["tables"])) as x:
+            names += [languages[r["part"] * group + int(k)] for k in x["mine"]]
+            groups.append(Tables(Keys(x["pairs"]), x["cost"], Keys(x["contexts"]), x["escapes"]))
+    return Model(names, groups) if names else None
 
 
 def _judge(m: Model | None, texts: list[bytes | None]) -> tuple[list, list, list]:
