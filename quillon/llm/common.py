@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,11 +52,17 @@ def write_out(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_written(*tables: DataFrame) -> None:
-    """Deletes tables of write_out that nothing will read again."""
+    """Deletes tables of write_out that nothing will read again, and lets go the shuffle files of the jobs that made them.
+
+    Spark deletes those when the driver's garbage is collected, which may be much later.
+    """
     for df in tables:
         if path := df.__dict__.pop("_quillon_path", None):
             _delete(df.sparkSession, path)
             _written.remove((df.sparkSession, path))
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def keep_table(spark: SparkSession, table: str) -> DataFrame:

@@ -1,140 +1,138 @@
 """Document fingerprints by invertible Bloom lookup sketches of passage digests.
 
-A text's passages (lines, and sentences of a line) are hashed to 64 bits.  A sketch has blocks of three rows of sixteen cells;
-a digest goes to one block and there to one cell of each row, which keeps the number, the XOR of the digests and the XOR of
-their check values.  The difference of two sketches holds only what differs; cells with a single digest give it away, it is
-taken out of its other cells, and so on.  If that stops early, both texts are sketched again with more blocks.  The
-fingerprint is the sketch with a single block.
+A text's passages (lines, and sentences of a line) are hashed to 64 bits.  A sketch has three rows of cells; a digest goes to one
+cell of each row, and a cell keeps the number, the XOR of the digests and the XOR of their check values.  Sketches are linear: the
+difference of two holds only what differs.  A cell with a single digest gives it away, it is taken out of its other cells, and so
+on.  Two texts are compared by sketches as large as an estimate of their difference asks for; where peeling stops early, both
+are sketched again, twice as large and with other hashes, until everything is recovered.  The fingerprint is a sketch of fixed size.
+
+Cells are rows of a table, so that building and peeling are aggregates; they are dealt by ranges of documents once and never move.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS, WIDTH, ROUNDS = 3, 16, 12
-#: Digests of both texts for each block of a retry; a further one has four times the blocks.
-PER_BLOCK = 16
-#: Documents of a range, about, within which each is brought together with the next one; and ranges at most.
+from .common import drop_table, keep_table, write_out
+
+#: Rows of a sketch, and cells in each row of a fingerprint.
+ROWS, WIDTH = 3, 16
+#: Cells in a row for each digest of the estimated difference, and cells besides.  Peeling takes rows in turns.
+PER_DIGEST, MORE_CELLS, TURNS = 1.0, 8, 6
+#: Smallest digests of each text that the estimate compares.
+SAMPLE = 16
+#: Documents of a range, about, within which each is brought together with the next one; and ranges at most (a range beyond that
+#: holds a share of the rows, which one task sorts on disk).
 RANGE_ROWS, MAX_RANGES = 256, 1 << 14
 _PASSAGE = r"\n|(?<=[.!?]) +"
 
 
-def _let(value: Column, use) -> Column:
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def digests(text: Column) -> Column:
-    """Different passages of a text by their hash; none if it is empty."""
-    return F.array_distinct(F.transform(F.array_remove(F.split(text, _PASSAGE), ""), lambda p: F.xxhash64(p)))
+    """Different passages of a text by their hash, in order; none if it is empty."""
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(text, _PASSAGE), ""), lambda p: F.xxhash64(p))))
 
 
 def _check(key: Column) -> Column:
-    return F.xxhash64(key, F.lit(7)).bitwiseAND(F.lit(0xFFFFFFFF))
-
-
-def _cells() -> Column:
-    """Bits of a digest that each cell of a block looks at, and their value there."""
-    shifts = [(40 + 4 * row, value) for row in range(ROWS) for value in range(WIDTH)]
-    return F.array(*[F.struct(F.lit((WIDTH - 1) << at).alias("m"), F.lit(v << at).alias("v")) for at, v in shifts])
-
-
-def _in(key: Column, cell: Column) -> Column:
-    return key.bitwiseAND(cell["m"]) == cell["v"]
-
-
-def cells(keys: Column) -> Column:
-    """One block's cells of these digests."""
-    zero = F.lit(0).cast("long")
-    xor = lambda ks, of: F.aggregate(ks, zero, lambda a, h: a.bitwiseXOR(of(h)))
-    none = F.struct(F.lit(0).alias("n"), zero.alias("k"), zero.alias("x"))
-    one = lambda ks: F.when(F.size(ks) == 0, none).otherwise(F.struct(F.size(ks).alias("n"), xor(ks, lambda h: h).alias("k"), xor(ks, _check).alias("x")))
-    return F.transform(_cells(), lambda c: _let(F.filter(keys, lambda h: _in(h, c)), one))
-
-
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda p, q: F.struct((p["n"] - q["n"]).alias("n"), p["k"].bitwiseXOR(q["k"]).alias("k"), p["x"].bitwiseXOR(q["x"]).alias("x")))
-
+    return F.xxhash64(key, F.lit(7))
 
-_STATE = "struct<cells:array<struct<n:int,k:bigint,x:bigint>>,found:array<struct<k:bigint,n:int>>,on:boolean>"
 
+def _cell(key: Column, row: int, seed: int) -> Column:
+    """Number of a digest's cell in one row of a sketch of w cells a row."""
+    return F.pmod(F.xxhash64(key, F.lit(seed), F.lit(row)), F.col("w")) + F.col("w") * row
 
-def peel(diff: Column) -> Column:
-    """struct(cells left, found (k, n: 1 only in the first, -1 only in the second), on) of one block's difference."""
-    start = F.struct(diff.alias("cells"), F.array().cast("array<struct<k:bigint,n:int>>").alias("found"), F.lit(True).alias("on")).cast(_STATE)
 
-    def out_of(state: Column, pure: Column) -> Column:
-        def cell(c: Column, place: Column) -> Column:
-            taken = lambda hit: F.struct(
-                F.aggregate(hit, c["n"], lambda a, p: a - p["n"]).alias("n"),
-                F.aggregate(hit, c["k"], lambda a, p: a.bitwiseXOR(p["k"])).alias("k"),
-                F.aggregate(hit, c["x"], lambda a, p: a.bitwiseXOR(_check(p["k"]))).alias("x"),
-            )
-            return _let(F.filter(pure, lambda p: _in(p["k"], place)), lambda hit: F.when(F.size(hit) == 0, c).otherwise(taken(hit)))
+def sketch(rows: DataFrame, by: tuple[str, ...], seed: int) -> DataFrame:
+    """rows(by, w, s, key) -> (by, w, c, n, k, x): the cells, but empty ones, of digests added (s 1) and taken away (s -1)."""
+    each = rows.select(*by, "w", "s", "key", _check(F.col("key")).alias("check"), F.explode(F.array(*[_cell(F.col("key"), r, seed) for r in range(ROWS)])).alias("c"))
+    cells = each.groupBy(*by, "w", "c").agg(F.sum("s").alias("n"), F.bit_xor("key").alias("k"), F.bit_xor("check").alias("x"))
+    return cells.where("n <> 0 or k <> 0 or x <> 0")
 
-        return F.struct(F.zip_with(state["cells"], _cells(), cell).alias("cells"), F.concat(state["found"], pure).alias("found"), F.lit(True).alias("on"))
 
-    def turn(state: Column, _: Column) -> Column:
-        alone = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["x"] == _check(c["k"])))
-        pure = F.array_distinct(F.transform(alone, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"))))
-        off = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("on"))
-        return F.when(state["on"], _let(pure, lambda p: F.when(F.size(p) > 0, out_of(state, p)).otherwise(off))).otherwise(state)
+def peel(cells: DataFrame, by: tuple[str, ...], row: int, seed: int) -> DataFrame:
+    """One turn: what is alone in a cell of this row is found, and taken out of its cells of the other rows.
 
-    return F.aggregate(diff_rounds(), start, turn)
-
-
-def diff_rounds() -> Column:
-    return F.array(*[F.lit(k) for k in range(ROUNDS)])
-
-
-def _clear(state: Column) -> Column:
-    return F.forall(state["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["x"] == 0))
-
-
-def difference(a: Column, b: Column, per_block: int) -> Column:
-    """Found digests (k, n) by sketches of as many blocks as the digests a and b need; null if peeling stops early."""
-    blocks = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / per_block)).cast("int")
-
-    def at(n: Column) -> Column:
-        in_block = lambda keys, s: F.filter(keys, lambda h: F.pmod(h, n) == s)
-        states = F.transform(F.sequence(F.lit(0), n - 1), lambda s: peel(subtract(cells(in_block(a, s)), cells(in_block(b, s)))))
-        return _let(states, lambda x: F.when(F.forall(x, _clear), F.flatten(F.transform(x, lambda s: s["found"]))))
-
-    return _let(blocks, at)
-
-
-def compared(df: DataFrame, pairs: dict[str, tuple[str, str, str, str]]) -> DataFrame:
-    """df plus, for each name, the digests found to differ: from (cells, cells, digests, digests) columns.
-
-    First the single blocks are subtracted and peeled; where that stops early, sketches sized for the texts are, then
-    sketches of four times that size; what is left then (none in practice) is compared directly.
+    cells(by, w, c, n, k, x, g) has found digests as rows with c -1, n 1 or -1 and the digest as g; of cells g is 0.  As a digest has
+    but one cell in a row, none is found twice in a turn.
     """
-    first = {f"__{n}": peel(subtract(F.col(a), F.col(b))) for n, (a, b, _, _) in pairs.items()}
-    df = df.withColumns(first)
-    df = df.withColumns({f"{n}": F.when(_clear(F.col(f"__{n}")), F.col(f"__{n}.found")) for n in pairs})
-    for per_block in (PER_BLOCK, PER_BLOCK / 4):
-        df = df.withColumns({n: F.when(F.col(n).isNotNull(), F.col(n)).otherwise(difference(F.col(p[2]), F.col(p[3]), per_block)) for n, p in pairs.items()})
-    signed = lambda ks, n: F.transform(ks, lambda k: F.struct(k.alias("k"), F.lit(n).alias("n")))
-    return df.withColumns({n: F.coalesce(F.col(n), F.concat(signed(F.array_except(p[2], p[3]), 1), signed(F.array_except(p[3], p[2]), -1))) for n, p in pairs.items()})
-
+    k, w = F.col("k"), F.col("w")
+    alone = (F.col("c") >= w * row) & (F.col("c") < w * (row + 1)) & (F.abs("n") == 1) & (F.col("x") == _check(k)) & (F.col("c") == _cell(k, row, seed))
+    zero = F.lit(0).cast("long")
+    line = lambda c, n, k, x, g: F.struct(c.alias("c"), n.alias("n"), k.alias("k"), x.alias("x"), g.alias("g"))
+    out = [line(_cell(k, r, seed), -F.col("n"), k, _check(k), zero) for r in range(ROWS) if r != row]
+    found = line(F.lit(-1).cast("long"), F.col("n"), zero, zero, k)
+    same = line(*map(F.col, ("c", "n", "k", "x", "g")))
+    moved = cells.select(*by, "w", F.inline(F.when(alone, F.array(*out, found)).otherwise(F.array(same))))
+    left = moved.groupBy(*by, "w", "c", "g").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("x").alias("x"))
+    return left.where("n <> 0 or k <> 0 or x <> 0").select(*by, "w", "c", "n", "k", "x", "g")
 
-def likeness(found: Column, a: Column, b: Column) -> Column:
-    """Share of common digests among all of both; 1 if neither has any."""
-    mine = F.size(F.filter(found, lambda f: f["n"] == 1))
-    all_ = F.size(b) + mine
-    return F.when(all_ == 0, 1.0).otherwise((F.size(a) - mine) / all_)
 
+def recover(pairs: DataFrame, buckets: int) -> DataFrame:
+    """pairs(range, id, w, a, b) -> (id, k, n, tries): the digests only in a (n 1) and only in b (n -1), and sketches it took.
 
-def shown(block: Column) -> Column:
-    """A block's cells as text."""
-    return F.array_join(F.transform(block, lambda c: F.concat_ws(".", F.hex(c["n"].cast("long")), F.hex(c["k"]), F.hex(c["x"]))), " ")
+    w is the first number of cells in a row.  Nothing but sketches of a and b is compared.
+    """
+    by, found, seed, todo = ("range", "id"), [], 0, pairs
+    while True:
+        both = F.array(F.struct(F.lit(1).cast("long").alias("s"), F.col("a").alias("keys")), F.struct(F.lit(-1).cast("long").alias("s"), F.col("b").alias("keys")))
+        rows = todo.select(*by, F.shiftleft(F.col("w").cast("long"), seed).alias("w"), F.inline(both)).select(*by, "w", "s", F.explode("keys").alias("key"))
+        cells, turn, known = sketch(rows, by, seed).withColumn("g", F.lit(0).cast("long")), 0, None
+        before = None
+        while True:
+            for _ in range(TURNS):
+                cells, turn = peel(cells, by, turn % ROWS, seed), turn + 1
+            cells = bucketed(cells, buckets)
+            if before is not None:
+                drop_table(before)
+            before = cells
+            left, got = cells.agg(F.count_if(F.col("c") >= 0), F.count_if(F.col("c") < 0)).first()
+            if not left or got == known:
+                break
+            known = got
+        done = cells.where("c < 0").select("id", F.col("g").alias("k"), "n", F.lit(seed + 1).alias("tries"))
+        if not left:
+            return reduce_union([*found, done])
+        stuck = write_out(cells.where("c >= 0").select("id").distinct(), "iblt-stuck")
+        found.append(write_out(done.join(stuck, "id", "left_anti"), "iblt-found"))
+        drop_table(cells)
+        todo, seed = todo.join(stuck, "id", "left_semi"), seed + 1
+
+
+def reduce_union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """df as a written table dealt by range; aggregates by range need no exchange."""
+    table = f"quillon_iblt_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, "range").saveAsTable(table)
+    return keep_table(df.sparkSession, table)
+
+
+def width(a: Column, b: Column) -> Column:
+    """Cells in a row for the difference of two sorted sets of digests, by their smallest ones."""
+    few = F.array_distinct(F.concat(F.slice(a, 1, SAMPLE), F.slice(b, 1, SAMPLE)))
+    some = F.slice(F.sort_array(few), 1, SAMPLE)  # smallest digests of both together
+    both = F.size(F.array_intersect(F.array_intersect(some, a), b))
+    like = F.when(F.size(some) == 0, 1.0).otherwise(both / F.size(some))
+    return (F.ceil((F.size(a) + F.size(b)) * (1 - like) / (1 + like) * PER_DIGEST) + MORE_CELLS).cast("long")
+
+
+def likeness(only_a: Column, a: Column, b: Column) -> Column:
+    """Share of common digests among all of both; 1 if neither has any.  only_a: how many were found only in a."""
+    return F.when(b + only_a == 0, 1.0).otherwise((a - only_a) / (b + only_a))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next): each text (null: empty) with that of the next row by doc_id, then text hash; the last with the first.
+    """(range, doc_id, text, next): each text (null: empty) with that of the next row by doc_id, then text hash; the last with the first.
 
-    Rows without a doc_id come last.  Rows are dealt to ranges of doc_id by quantiles; a range also gets the first row of
-    the following one, so texts move once and no task sees more than a range.
+    Rows without a doc_id come last.  Rows are dealt to ranges of doc_id by quantiles, an id that many rows share to ranges of
+    text hashes; a range also gets the first row of the following one, so texts move once and no task sees more than a range.
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -142,46 +140,74 @@ def with_next(docs: DataFrame) -> DataFrame:
     total = d.count()
     ranges = min(MAX_RANGES, max(1, total // RANGE_ROWS))
     quantiles = d.agg(F.percentile_approx("key", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else []
-    bounds = sorted(set(quantiles or []))
-    wide = F.split(F.lit(",".join(map(str, bounds)) or str(1 << 62)), ",").cast("array<bigint>")  # folded into a literal
+    times: dict[int, int] = {}
+    for q in quantiles or []:
+        times[q] = times.get(q, 0) + 1
+    bounds = sorted(times)
+    column = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # noqa: E731  folded into a literal
+    wide = column(bounds or [1 << 62])
     halves = F.array(*[F.lit(1 << k) for k in range(max(1, len(bounds)).bit_length() - 1, -1, -1)])
     if bounds:  # how many bounds are not above the key
         at = F.aggregate(halves, F.lit(0), lambda n, step: F.when((n + step <= len(bounds)) & (F.get(wide, n + step - 1) <= F.col("key")), n + step).otherwise(n))
+        starts = [1]
+        for b in bounds:
+            starts.append(starts[-1] + times[b])
+        d = d.withColumn("at", at)
+        before, many = F.get(column([0, *starts[:-1]]), F.col("at")), F.get(column([1, *[times[b] for b in bounds]]), F.col("at"))
+        share = F.floor((F.col("h") / 2.0**64 + 0.5) * many)
+        inside = F.when(F.get(wide, F.col("at") - 1) == F.col("key"), F.least(many - 1, share)).otherwise(many - 1)
+        d = d.withColumn("range", (before + F.when(F.col("at") > 0, inside).otherwise(0)).cast("int")).drop("at")
     else:
-        at = F.lit(0)
-    d = d.withColumn("range", at)
+        d = d.withColumn("range", F.lit(0))
     firsts = {r["range"]: r["f"] for r in d.groupBy("range").agg(F.min(F.struct("key", "h")).alias("f")).collect()}  # one row per range
     used = sorted(firsts)
     if not used:
-        return spark.createDataFrame([], "doc_id long, text string, next string")
+        return spark.createDataFrame([], "range int, doc_id long, text string, next string")
     size = max(used) + 1
-    column = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
     before = {r: used[k - 1] for k, r in enumerate(used)}  # the first range comes after the last
     full = [firsts.get(r) for r in range(size)]
     is_first = (F.get(column([f["key"] if f else 0 for f in full]), F.col("range")) == F.col("key")) & (F.get(column([f["h"] if f else 0 for f in full]), F.col("range")) == F.col("h"))
     guest = F.when(is_first, F.struct(F.get(column([before.get(r, 0) for r in range(size)]), F.col("range")).cast("int").alias("range"), F.lit(True).alias("guest")))
     dealt = d.withColumn("to", F.explode(F.array_compact(F.array(F.struct("range", F.lit(False).alias("guest")), guest)))).select("doc_id", "key", "h", "text", "to.range", "to.guest")
     order = Window.partitionBy("range").orderBy("guest", "key", "h")
-    return dealt.withColumn("next", F.lead("text").over(order)).where("not guest").select("doc_id", "text", "next")
+    return dealt.withColumn("next", F.lead("text").over(order)).where("not guest").select("range", "doc_id", "text", "next")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_chars, the edited text's SHA-256, both fingerprints and likenesses, counts.
 
     The edited text has its last half (rounded down) replaced by the start of the next document.  A null text is empty; a
-    table of one row is its own next.  Equal texts have equal fingerprints.
+    table of one row is its own next.  Equal texts have equal fingerprints; that of a text without a passage is empty.
+    n_edited counts the digests recovered against the edited text, tries the sketches that both comparisons took, one each at least.
     """
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = with_next(docs)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half))
-    d = d.select("doc_id", n.cast("long").alias("n_chars"), "text", "next", edited.alias("edited"))
-    d = d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[digests(F.col(c)).alias(k) for c, k in (("text", "a"), ("edited", "e"), ("next", "x"))])
-    d = d.withColumns({f"{k}_cells": cells(F.col(k)) for k in "aex"})
-    d = compared(d, {"to_edited": ("a_cells", "e_cells", "a", "e"), "to_next": ("a_cells", "x_cells", "a", "x")})
-    return d.select(
+    d = d.select("range", "doc_id", n.cast("long").alias("n_chars"), "text", "next", edited.alias("edited"))
+    d = d.select("range", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[digests(F.col(c)).alias(k) for c, k in (("text", "a"), ("edited", "e"), ("next", "x"))])
+    keys = bucketed(d.withColumn("row", F.monotonically_increasing_id()), buckets)
+    a, e, x = F.col("a"), F.col("e"), F.col("x")
+
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("keys")) for k, c in enumerate((a, e))])
+    each = keys.select("range", "row", F.inline(kinds)).select("range", "row", "kind", F.lit(WIDTH).cast("long").alias("w"), F.lit(1).cast("long").alias("s"), F.explode("keys").alias("key"))
+    cells = sketch(each, ("range", "row", "kind"), 0)
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "n", "k", "x"))), lambda c: F.concat_ws(".", F.hex(c["c"]), F.hex(c["n"]), F.hex(c["k"]), F.hex(c["x"]))), " ")
+    blocks = cells.groupBy("range", "row", "kind").agg(shown.alias("block"))
+    prints = blocks.groupBy("range", "row").agg(*[F.max(F.when(F.col("kind") == k, F.col("block"))).alias(f"print{k}") for k in range(2)])
+
+    two = F.array(*[F.struct((F.col("row") * 2 + k).alias("id"), width(a, b).alias("w"), a.alias("a"), b.alias("b")) for k, b in enumerate((e, x))])
+    found = recover(keys.select("range", F.inline(two)), buckets)
+    counts = found.groupBy("id").agg(F.count_if(F.col("n") == 1).alias("mine"), F.count("*").alias("all"), F.max("tries").alias("tries"))
+    by_row = counts.groupBy(F.shiftright("id", 1).alias("row")).agg(
+        *[F.max(F.when(F.col("id") % 2 == k, F.col(c))).alias(f"{c}{k}") for k in range(2) for c in ("mine", "all")], F.sum(F.col("tries") - 1).alias("more")
+    )
+    out = keys.select("range", "row", "doc_id", "n_chars", "edited_sha256", *[F.size(k).alias(f"n_{k}") for k in "aex"]).join(prints, ["range", "row"], "left").join(by_row, "row", "left")
+    some = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return out.select(
         "doc_id", "n_chars", "edited_sha256",
-        shown(F.col("a_cells")).alias("fingerprint"), shown(F.col("e_cells")).alias("edited_fingerprint"),
-        likeness(F.col("to_edited"), F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("to_next"), F.col("a"), F.col("x")).alias("near_next"),
-        F.size("a").alias("n_passages"), F.size("to_edited").alias("n_edited"),
+        F.coalesce("print0", F.lit("")).alias("fingerprint"), F.coalesce("print1", F.lit("")).alias("edited_fingerprint"),
+        likeness(some("mine0"), F.col("n_a"), F.col("n_e")).alias("near_edited"), likeness(some("mine1"), F.col("n_a"), F.col("n_x")).alias("near_next"),
+        F.col("n_a").alias("n_passages"), some("all0").alias("n_edited"), (some("more") + 2).alias("tries"),
     )
