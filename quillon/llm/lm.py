@@ -1,11 +1,13 @@
 """Language-model scores: add-0.1 unigrams, and online logistic mixing of hashed-context bit predictors.
 
-Counts of (context, byte) over all training texts, for contexts of one to four bytes and of the word so far, are exact in a
-written table; they are frozen into log-odds for each bit of a byte's Huffman code given its earlier bits, in tables by the hash
-of (context, node) whose size follows the number of different contexts.  A bit's probability is
-the logistic of their weighted sum.  The weights are chosen by a gate, the kind of the byte before and the bit's place; a document
-starts with the mean of the weights that all training texts end with and refines its own by gradient steps after every block, so later blocks are
-scored with what earlier ones taught.  The end of a text is coded as one more byte.
+A byte is coded bit by bit along the Huffman tree of the byte before it.  Five predictors say how likely each bit is: after the last
+one, two, three and four bytes, and after the word so far.  All training texts are counted exactly, in a written table, by
+what all five see together; a predictor's counts are sums of those.  They are frozen into log-odds of a set bit at every node of
+every context, in tables by a hash of the context that grow with the number of different ones.
+
+A bit's probability is the logistic of the weighted sum of the log-odds.  A gate, the kind of the byte before and the bit's depth,
+chooses the weights.  First weights are fitted on the counts of all training texts; a document refines its own by a gradient step
+after each block, so later blocks are scored with what earlier ones taught.  The end of a text is coded as one more byte.
 """
 
 from __future__ import annotations
@@ -20,41 +22,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded_batches, remainder, write_out
+from .common import ASCII_LOWER, bounded_batches, drop_written, remainder, write_out
 
 END = " "  # no word holds a space
 ALPHA = 0.1
-#: Least bits of each predictor's contexts: one, two, three, four bytes, and the word so far.
-TABLE_BITS = (8, 14, 15, 15, 15)
-#: Places of a table for each different context, at least, as a power of two.
-PLACES_BITS = 4
-BLOCK, RATE = 256, 0.02
-#: Rounds over all training texts that fit the first weights.
-ROUNDS = 4
+#: Predictors: one, two, three, four bytes, and the word so far.
+PREDICTORS = 5
+#: Cells of a predictor's table for each different (context, byte), at least; and least and most cells, as powers of two.
+PER_PAIR, LEAST_BITS, MOST_BITS = 2, 15, 24
+#: Parts of a table that are built apart, as a power of two.
+PART_BITS = 6
+#: Bytes of a document between two steps of its weights, the step, and the weights before any is fitted.
+BLOCK, RATE, FIRST = 256, 0.02, 0.3
+#: Steps of Newton's method that fit the first weights, and the weight of the start in them, in bits.
+ROUNDS, PRIOR = 3, 50.0
+#: Counts that are added to the set and unset bits of a cell, and log-odds of the cells' unit; they end at 127 units.
+SMOOTH, UNIT = 0.4, 1 / 14
 #: Words with their counts that every worker holds, at most; the other words of a document are joined by shuffle.
 HOT_WORDS = 150_000
 #: Words that a training task counts before it hands them on.
 HELD_WORDS = 300_000
-#: (context, byte) counts that a training task holds before it hands them on, and bytes it counts at once.
+#: Different slots that a training task holds before it hands them on, and bytes it counts at once.
 HELD_SLOTS, COUNTED_BYTES = 1 << 21, 1 << 22
+#: Bytes of all documents side by side that are scored at once.
 _STEP_BYTES = 1 << 14
 _DEPTHS = 8
 _KIND = np.array([1 if chr(b).isalnum() or b >= 128 else 0 if b in b" \t\n\v\f\r" else 2 for b in range(256)])
 _FAR = 4
 _PAD = b"\n" * _FAR
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_NODES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * _ODD
-_CONTEXT = (1 << 48) - 1
 
 
-def contexts(padded: np.ndarray) -> list[np.ndarray]:
-    """Context of each predictor, under 2 ** 48, for every byte after the padding."""
+def contexts(padded: np.ndarray) -> np.ndarray:
+    """What precedes every byte after the padding, 56 bits: 24 of a hash of the word so far less its last four bytes, and four bytes."""
     a = padded.astype(np.uint64)
     n = len(a) - _FAR
-    back = [a[_FAR - k : _FAR - k + n] for k in range(1, _FAR + 1)]
-    two = back[0] | back[1] << np.uint64(8)
-    three = two | back[2] << np.uint64(16)
-    four = three | back[3] << np.uint64(24)
+    four = a[_FAR - 1 : _FAR - 1 + n].copy()
+    for k in range(1, _FAR):
+        four |= a[_FAR - 1 - k : _FAR - 1 - k + n] << np.uint64(8 * k)
     # a word's bytes times powers of _ODD from its start, by differences of running sums
     power = np.full(len(a) + 1, _ODD)
     power[0] = 1
@@ -62,27 +67,40 @@ def contexts(padded: np.ndarray) -> list[np.ndarray]:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((a + np.uint64(1)) * power[:-1], dtype=np.uint64)])
     at = np.arange(len(a))
     start = np.maximum.accumulate(np.where(_KIND[padded] == 1, 0, at + 1))[_FAR - 1 : _FAR - 1 + n]  # where the word so far begins
-    back_power = np.full(len(a) + 1, np.uint64(pow(int(_ODD), -1, 1 << 64)))
-    back_power[0] = 1
-    back_power = np.cumprod(back_power, dtype=np.uint64)
-    word = (sums[_FAR : _FAR + n] - sums[start]) * back_power[start]
-    return [c.astype(np.int64) for c in (back[0], two, three, four, _mixed(word) >> np.uint64(16))]
+    long = np.flatnonzero(start < at[:n])  # it has more than four bytes
+    first = start[long]
+    back = np.full(len(a) + 1, np.uint64(pow(int(_ODD), -1, 1 << 64)))
+    back[0] = 1
+    back = np.cumprod(back, dtype=np.uint64)
+    four[long] |= _mixed((sums[long] - sums[first]) * back[first]) >> np.uint64(40) << np.uint64(32)
+    return four
 
 
 def _mixed(context: np.ndarray) -> np.ndarray:
-    h = context.astype(np.uint64) * _ODD
+    h = context * _ODD
     h ^= h >> np.uint64(29)
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _places(mixed: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
-    """Places of (context, node) in a table of size, a power of two."""
-    return ((mixed ^ _NODES[node]) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+_WORD_MASK = np.array([0xFF, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFFFFFFFF], np.uint64)
+
+
+def hashes(joint: np.ndarray) -> list[np.ndarray]:
+    """48 bits of hash of each predictor's context, from what all see together."""
+    byte = [(joint >> np.uint64(8 * k) & np.uint64(255)).view(np.int64) for k in range(_FAR)]
+    run = np.zeros(len(joint), np.int64)  # letters at the end
+    on = np.ones(len(joint), bool)
+    for b in byte:
+        on &= _KIND[b] == 1
+        run += on
+    word = joint & _WORD_MASK[run] | (run.view(np.uint64) + np.uint64(1)) << np.uint64(56)
+    out = [joint & np.uint64((1 << 8 * k) - 1) for k in range(1, _FAR + 1)]
+    return [_mixed(c) >> np.uint64(16) for c in (*out, word)]
 
 
 @dataclass
 class Code:
-    """A Huffman code of bytes: the nodes and bits of each byte's path, one after the other, and their matrices."""
+    """Huffman codes of a byte after each byte: nodes and bits of each (byte before, byte), one after the other; node 0 is the root."""
 
     start: np.ndarray
     length: np.ndarray
@@ -91,7 +109,22 @@ class Code:
 
     @staticmethod
     def of(counts: np.ndarray) -> Code:
-        heap = [(float(n) + 1, b, None) for b, n in enumerate(counts)]
+        """From counts[byte before, byte]; bytes that nothing is known of share the code of all."""
+        start, length = np.zeros((256, 256), np.int64), np.zeros((256, 256), np.int64)
+        node: list[int] = []
+        bit: list[int] = []
+        for before in [None, *np.flatnonzero(counts.sum(1)).tolist()]:
+            paths = Code._paths(counts.sum(0) if before is None else counts[before])
+            long = np.array([len(p) for p in paths])
+            rows = slice(None) if before is None else before
+            start[rows], length[rows] = np.cumsum(long) - long + len(node), long
+            node += [n for p in paths for n, _ in p]
+            bit += [b for p in paths for _, b in p]
+        return Code(start.ravel(), length.ravel(), np.array(node), np.array(bit, np.float32))
+
+    @staticmethod
+    def _paths(counts: np.ndarray) -> list[list[tuple[int, int]]]:
+        heap = [(float(n) + 1 / 256, b, None) for b, n in enumerate(counts)]
         heapq.heapify(heap)
         made = 256
         while len(heap) > 1:
@@ -105,59 +138,64 @@ class Code:
             if halves is None:
                 paths[name] = path
             else:
-                todo += [(half, [*path, (name - 256, bit)]) for bit, half in enumerate(halves)]
-        length = np.array([len(p) for p in paths])
-        flat = [step for p in paths for step in p]
-        return Code(np.cumsum(length) - length, length, np.array([n for n, _ in flat]), np.array([b for _, b in flat], np.float32))
-
-    def log_odds(self, counts: np.ndarray) -> np.ndarray:
-        """counts (contexts, 256) of bytes -> the table of log-odds of a set bit at every node, of contexts * 256 places."""
-        context, byte = np.nonzero(counts)
-        return self.table(context << 8 | byte, counts[context, byte], counts.size)
-
-    def table(self, keys: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
-        """Counts n of keys context << 8 | byte -> the table of log-odds of a set bit of (context, node), of size places."""
-        seen = np.zeros(2 * size, np.int64 if size <= 1 << 20 else np.uint32)
-        for first in range(0, len(keys), 1 << 18):
-            key = keys[first : first + (1 << 18)]
-            long = self.length[key & 255]
-            step = np.repeat(self.start[key & 255], long) + np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
-            place = _places(np.repeat(_mixed(key >> 8 & _CONTEXT), long), self.node[step], size)
-            np.add.at(seen, 2 * place + (self.bit[step] > 0), np.repeat(n[first : first + (1 << 18)], long).astype(seen.dtype))
-        out = np.zeros(size, np.float16)
-        for first in range(0, size, 1 << 20):
-            zero, one = seen[2 * first : 2 * (first + (1 << 20))].reshape(-1, 2).T.astype(np.float32)
-            out[first : first + (1 << 20)] = np.log((one + np.float32(0.02)) / (zero + np.float32(0.02))).clip(-12, 12)
-        return out
+                todo += [(half, [*path, (made - 1 - name, b)]) for b, half in enumerate(halves)]
+        return paths
+
+    def steps(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of (byte before << 8 | byte): lengths of the codes, and the depth and place in node and bit of each of their bits."""
+        long = self.length[pair]
+        depth = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
+        return long, depth, np.repeat(self.start[pair], long) + depth
+
+
+def _base(hashed: np.ndarray, bits: int) -> np.ndarray:
+    """Where a context's cells are in a table of 2 ** bits; its nodes are the 256 places around."""
+    return (hashed >> np.uint64(48 - bits)).view(np.int64)
+
+
+def _size_bits(pairs: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (PER_PAIR * max(1, pairs) - 1).bit_length()))
+
+
+def log_odds(unset: np.ndarray, set_: np.ndarray) -> np.ndarray:
+    return np.rint(np.log((set_ + SMOOTH) / (unset + SMOOTH)) / UNIT).clip(-127, 127).astype(np.int8)
 
 
 @dataclass
 class Mixer:
     code: Code
-    tables: list[np.ndarray]  # log-odds by _places of context and node
+    tables: list[np.ndarray]  # log-odds in units
     weights: np.ndarray  # (kinds * depths, predictors)
 
-    def bits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits of each text with its end, and the weights each ended with."""
+    def stretched(self, hashed: list[np.ndarray], i: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Log-odds (bit, predictor) at these nodes after the i-th contexts."""
+        out = np.empty((len(i), len(self.tables)), np.float32)
+        for k, t in enumerate(self.tables):
+            out[:, k] = t.take(hashed[k].take(i) ^ node)
+        out *= np.float32(UNIT)
+        return out
+
+    def bits(self, texts: list[bytes]) -> np.ndarray:
+        """Bits of each text with its end.  Texts of about the same length go side by side; each is scored by itself."""
         total = np.zeros(len(texts))
-        last = np.zeros((len(texts), *self.weights.shape), np.float32)
         order, group, held = sorted(range(len(texts)), key=lambda i: len(texts[i])), [], 0
         for i in order:
             if group and held + len(texts[i]) > 1 << 19:
-                total[group], last[group] = self._together([texts[j] for j in group])
+                total[group] = self._together([texts[j] for j in group])
                 group, held = [], 0
             group.append(i)
             held += len(texts[i])
         if group:
-            total[group], last[group] = self._together([texts[j] for j in group])
-        return total, last
+            total[group] = self._together([texts[j] for j in group])
+        return total
 
-    def _together(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _together(self, texts: list[bytes]) -> np.ndarray:
         buf = np.frombuffer(b"".join(_PAD + t + b"\0" for t in texts), np.uint8)
         lens = np.array([len(t) + 1 for t in texts])
         starts = np.cumsum(lens + _FAR) - lens - _FAR  # of the texts among bytes that have enough before them
-        ctx = [_mixed(c) for c in contexts(buf)]
-        kind, data, code = _KIND[buf[_FAR - 1 : -1]] * _DEPTHS, buf[_FAR:], self.code
+        hashed = [_base(h, len(t).bit_length() - 1) for h, t in zip(hashes(contexts(buf)), self.tables, strict=True)]
+        before = buf[_FAR - 1 : -1].astype(np.int64)
+        pair, kind = before << 8 | buf[_FAR:], _KIND[before] * _DEPTHS
         gates, m = self.weights.shape
         w = np.repeat(self.weights[None].astype(np.float32), len(texts), 0)
         total = np.zeros(len(texts))
@@ -165,25 +203,31 @@ class Mixer:
             live = np.flatnonzero(lens > at)
             for part in np.array_split(live, -(-len(live) * BLOCK // _STEP_BYTES)):
                 n = np.minimum(lens[part] - at, BLOCK)
-                of = np.repeat(np.arange(len(part)), n)
-                i = np.arange(len(of)) + np.repeat(starts[part] + at - (np.cumsum(n) - n), n)
-                long = code.length[data[i]]
-                depth = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
-                step = np.repeat(code.start[data[i]], long) + depth
-                node, y, i = code.node[step], code.bit[step], np.repeat(i, long)
-                st = [t[_places(c[i], node, len(t))].astype(np.float32) for t, c in zip(self.tables, ctx, strict=True)]
-                gate = np.repeat(of * gates, long) + kind[i] + np.minimum(depth, _DEPTHS - 1)
+                first = np.cumsum(n) - n
+                i = np.arange(int(n.sum())) + np.repeat(starts[part] + at - first, n)
+                long, depth, step = self.code.steps(pair.take(i))
+                node, y = self.code.node.take(step), self.code.bit.take(step)
+                of_doc = np.add.reduceat(long, first)
+                first = np.cumsum(of_doc) - of_doc
+                st = self.stretched(hashed, np.repeat(i, long), node)
+                gate = (np.repeat(kind.take(i), long) + np.minimum(depth, _DEPTHS - 1)).astype(np.uint8)
+                doc = np.repeat(np.arange(len(part)), of_doc)
                 mine = w[part].reshape(-1, m)
-                z = sum(mine[gate, k] * s for k, s in enumerate(st))
+                z = np.einsum("ij,ij->i", mine.take(doc * gates + gate, 0), st)
                 z = np.where(y > 0, z, -z)  # log-odds of what is there
                 e = np.exp(-np.abs(z))
-                cost = np.log1p(e) - np.minimum(z, 0)
-                total[part] += np.bincount(np.repeat(of, long), cost, len(part))
-                miss = np.where(z >= 0, e, 1) / (1 + e)  # probability of what isn't there
-                err = np.where(y > 0, miss, -miss)
-                grad = np.stack([np.bincount(gate, err * s, len(mine)) for s in st], 1)
-                w[part] = np.clip(mine + RATE / 16 * grad, -4, 4).reshape(len(part), gates, m)
-        return total / np.log(2), w
+                total[part] += np.add.reduceat(np.log1p(e) - np.minimum(z, 0), first, dtype=np.float64)
+                if at + BLOCK < int(lens[part].max()):  # something is left that the step can serve
+                    miss = np.where(z >= 0, e, 1) / (1 + e)  # probability of what isn't there
+                    st *= np.where(y > 0, miss, -miss)[:, None]
+                    order = np.argsort(gate, kind="stable")
+                    cell = gate.take(order).astype(np.int64) + doc.take(order) * gates
+                    edge = np.flatnonzero(np.diff(cell, prepend=-1))
+                    grad = np.add.reduceat(st.take(order, 0), edge, axis=0)
+                    cell = cell[edge]
+                    mine[cell] = np.clip(mine[cell] + np.float32(RATE / 16) * grad, -4, 4)
+                    w[part] = mine.reshape(len(part), gates, m)
+        return total / np.log(2)
 
 
 def _summed(slots: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -193,21 +237,31 @@ def _summed(slots: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
     else:
         order = np.argsort(slots, kind="stable")
         slots, n = slots[order], n[order]
-    first = np.flatnonzero(np.diff(slots, prepend=-1))
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(slots)), bool), slots[1:] != slots[:-1]]))
     return slots[first], np.diff(first, append=len(slots)) if n is None else np.add.reduceat(n, first) if len(first) else n
 
 
+def _padding(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with their ends, one after the other with padding, and which of the bytes after the first padding are theirs."""
+    buf = np.frombuffer(b"".join(_PAD + t + b"\0" for t in texts), np.uint8)
+    real = np.ones(len(buf) - _FAR, bool)
+    ends = np.cumsum([len(t) + 1 + _FAR for t in texts])
+    for k in range(_FAR):
+        real[ends[:-1] + k - _FAR] = False  # the padding of the next text
+    return buf, real
+
+
 def gather(docs: DataFrame) -> DataFrame:
-    """(word, slot, n) from docs (text): word counts (slot null) and (context, byte) counts (word null), by task.
+    """(word, slot, n) from docs (text): word counts (slot null) and counts of what precedes a byte, with it (word null), by task.
 
-    A slot is predictor << 56 | context << 8 | byte.  Counts are handed on in turns, so a task's memory doesn't grow with its input.
+    A slot is 56 bits of contexts, then the byte.  Counts are handed on in turns, so a task's memory doesn't grow with its input.
     """
     schema = pa.schema([("word", pa.string()), ("slot", pa.int64()), ("n", pa.int64())])
 
     def batch(words: list, slots: np.ndarray | None, n: list | np.ndarray) -> pa.RecordBatch:
         size = len(n)
         w = pa.array(words, pa.string()) if slots is None else pa.nulls(size, pa.string())
-        s = pa.nulls(size, pa.int64()) if slots is None else pa.array(slots, pa.int64())
+        s = pa.nulls(size, pa.int64()) if slots is None else pa.array(slots.view(np.int64), pa.int64())
         return pa.RecordBatch.from_arrays([w, s, pa.array(n, pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,13 +281,8 @@ def gather(docs: DataFrame) -> DataFrame:
                 while last < len(texts) and (last == first or size + len(texts[last]) < COUNTED_BYTES):
                     size += len(texts[last])
                     last += 1
-                buf = np.frombuffer(b"".join(_PAD + t + b"\0" for t in texts[first:last]), np.uint8)
-                real = np.ones(len(buf) - _FAR, bool)
-                ends = np.cumsum([len(t) + 1 + _FAR for t in texts[first:last]])
-                for k in range(_FAR):
-                    real[ends[:-1] + k - _FAR] = False  # the padding of the next text
-                for k, c in enumerate(contexts(buf)):
-                    held.append(_summed((k << 56 | c << 8 | buf[_FAR:])[real]))
+                buf, real = _padding(texts[first:last])
+                held.append(_summed((contexts(buf) << np.uint64(8) | buf[_FAR:])[real]))
                 if sum(len(slots) for slots, _ in held) > HELD_SLOTS:
                     held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
                     if len(held[0][0]) > HELD_SLOTS // 2:
@@ -248,32 +297,103 @@ def gather(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, slot long, n long")
 
 
-def fitted(docs: DataFrame, mixer: Mixer) -> np.ndarray:
-    """Mean of the weights that each whole text of docs ends with, starting from the mixer's; the mixer's if there is no text.
+def _many(batches: Iterator[pa.RecordBatch], rows: int = 1 << 19) -> Iterator[list[np.ndarray]]:
+    """Columns of so many rows, about, at a time."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if b.num_rows:
+            held.append([c.to_numpy() for c in b.columns])
+        if sum(len(x[0]) for x in held) >= rows:
+            yield list(map(np.concatenate, zip(*held, strict=True)))
+            held = []
+    if held:
+        yield list(map(np.concatenate, zip(*held, strict=True)))
 
-    Sums are of whole numbers, so they don't hang on how rows are dealt.
-    """
-    box, unit, shape = docs.sparkSession.sparkContext.broadcast(mixer), 1 << 24, mixer.weights.shape
-    schema = pa.schema([("i", pa.int32()), ("s", pa.int64()), ("n", pa.int64())])
+
+def pairs(slots: DataFrame) -> DataFrame:
+    """(k, key, n): counts of each predictor's pairs of context and byte; key is 48 bits of hash, the byte before and the byte."""
+    schema = pa.schema([("k", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(shape, np.int64), 0
-        for b in batches:
-            texts = [t.encode().translate(ASCII_LOWER) for t in b.column(0).to_pylist()]
-            if texts:
-                total += np.rint(box.value.bits(texts)[1].astype(np.float64) * unit).astype(np.int64).sum(0)
-                n += len(texts)
-        cells = np.arange(total.size, dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.ravel()), pa.array(np.full(total.size, n))], schema=schema)
+        for slot, n in _many(batches):
+            slot = slot.view(np.uint64)
+            joint = slot >> np.uint64(8)
+            for k, h in enumerate(hashes(joint)):
+                key, m = _summed(h << np.uint64(16) | slot & np.uint64(0xFFFF), n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key.view(np.int64)), pa.array(m)], schema=schema)
 
-    bounded_batches(docs.sparkSession)
-    sums = docs.where("text is not null").select("text").mapInArrow(run, "i int, s long, n long").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()  # one row a weight
+    return slots.select("slot", "n").mapInArrow(run, "k int, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("n"))
+
+
+def tables(counted: DataFrame, code: Code, bits: list[int]) -> list[np.ndarray]:
+    """Each predictor's table of 2 ** bits[k] cells from the counts of its pairs; parts of tables are built apart."""
+    box = counted.sparkSession.sparkContext.broadcast(code)
+    schema = pa.schema([("k", pa.int32()), ("part", pa.int32()), ("cells", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], np.ndarray] = {}
+        for ks, parts, keys, n in _many(batches):
+            for name in {*zip(ks.tolist(), parts.tolist(), strict=True)}:
+                mine = np.flatnonzero((ks == name[0]) & (parts == name[1]))
+                key = keys[mine].view(np.uint64)
+                size = bits[name[0]] - PART_BITS
+                base = _base(key >> np.uint64(16), bits[name[0]]) & (1 << size) - 1
+                long, _, step = box.value.steps((key & np.uint64(0xFFFF)).view(np.int64))
+                place = np.repeat(base, long) ^ box.value.node[step]
+                if name not in seen:
+                    seen[name] = np.zeros(2 << size)
+                seen[name] += np.bincount(2 * place + (box.value.bit[step] > 0), np.repeat(n[mine], long), 2 << size)
+        for (k, part), x in seen.items():
+            cells = log_odds(x[::2], x[1::2]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([cells], pa.binary())], schema=schema)
+
+    part = F.shiftrightunsigned("key", 64 - PART_BITS).cast("int").alias("part")
+    dealt = counted.select("k", part, "key", "n").repartition(int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "part")
+    out = [np.zeros(1 << b, np.int8) for b in bits]
+    for r in dealt.mapInArrow(run, "k int, part int, cells binary").toLocalIterator():  # the tables themselves
+        size = 1 << bits[r["k"]] - PART_BITS
+        out[r["k"]][r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["cells"], np.int8)
+    return out
+
+
+def fitted(slots: DataFrame, mixer: Mixer) -> np.ndarray:
+    """The mixer's weights after a step of Newton's method on the bits of all counted slots, towards fewer bits in all.
+
+    The weights before count as PRIOR bits, so that gates which were hardly seen stay.  Sums are of whole numbers, so they don't
+    hang on how rows are dealt.
+    """
+    box, unit, (gates, m) = slots.sparkSession.sparkContext.broadcast(mixer), 1 << 20, mixer.weights.shape
+    cells = gates * m * (m + 1)
+    schema = pa.schema([("i", pa.int32()), ("s", pa.decimal128(38, 0))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((gates, m * (m + 1)))
+        mix = box.value
+        for slot, n in _many(batches, 1 << 16):
+            slot = slot.view(np.uint64)
+            hashed = [_base(h, len(t).bit_length() - 1) for h, t in zip(hashes(slot >> np.uint64(8)), mix.tables, strict=True)]
+            long, depth, step = mix.code.steps((slot & np.uint64(0xFFFF)).view(np.int64))
+            st = mix.stretched(hashed, np.repeat(np.arange(len(slot)), long), mix.code.node[step]).astype(np.float64)
+            gate = np.repeat(_KIND[(slot >> np.uint64(8) & np.uint64(255)).view(np.int64)] * _DEPTHS, long) + np.minimum(depth, _DEPTHS - 1)
+            p = 1 / (1 + np.exp(-np.einsum("ij,ij->i", mix.weights[gate], st)))
+            many = np.repeat(n, long)
+            err, var = many * (mix.code.bit[step] - p), many * p * (1 - p)
+            for j in range(m):
+                total[:, j] += np.bincount(gate, err * st[:, j], gates)
+                for l in range(m):
+                    total[:, m + j * m + l] += np.bincount(gate, var * st[:, j] * st[:, l], gates)
+        whole = [int(round(x)) for x in (total.ravel() * unit).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells, dtype=np.int32)), pa.array(whole, pa.decimal128(38, 0))], schema=schema)
+
+    sums = slots.select("slot", "n").mapInArrow(run, "i int, s decimal(38,0)").groupBy("i").agg(F.sum("s").alias("s")).collect()  # one row a sum
     box.unpersist()
-    out = mixer.weights.ravel().copy()
+    total = np.zeros(cells)
     for r in sums:
-        if r["n"]:
-            out[r["i"]] = r["s"] / unit / r["n"]
-    return out.reshape(shape)
+        total[r["i"]] = float(r["s"]) / unit
+    total = total.reshape(gates, -1)
+    hess = total[:, m:].reshape(gates, m, m) + np.eye(m) * PRIOR
+    step = np.linalg.solve(hess, total[:, :m, None])[:, :, 0]
+    return np.clip(mixer.weights + step, 0, 2).astype(np.float32)
 
 
 def train(docs: DataFrame) -> tuple[Mixer, DataFrame, int, int]:
@@ -281,18 +401,19 @@ def train(docs: DataFrame) -> tuple[Mixer, DataFrame, int, int]:
     seen = write_out(gather(docs), "lm-counts")
     vocabulary = write_out(seen.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    summed = write_out(seen.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")), "lm-slots")
-    which = F.shiftright("slot", 56).cast("int").alias("k")
-    different = {r["k"]: r["m"] for r in summed.groupBy(which).agg(F.approx_count_distinct(F.shiftright("slot", 8)).alias("m")).collect()}  # one row a predictor
-    code, tables = None, []
-    for k, bits in enumerate(TABLE_BITS):  # one at a time
-        found = summed.where((F.col("slot") >= k << 56) & (F.col("slot") < (k + 1) << 56)).toArrow()
-        keys, n = found["slot"].to_numpy(), found["n"].to_numpy()
-        code = code or Code.of(np.bincount(keys & 255, n, 256))  # from contexts of one byte
-        tables.append(code.table(keys, n, 1 << max(bits, PLACES_BITS + max(1, different.get(k, 0) - 1).bit_length())))
-    mixer = Mixer(code, tables, np.full((3 * _DEPTHS, len(tables)), 0.3, np.float32))
+    slots = write_out(seen.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")), "lm-slots")
+    drop_written(seen)
+    counted = write_out(pairs(slots), "lm-pairs")
+    many = {r["k"]: r["m"] for r in counted.groupBy("k").agg(F.count("*").alias("m")).collect()}  # one row a predictor
+    two = np.zeros((256, 256))
+    for r in counted.where("k = 0").select(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        two[r["pair"] >> 8, r["pair"] & 255] = r["n"]  # at most 65,536 rows
+    code = Code.of(two)
+    mixer = Mixer(code, tables(counted, code, [_size_bits(many.get(k, 0)) for k in range(PREDICTORS)]), np.full((3 * _DEPTHS, PREDICTORS), FIRST, np.float32))
+    drop_written(counted)
     for _ in range(ROUNDS if tokens else 0):
-        mixer = Mixer(code, tables, fitted(docs, mixer))
+        mixer = Mixer(code, mixer.tables, fitted(slots, mixer))
+    drop_written(slots)
     return mixer, vocabulary, int(tokens), int(distinct)
 
 
@@ -326,7 +447,7 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
             texts = [(t or "").encode().translate(ASCII_LOWER) for t in b.column(2).to_pylist()]
             cols: list[list] = [[] for _ in out]
             rare: list[list] = [[], [], []]
-            for row, doc_id, text, bits in zip(rows, ids, texts, mix.bits(texts)[0], strict=True):
+            for row, doc_id, text, bits in zip(rows, ids, texts, mix.bits(texts), strict=True):
                 words = [*text.split(), END.encode()]
                 got = list(map(log.get, words))
                 known = [x for x in got if x is not None]
