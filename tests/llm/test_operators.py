@@ -111,10 +111,19 @@ def test_simhash_by_brute_force(docs, texts):
                 root[y] = x
     want = [(d, mine[d] - (1 << 64) if mine[d] >> 63 else mine[d], find(d)) for d in ids]
     assert one(simhash.near_duplicates(docs), "doc_id", "fp", "component_id") == want
-    assert one(simhash.near_duplicates(docs, dense_cell=0), "doc_id", "fp", "component_id") == want
+    assert one(simhash.near_duplicates(docs, dense_cell=0), "doc_id", "fp", "component_id") == want  # all through balls
+    assert one(simhash.near_duplicates(docs, dense_cell=0, dense_fine=1 << 40), "doc_id", "fp", "component_id") == want  # all through the finer grid
     assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == {find(d) for d in ids}
 
 
+def test_near_dedup_keeps_rows_that_share_an_id(spark):
+    rows = [(5, "one text about rivers and their long banks", "b"), (5, "quite another text on steel and iron ore", "a"), (5, "one text about rivers and their long banks", "a"), (None, "no id in this row but words", "a"), (7, "no id in this row but words", "a"), (None, "a last row without id", None)]
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, `a.b` string"))
+    assert out.columns == ["doc_id", "text", "a.b"]
+    key = lambda r: (r[0] or 0, *r[1:])
+    assert sorted(map(tuple, out.collect()), key=key) == sorted([rows[1], rows[2], rows[4], rows[5]], key=key)
+
+
 def test_thermometer_bounds_hamming(spark):
     rng = np.random.default_rng(2)
     a = rng.integers(-(1 << 62), 1 << 62, 300)
@@ -128,7 +137,7 @@ def test_thermometer_bounds_hamming(spark):
 
 def test_language_id_held_out(spark, docs):
     model = langid.train(docs)
-    assert abs((2.0 ** -model.bits[3, :, 0].astype(float)).sum() - 1) < 0.05
+    assert model.languages == sorted(r["lang"] for r in docs.where("lang is not null").select("lang").distinct().collect())
     pred = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
     held = [(r["lang"], pred[r["doc_id"]]) for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
     assert sum(a == b for a, b in held) >= 0.97 * len(held)
@@ -137,36 +146,66 @@ def test_language_id_held_out(spark, docs):
     assert langid.accepted(odd, model).count() == 0 and langid.predict(docs, None).where("lang_pred <> 'und'").count() == 0
 
 
+def ppm_bits(train, text):
+    """Bits of each byte of text, by the recursion over contexts, from the texts in train."""
+    seen = defaultdict(Counter)
+    for t in train:
+        t = langid._PAD + t
+        for i in range(langid.ORDER, len(t)):
+            for k in range(langid.ORDER + 1):
+                seen[t[i - k : i]][t[i]] += 1
+
+    def p(context, byte):
+        lower = (lambda b: p(context[1:], b)) if context else (lambda b: 1 / 256)
+        here = seen.get(context)
+        if not here:
+            return lower(byte)
+        n, d = sum(here.values()), len(here)
+        if byte in here:
+            return here[byte] / (n + d)
+        return d / (n + d) * lower(byte) / (1 - sum(map(lower, here)))
+
+    t = langid._PAD + text
+    return [-math.log2(p(t[i - langid.ORDER : i], t[i])) for i in range(langid.ORDER, len(t))]
+
+
+def grams_of(train):
+    out = [np.unique(np.concatenate([langid._grams(langid._PAD + t) for t in ts]), return_counts=True) for ts in train]
+    return np.repeat(np.arange(len(out)), [len(g) for g, _ in out]), np.concatenate([g for g, _ in out]), np.concatenate([n for _, n in out]).astype(float)
+
+
 def test_language_id_lengths_by_recursion(docs):
-    rows = [(r["lang"], r["text"][:300]) for r in docs.where("lang in ('en', 'fr')").limit(20).collect()]
-    langs = ["en", "fr"]
-    grams, lang, n = [], [], []
-    for name, t in rows:
-        g, c = np.unique(langid._grams(langid._PAD + langid.normalised(t.encode())), return_counts=True)
-        grams.append(g)
-        n.append(c)
-        lang.append(np.full(len(g), langs.index(name)))
-    model = langid.fit(langs, np.concatenate(lang), np.concatenate(grams), np.concatenate(n).astype(float))
-    data = langid.normalised(rows[0][1].encode())
-    whole = model.lengths([data])[0]
-    parts = model.lengths([data, b"", data])
-    assert np.allclose(parts[0], whole) and np.allclose(parts[2], whole) and not parts[1].any()
-
-
-def lines_removed(texts, t=0.8, k=5):
-    seen, sets, out = {}, [], set()
+    train = [[langid.normalised(r["text"][:200].encode()) for r in docs.where(f"lang = '{name}'").limit(4).collect()] for name in ("en", "fr", "de")]
+    model = langid.Model(["en", "fr", "de"], [langid.fit(3, *grams_of(train))])
+    texts = [train[0][0][:60], train[1][1][50:90] + train[2][0][:30], b"", bytes(range(200, 256)) + b"zq\0x"]
+    got = model.lengths(texts)
+    for i, t in enumerate(texts):
+        assert np.allclose(got[i], [sum(ppm_bits(ts, t)) for ts in train], rtol=1e-4, atol=1e-3)
+    every = np.array([int.from_bytes(texts[0][:4] + bytes([b]), "big") for b in range(256)])
+    assert np.allclose((2.0 ** -model.groups[0].lengths(every).astype(float)).sum(0), 1, atol=1e-3)
+
+
+def test_language_id_takes_many_languages(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(70):  # each language has its own words
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)) for _ in range(30)]
+        rows += [(100 * k + i, f"l{k:02}", " ".join(rng.choice(words, 40))) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.train(docs)
+    assert len(model.languages) == 70 and len(model.groups) == 9
+    pred = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert all(pred[d] == name for d, name, _ in rows)
+
+
+def lines_removed(texts, t=0.8):
+    sets, out = [], set()
     for d in sorted(texts):
         for n, line in enumerate((texts[d] or "").split("\n")):
-            s = set(line.lower().split())
-            hit = False
-            if sum(map(line.count, " \t\v\f\r")) >= k - 1:
-                hit = line in seen
-                seen[line] = 1
-            if len(s) >= k:
-                hit = hit or any(len(s & o) / len(s | o) >= t for o in sets)
+            if s := set(line.lower().split()):
+                if any(min(len(s), len(o)) >= t * max(len(s), len(o)) and len(s & o) / len(s | o) >= t for o in sets):
+                    out.add((d, n))
                 sets.append(s)
-            if hit:
-                out.add((d, n))
     return out
 
 
@@ -185,6 +224,8 @@ def test_line_dedup_by_brute_force(spark, docs, texts):
     out = linededup.dedup(df).collect()
     gone = {(r["doc_id"], n) for r in out for n in r["removed"]}
     assert gone == lines_removed(made)
+    for hot_rows in (5,):  # words are hot: leaders, then pairs of words
+        assert {(r["doc_id"], r["n"]) for r in linededup.removals(df, hot_rows=hot_rows, bits=4).collect()} == gone
     for r in out:
         assert r["text"] == "\n".join(x for n, x in enumerate(made[r["doc_id"]].split("\n")) if (r["doc_id"], n) not in gone)
 
@@ -201,7 +242,7 @@ def test_line_dedup_takes_short_lines(spark):
                 if any(len(x & o) / len(x | o) >= 0.8 for o in sets):
                     want.add((d, n))
                 sets.append(x)
-    out = linededup.dedup(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), short=True).collect()
+    out = linededup.dedup(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()
     got = [(r["doc_id"], n) for r in out for n in r["removed"]]
     assert sorted(got) == sorted(want) and {(2, 0), (2, 1), (3, 0), (3, 3), (4, 2), (5, 0), (5, 1)} == want
 
@@ -253,31 +294,6 @@ def test_lm(docs, texts):
     assert sum(r["bits_per_byte"] for r in rows) / len(rows) < 4
 
 
-def test_mixed_bits_do_not_hang_on_company():
-    rng = np.random.default_rng(6)
-    counts = rng.integers(0, 9, (256, 256)).astype(np.float32)
-    code = lm.Code.of(counts.sum(0))
-    assert abs(sum(2.0 ** -code.length) - 1) < 1e-12
-    tables = [code.log_odds(np.resize(counts, (1 << bits, 256))) for bits in lm.TABLE_BITS]
-    mixer = lm.Mixer(code, tables, np.full((3 * lm._DEPTHS, len(tables)), 0.3, np.float32))
-    texts = [b"abc def", b"", bytes(range(256)) * 5]
-    alone = [mixer.bits([t])[0][0] for t in texts]
-    assert np.allclose(mixer.bits(texts)[0], alone, rtol=1e-5)
-
-
-def test_lm_tables_grow_with_contexts_and_know_the_word(spark):
-    buf = np.frombuffer(lm._PAD + b"many words. any words, manyx" + b"\0", np.uint8)
-    ctx = lm.contexts(buf)
-    text = bytes(buf[lm._FAR :])
-    so_far = [re.search(rb"[a-z]*$", text[:i])[0] for i in range(len(text))]
-    for i, x in enumerate(so_far):  # equal contexts where the word so far is equal, from its first byte on
-        assert [ctx[4][i] == c for c in ctx[4]] == [x == y for y in so_far]
-    assert len(ctx) == 5
-    few, many = (spark.createDataFrame([(d, " ".join(hashlib.md5(f"{d} {i}".encode()).hexdigest() for i in range(k))) for d in range(40)], "doc_id long, text string") for k in (1, 300))
-    small, large = (lm.train(x)[0].tables for x in (few, many))
-    assert len(large[3]) >= 4 * len(small[3]) and len(large[4]) >= 4 * len(small[4])
-
-
 def test_licenses(spark):
     d = spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny"), (2, "Licensed under CC BY-NC 4.0"), (3, "released under the license of nobody"), (4, None)], "doc_id long, text string")
     got = one(licenses.scan(d), "doc_id", "line", "license", "dice")
@@ -375,3 +391,17 @@ def test_mixing(docs):
         assert abs(taken[s] - target[s]) <= most[s]
     copies = sum(r["copies"] for r in rows)
     assert mixing.mixed_documents(docs).count() == copies
+
+
+def test_mixing_takes_maps_repeated_ids_and_clashing_names(spark):
+    rows = [(k % 3, f"text {k // 2} of " + "many words " * (1 + k // 2), None if k % 4 == 0 else "s" + str(k % 4), {"x": k // 2}, "n") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra map<string,int>, `key.n` string")
+    got = Counter((r["doc_id"], r["text"], r["source"], r["extra"]["x"]) for r in mixing.mixed_documents(docs).collect())
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    sums = Counter()
+    for (d, t, s, x), n in got.items():
+        assert x == int(t.split()[1])
+        sums[d, s, len(t.split())] += n
+    assert sums == +want and mixing.mixed_documents(docs).columns == docs.columns
