@@ -52,3 +52,11 @@ def approximate_kernel(codes: np.ndarray, scale: np.ndarray, sqnorm: np.ndarray,
         return -scale * qs * dot
     norm = np.sqrt(sqnorm) * np.sqrt(qn)
     return np.where(norm == 0, 1.0, np.clip(1.0 - dot / np.where(norm == 0, 1.0, norm), 0.0, 2.0))
+
+
+def prepare(df: DataFrame, path: str, sequence: int, id_col: str = "id", vector: str = "vector") -> DataFrame:
+    """Writes the codes of a generation's vectors (id, codes, scale, sqnorm) below path, once for each sequence; rows without a vector have none."""
+    place = f"{path}/codes-{sequence}"
+    rows = df.where(F.col(vector).isNotNull())
+    encode(rows.select(id_col, vector), vector).select(id_col, "codes", "scale", "sqnorm").write.mode("overwrite").parquet(place)
+    return df.sparkSession.read.parquet(place)

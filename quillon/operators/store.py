@@ -1,13 +1,14 @@
 """Mutations: ordered batches folded into states, with reports; and a versioned store of Parquet snapshots and a log.
 
-A store is a folder with `manifest.json` and, for each version, `v=<n>/` of active rows; `log/seq=<n>/` has the batches since.
-One driver writes; readers open a version and keep it.
+A store is a folder with `manifest.json` and, for each version, `v=<n>/` of active rows; `log/seq=<n>/` has the batches since and
+`batches/` a file for each batch id.  One driver writes; readers open a version and keep it.  All files go through Hadoop's file
+systems, so a store can be wherever Spark reads and writes.
 """
 
 from __future__ import annotations
 
-import json
-import os
+import hashlib
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import MAX_DIMENSIONS, Metric, Space, check_name
 from ..errors import EngineError, invalid
+from ..files import Files
 
 MUTATION = "seq long, ordinal int, op string, id long"
 
@@ -24,12 +26,13 @@ MUTATION = "seq long, ordinal int, op string, id long"
 def fold(mutations: DataFrame, base: DataFrame | None = None, id_col: str = "id") -> DataFrame:
     """The state after mutations (seq, ordinal, op, id, columns) on base (id, columns): of each id its last operation counts.
 
-    Both are reduced by id in one shuffle; rows whose last operation is a delete go.
+    Both are reduced by id in one shuffle; rows whose last operation is a delete go.  Any other op, null too, is an error.
     """
     names = [c for c in mutations.columns if c not in ("seq", "ordinal", "op")]
     rows = mutations
     if base is not None:
         rows = base.select(F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("ordinal"), F.lit("put").alias("op"), *names).unionByName(mutations.select("seq", "ordinal", "op", *names))
+    rows = rows.withColumn("op", F.when(F.coalesce(F.col("op").isin("put", "delete"), F.lit(False)), F.col("op")).otherwise(F.raise_error(F.lit("a mutation is a put or a delete")).cast("string")))
     last = rows.groupBy(id_col).agg(F.max_by(F.struct("op", *[c for c in names if c != id_col]), F.struct("seq", "ordinal")).alias("r"))
     return last.where(F.col("r.op") == "put").select(*[F.col(id_col) if c == id_col else F.col(f"r.{c}").alias(c) for c in names])
 
@@ -83,58 +86,65 @@ class Policy:
 
 
 class Store:
-    """A collection on a file system of the driver, which Spark reads at the same path."""
+    """A collection below a path that driver and executors share."""
+
+    #: A lock that its writer hasn't renewed for so many seconds is taken over: that driver is gone.
+    STALE = 3600
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        if not os.path.exists(f"{path}/manifest.json"):
+        self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path)
+        if not self.files.exists("manifest.json"):
             raise EngineError("NotFound", path)
-        with open(f"{path}/manifest.json") as f:
-            self.manifest = json.load(f)
+        self.manifest = self.files.read("manifest.json")
         self.space = Space(self.manifest["model"], self.manifest["dimensions"], Metric(self.manifest["metric"]))
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, name: str, space: Space, schema: str) -> Store:
         path = f"{root}/{check_name(name)}"
-        try:
-            os.makedirs(path)
-        except FileExistsError:
-            raise EngineError("AlreadyExists", path) from None
+        files = Files(spark, path)
+        if files.exists():
+            raise EngineError("AlreadyExists", path)
         spark.createDataFrame([], schema).write.parquet(f"{path}/v=0")
-        _replace(f"{path}/manifest.json", {"name": name, "model": space.model, "dimensions": space.dimensions, "metric": space.metric.value, "schema": schema, "version": 0, "sequence": 0, "base": 0, "batch_ids": []})
+        made = {"name": name, "model": space.model, "dimensions": space.dimensions, "metric": space.metric.value, "schema": schema, "version": 0, "sequence": 0, "base": 0}
+        if not files.create("manifest.json", made):
+            raise EngineError("AlreadyExists", path)
         return cls(spark, path)
 
     @contextmanager
     def _locked(self) -> Iterator[None]:
+        if self.files.exists("lock") and self.files.age("lock") > self.STALE:
+            self.files.delete("lock")
+        if not self.files.create("lock", {"by": uuid.uuid4().hex}):
+            raise EngineError("Locked", self.path)
         try:
-            os.close(os.open(f"{self.path}/lock", os.O_CREAT | os.O_EXCL))
-        except FileExistsError:
-            raise EngineError("Locked", self.path) from None
-        try:
-            with open(f"{self.path}/manifest.json") as f:
-                self.manifest = json.load(f)
+            self.manifest = self.files.read("manifest.json")
             yield
         finally:
-            os.unlink(f"{self.path}/lock")
+            self.files.delete("lock")
 
     def _commit(self, **changes) -> None:
         self.manifest |= changes
-        _replace(f"{self.path}/manifest.json", self.manifest)
+        self.files.replace("manifest.json", self.manifest)
+
+    def _version(self) -> DataFrame:
+        return self.spark.read.schema(self.manifest["schema"]).parquet(f"{self.path}/v={self.manifest['version']}")
 
     def state(self) -> DataFrame:
-        """Active rows: the version's, and what committed batches made of them."""
+        """Active rows: the version's, and what committed batches made of them.  Fails if a batch of the log is missing."""
         m = self.manifest
-        base = self.spark.read.schema(m["schema"]).parquet(f"{self.path}/v={m['version']}")
         seqs = range(m["base"] + 1, m["sequence"] + 1)
         if not seqs:
-            return base
+            return self._version()
+        there = set(self.files.names("log"))
+        if missing := [s for s in seqs if f"seq={s}" not in there]:
+            raise EngineError("Corrupt", f"the log has no batch {missing[0]}")
         log = self.spark.read.schema(f"{MUTATION}, {', '.join(x for x in _fields(m['schema']) if not x.startswith('id '))}").parquet(*[f"{self.path}/log/seq={s}" for s in seqs])
-        return fold(log, base)
+        return fold(log, self._version())
 
     def write_batch(self, ops: DataFrame, if_sequence: int | None = None, batch_id: str | None = None, space: Space | None = None) -> dict:
         """Applies ops (ordinal, op, id, columns) as one batch; nothing is written where it has no effect.
 
-        if_sequence: fails if the store has moved on.  batch_id: a batch that was applied before is not applied again.
+        if_sequence: fails if the store has moved on.  batch_id: a batch that was ever applied before is not applied again.
         """
         if space is not None:
             self.space.check(space)
@@ -143,9 +153,12 @@ class Store:
             if if_sequence is not None and if_sequence != m["sequence"]:
                 raise EngineError("Conflict", f"sequence is {m['sequence']}, not {if_sequence}")
             nothing = {"sequence": m["sequence"], "inserted": 0, "updated": 0, "deleted": 0, "absent": 0}
-            if batch_id is not None and batch_id in m["batch_ids"]:
+            mark = f"batches/{hashlib.sha256(batch_id.encode()).hexdigest()}" if batch_id is not None else None
+            if mark and self.files.exists(mark) and self.files.read(mark)["sequence"] <= m["sequence"]:
                 return nothing
-            bad = ops.where(~F.col("op").isin("put", "delete") | F.col("id").isNull() | ((F.col("op") == "put") & (F.coalesce(F.size("vector"), F.lit(-1)) != self.space.dimensions)))
+            known = F.coalesce(F.col("op").isin("put", "delete"), F.lit(False))
+            whole = F.coalesce((F.size("vector") == self.space.dimensions) & ~F.exists("vector", lambda x: x.isNull()), F.lit(False))
+            bad = ops.where(~known | F.col("id").isNull() | ((F.col("op") == "put") & ~whole))
             if bad.limit(1).count():
                 raise invalid("a batch has puts with all coordinates, and deletes")
             seq = m["sequence"] + 1
@@ -155,30 +168,73 @@ class Store:
             row = batch_report(ops, self.state()).first()
             report = nothing if row is None else {k: row[k] for k in ("inserted", "updated", "deleted", "absent")}
             if not any(report[k] for k in ("inserted", "updated", "deleted")):
+                self.files.delete(f"log/seq={seq}")
                 return nothing | {"absent": report["absent"]}
-            ids = [*m["batch_ids"], batch_id] if batch_id is not None else m["batch_ids"]
-            self._commit(sequence=seq, batch_ids=ids[-1000:])
+            if mark:  # it counts once the sequence does
+                self.files.delete(mark)
+                self.files.create(mark, {"sequence": seq})
+            self._commit(sequence=seq)
             return report | {"sequence": seq}
 
     def checkpoint(self) -> int:
-        """Folds the log into a new version, which readers see from their next open on; returns the rows it dropped."""
+        """Folds the log into a new version, which readers see from their next open on; returns how many rows of the last one it dropped."""
         with self._locked():
             m = self.manifest
-            before = self.spark.read.parquet(f"{self.path}/v={m['version']}").count()
-            rows = self.state()
-            new = m["version"] + 1
-            rows.orderBy("id").write.mode("overwrite").parquet(f"{self.path}/v={new}")
-            after = self.spark.read.parquet(f"{self.path}/v={new}").count()
+            before, new = self._version(), m["version"] + 1
+            self.state().orderBy("id").write.mode("overwrite").parquet(f"{self.path}/v={new}")
+            gone = before.join(self.spark.read.parquet(f"{self.path}/v={new}").select("id"), "id", "left_anti").count()
             self._commit(version=new, base=m["sequence"])
-            return max(0, before - after)
+            return gone
+
+    def compact(self) -> int:
+        """A checkpoint; then versions and batches that it replaces go.  Returns bytes freed; readers of old versions must be done."""
+        self.checkpoint()
+        with self._locked():
+            m, freed = self.manifest, 0
+            old = [f"v={n.removeprefix('v=')}" for n in self.files.names() if n.startswith("v=") and n != f"v={m['version']}"]
+            old += [f"log/{n}" for n in self.files.names("log") if int(n.removeprefix("seq=")) <= m["base"]]
+            for name in old:
+                freed += self.files.size(name)
+                self.files.delete(name)
+            return freed
+
+    def maintain(self, policy: Policy = Policy()) -> str:
+        """Does what the policy asks for now: `compact`, `checkpoint` or `none`."""
+        rows, active = self._version(), self.state()
+        kept = rows.join(active.select("id"), "id", "left_semi").count()
+        physical = rows.count()
+        action = policy.action(physical, kept, self.files.size("log"))
+        if action != "none":
+            getattr(self, action)()
+        return action
 
     def export(self, path: str) -> None:
         """The active rows as a table of their own; fails if it is there."""
-        if os.path.exists(path):
+        if Files(self.spark, path).exists():
             raise EngineError("AlreadyExists", path)
         self.state().write.mode("errorifexists").parquet(path)
 
-    backup = export
+    def backup(self, root: str, name: str) -> Store:
+        """A store of its own with the active rows, which can be opened and written."""
+        copy = Store.create(self.spark, root, name, self.space, self.manifest["schema"])
+        copy.import_rows(self.state())
+        return copy
+
+    def import_rows(self, rows: DataFrame) -> int:
+        """Fills an empty store with rows of its schema, as version 1; returns how many.  Ids must not repeat."""
+        with self._locked():
+            if self.manifest["sequence"] or self.manifest["version"]:
+                raise EngineError("Conflict", "rows are imported into an empty store")
+            names = [x.split()[0] for x in _fields(self.manifest["schema"])]
+            path = f"{self.path}/v=1"
+            rows.select(*names).orderBy("id").write.mode("overwrite").parquet(path)
+            bad = doctor(self.spark.read.parquet(path), self.space).first().asDict()
+            total = bad.pop("rows")
+            if any(bad.values()):
+                self.files.delete("v=1")
+                raise invalid(f"the rows can't be a store: {bad}")
+            self._commit(version=1, sequence=1, base=1)
+            return total
 
 
 def _fields(schema: str) -> list[str]:
@@ -187,41 +243,72 @@ def _fields(schema: str) -> list[str]:
     return [f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromDDL(schema)]
 
 
-def _replace(path: str, content: dict) -> None:
-    with open(f"{path}.new", "w") as f:
-        json.dump(content, f)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(f"{path}.new", path)
-
-
 def publish(df: DataFrame, root: str, sequence: int, id_col: str = "id") -> int:
-    """Writes df as the next generation below root and points CURRENT at it; sequences may not go back, ids not repeat."""
-    current = read_current(root)
+    """Writes df as the next generation below root and points CURRENT at it; sequences may not go back, ids not repeat or be null.
+
+    A generation that fails goes again; readers never see it.
+    """
+    spark, files = df.sparkSession, Files(df.sparkSession, root)
+    current = read_current(spark, root)
     if current and sequence < current["sequence"]:
         raise invalid("the sequence goes back")
     number = (current["generation"] if current else 0) + 1
     path = f"{root}/gen={number}"
     df.orderBy(id_col).write.mode("overwrite").parquet(path)
-    written = df.sparkSession.read.parquet(path)
-    n, ids = written.agg(F.count("*"), F.count_distinct(id_col)).first()
+    n, ids = spark.read.parquet(path).agg(F.count("*"), F.count_distinct(id_col)).first()
     if n != ids:
-        raise invalid("an id repeats")
-    os.makedirs(root, exist_ok=True)
-    _replace(f"{root}/CURRENT", {"generation": number, "sequence": sequence, "rows": n})
+        files.delete(f"gen={number}")
+        raise invalid("an id repeats or is null")
+    files.replace("CURRENT", {"generation": number, "sequence": sequence, "rows": n, "bytes": files.size(f"gen={number}")})
     return number
 
 
-def read_current(root: str) -> dict | None:
-    if not os.path.exists(f"{root}/CURRENT"):
-        return None
-    with open(f"{root}/CURRENT") as f:
-        return json.load(f)
+def read_current(spark: SparkSession, root: str) -> dict | None:
+    files = Files(spark, root)
+    return files.read("CURRENT") if files.exists("CURRENT") else None
 
 
 def open_generation(spark: SparkSession, root: str, generation: int | None = None) -> DataFrame:
-    """A pinned generation: later ones don't change what this reads."""
-    current = read_current(root)
-    if current is None:
+    """A pinned generation: later ones don't change what this reads.  The current one must have the rows it was published with."""
+    current = read_current(spark, root)
+    if current is None or (generation and not Files(spark, root).exists(f"gen={generation}")):
         raise EngineError("NotFound", root)
-    return spark.read.parquet(f"{root}/gen={generation or current['generation']}")
+    df = spark.read.parquet(f"{root}/gen={generation or current['generation']}")
+    if not generation and df.count() != current["rows"]:  # from the files' footers
+        raise EngineError("Corrupt", f"{root} has not the rows of its CURRENT")
+    return df
+
+
+def pin(spark: SparkSession, root: str, generation: int) -> str:
+    """Keeps a generation from collect_generations until unpin(name)."""
+    name = f"pins/{generation}.{uuid.uuid4().hex}"
+    Files(spark, root).create(name, {"generation": generation})
+    return name
+
+
+def unpin(spark: SparkSession, root: str, name: str) -> None:
+    Files(spark, root).delete(name)
+
+
+def collect_generations(spark: SparkSession, root: str, keep: int = 1) -> list[int]:
+    """Deletes all generations but the last `keep`, the current one and those that are pinned; returns their numbers."""
+    files, current = Files(spark, root), read_current(spark, root)
+    if current is None:
+        return []
+    if keep < 1:
+        raise invalid("keep must be at least 1")
+    numbers = sorted(int(n.removeprefix("gen=")) for n in files.names() if n.startswith("gen="))
+    held = {int(n.split(".")[0]) for n in files.names("pins")} | {current["generation"], *numbers[-keep:]}
+    gone = [n for n in numbers if n not in held]
+    for n in gone:
+        files.delete(f"gen={n}")
+    return gone
+
+
+def generations(spark: SparkSession, root: str) -> DataFrame:
+    """(generation, bytes, current, pins) of what is there."""
+    files, current = Files(spark, root), read_current(spark, root) or {"generation": None}
+    numbers = sorted(int(n.removeprefix("gen=")) for n in files.names() if n.startswith("gen="))
+    pins = [int(n.split(".")[0]) for n in files.names("pins")]
+    rows = [(n, files.size(f"gen={n}"), n == current["generation"], pins.count(n)) for n in numbers]
+    return spark.createDataFrame(rows, "generation long, bytes long, current boolean, pins long")

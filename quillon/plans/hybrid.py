@@ -46,7 +46,7 @@ def context(chunks: DataFrame, centres: DataFrame, radius: int, where: Column |
     numbered = some.withColumn("__at", F.row_number().over(Window.partitionBy(source).orderBy(*order))).withColumn("__ok", ok)
     middle = numbered.join(wanted.select(id_col), id_col, "left_semi").where("__ok").select(F.col(source).alias("__source"), F.col(id_col).alias("centre"), F.col("__at").alias("__mid"))
     near = numbered.where("__ok").join(middle, (F.col(source) == F.col("__source")) & (F.abs(F.col("__at") - F.col("__mid")) <= radius))
-    return near.select("centre", (F.col("__at") - F.col("__mid")).alias("position"), *chunks.columns)
+    return near.select("centre", (F.col("__at") - F.col("__mid")).alias("position"), *["`" + c.replace("`", "``") + "`" for c in chunks.columns])
 
 
 def first_of_source(hits: DataFrame, source: str = "source", rank: str = "rank") -> DataFrame:
@@ -62,6 +62,25 @@ def within(hits: DataFrame, max_distance: float, distance: str = "distance") ->
     return hits.where(F.col(distance) <= max_distance)
 
 
+def one_for_each_source(search: Callable[[int], DataFrame], k: int, most: int, source: str = "source") -> tuple[DataFrame, bool]:
+    """The k best sources of a search, and whether they are all that it can find.
+
+    search(n) gives n hits with ranks.  It is asked for more than k, twice as many each time, until enough sources are among
+    them, it gives fewer than it was asked for, or `most` have been asked for.
+    """
+    if not 1 <= k <= most:
+        raise invalid("1 <= k <= most")
+    n = k
+    while True:
+        n = min(most, 2 * n)
+        hits = search(n)
+        best = first_of_source(hits, source)
+        sources, found = best.count(), hits.count()
+        if sources >= k or found < n or n == most:
+            rank = F.row_number().over(Window.orderBy("rank"))  # at most `most` rows
+            return best.withColumn("rank", rank).where(F.col("rank") <= k), sources >= k or found < n
+
+
 def page(df: DataFrame, after: int | None, limit: int, id_col: str = "id") -> tuple[DataFrame, int | None]:
     """Rows with ids beyond `after`, at most `limit` in order, and the id to go on after (None: no more)."""
     if not 1 <= limit <= MAX_PAGE:

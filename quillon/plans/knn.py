@@ -15,6 +15,8 @@ from ..errors import invalid
 from ..functions.distance import distance, kernel, vector_literal, zero_sign
 from ..operators import quantize
 
+#: Columns of prepared codes.
+CODES = ("codes", "scale", "sqnorm")
 #: Queries times coordinates that are sent to every executor, at most (32 MB of doubles); beyond it, queries go in turns.
 QUERY_CELLS = 4_000_000
 
@@ -47,10 +49,16 @@ def exact(df: DataFrame, query: list[float], k: int, metric: Metric, id_col: str
     check_vector(query, None, metric)
     if k < 0:
         raise invalid("k must not be negative")
-    rows = df if where is None else df.where(where)
+    rows = usable(df if where is None else df.where(where), vector, len(query))
     return ordered(rows.select(id_col, distance(F.col(vector), vector_literal(query), metric).alias("distance")), k, id_col)
 
 
+def usable(df: DataFrame, vector: str, dimensions: int) -> DataFrame:
+    """The rows that can be compared: their vector isn't null, has that many coordinates and none of them null."""
+    v = F.col(vector)
+    return df.where(v.isNotNull() & (F.size(v) == dimensions) & ~F.coalesce(F.exists(v, lambda x: x.isNull()), F.lit(True)))
+
+
 def by_ids(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows whose id is in ids (one column); absent ids are ignored, repeated ones count once."""
     name = ids.columns[0]
@@ -62,7 +70,7 @@ def approximate(df: DataFrame, query: list[float], k: int, metric: Metric, candi
     if not k <= candidates <= MAX_SQ8_CANDIDATES:
         raise invalid("candidates must be k to 65536")
     check_vector(query, None, metric)
-    coded = quantize.encode(df.select(id_col, vector), vector)
+    coded = quantize.encode(usable(df.select(id_col, vector), vector, len(query)), vector)
     near = quantize.approximate_distance(F.col("codes"), F.col("scale"), F.col("sqnorm"), quantize.encode_query(query), metric)
     pool = coded.select(id_col, vector, near.alias("near")).orderBy("near", id_col).limit(candidates)
     return ordered(pool.select(id_col, distance(F.col(vector), vector_literal(query), metric).alias("distance")), k, id_col)
@@ -73,6 +81,7 @@ def auto(df: DataFrame, query: list[float], k: int, metric: Metric, options: Sea
     options.validate()
     check_vector(query, None, metric)
     rows = df if where is None else df.where(where)
+    df, rows = usable(df, vector, len(query)), usable(rows, vector, len(query))
     counts = df.agg(F.count("*").alias("n"), (F.count("*") if where is None else F.count_if(where)).alias("m")).first()
     reason = auto_reason(options, k, counts["m"], counts["n"])
     found = min(k, counts["m"])
@@ -82,9 +91,32 @@ def auto(df: DataFrame, query: list[float], k: int, metric: Metric, options: Sea
     return exact(rows, query, k, metric, id_col, vector), Report("exact", reason, counts["m"], counts["m"] if k else 0, found, metric.value, found)
 
 
+def _first(near: np.ndarray, ids: np.ndarray, some: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of the `some` rows that come first for each query, by distance, then id."""
+    limit = np.partition(near, some - 1, axis=0)[some - 1]
+    take = near <= limit[None, :]
+    for q in np.flatnonzero(take.sum(0) > some):  # ties at the limit: the smallest ids stay
+        tied = np.flatnonzero(near[:, q] == limit[q])
+        kept = some - int((near[:, q] < limit[q]).sum())
+        take[tied[np.argsort(ids[tied], kind="stable")[kept:]], q] = False
+    return np.nonzero(take)
+
+
+def prepared(codes: DataFrame, vectors: DataFrame, query: list[float], k: int, metric: Metric, candidates: int = 64, id_col: str = "id", vector: str = "vector") -> DataFrame:
+    """As approximate, from codes that quantize.prepare wrote: the scan reads codes only, and full vectors of the candidates."""
+    if not k <= candidates <= MAX_SQ8_CANDIDATES:
+        raise invalid("candidates must be k to 65536")
+    check_vector(query, None, metric)
+    near = quantize.approximate_distance(F.col("codes"), F.col("scale"), F.col("sqnorm"), quantize.encode_query(query), metric)
+    pool = codes.where(F.size("codes") == len(query)).select(id_col, near.alias("near")).orderBy("near", id_col).limit(candidates)
+    ids = F.broadcast(pool.select(id_col))  # at most 65,536 ids
+    return exact(vectors.join(ids, id_col, "left_semi"), query, k, metric, id_col, vector)
+
+
 def many(df: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col: str = "id", vector: str = "vector", candidates: int | None = None) -> DataFrame:
     """(qid, id, distance, rank) for each row of queries (qid, vector); with candidates, of so many by 8-bit codes for each query.
 
+    Rows of df without a whole vector of the queries' size are not searched.  Codes are taken from df where it has them.
     Each Arrow batch keeps its k best for a query, so at most k rows per query and batch are shuffled, and no pair is a row
     before that.  Query vectors are broadcast within a fixed bound, in turns if there are more.
     """
@@ -104,17 +136,25 @@ def many(df: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col: str
     turns.append(held)
     if candidates is not None and not k <= candidates <= MAX_SQ8_CANDIDATES:
         raise invalid("candidates must be k to 65536")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    if not turns[0]:
+        return df.sparkSession.createDataFrame([], "qid long, id long, distance double, rank int")
+    dimensions = {len(row["vector"]) for turn in turns for row in turn}
+    if len(dimensions) > 1:
+        raise invalid("queries must have the same number of coordinates")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), *[c for c in CODES if candidates is not None and c in df.columns])
+    rows = usable(rows, "v", dimensions.pop())
     if candidates is not None:
-        rows = quantize.encode(rows, "v").select("id", "v", "codes", "scale", "sqnorm")
+        rows = (rows if set(CODES) <= set(rows.columns) else quantize.encode(rows, "v")).select("id", "v", *CODES)
     schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("distance", pa.float64()), ("near", pa.float64())])
     parts = []
-    for turn in (t for t in turns if t):
+    for turn in turns:
         box = df.sparkSession.sparkContext.broadcast((np.array([r["qid"] for r in turn]), np.array([r["vector"] for r in turn], np.float32)))
 
         def run(batches: Iterator[pa.RecordBatch], box=box) -> Iterator[pa.RecordBatch]:
             qids, q = box.value
             for b in batches:
+                if not b.num_rows:
+                    continue
                 ids = np.asarray(b.column(0))
                 x = np.asarray(b.column(1).flatten()).reshape(len(ids), -1)
                 step = max(1, (1 << 21) // max(1, len(ids)))
@@ -125,13 +165,10 @@ def many(df: DataFrame, queries: DataFrame, k: int, metric: Metric, id_col: str
                         codes = np.asarray(b.column(2).flatten()).reshape(len(ids), -1)
                         near = quantize.approximate_kernel(codes, np.asarray(b.column(3)), np.asarray(b.column(4)), q[at : at + step], metric)
                         some = min(candidates, len(ids))
-                    limit = np.partition(near, some - 1, axis=0)[some - 1]
-                    n, j = np.nonzero(near <= limit[None, :])  # ties stay; the window decides
+                    n, j = _first(near, ids, some)
                     yield pa.RecordBatch.from_arrays([pa.array(qids[at + j]), pa.array(ids[n]), pa.array(d[n, j]), pa.array(near[n, j])], schema=schema)
 
         parts.append(rows.mapInArrow(run, "qid long, id long, distance double, near double"))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "qid long, id long, distance double, rank int")
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import HybridOptions, Metric, SearchOptions, auto_reason
+from .config import HybridOptions, Metric, SearchOptions, Space
+from .files import kept_dir
 from .functions.distance import distance, vector_literal
-from .functions.text import words
+from .functions.text import KOREAN_NGRAM, words
 from .operators import evaluate, filters, keyword, quantize, store, sync
 from .plans import hybrid, knn
 from .sources import ingest
@@ -71,14 +74,18 @@ def knn_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 def knn_multi_query(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
-    return _rounded(knn.many(v, v.where("id < 100").select(F.col("id").alias("qid"), "vector"), 10, Metric.SQUARED_L2), "distance")
+    return _rounded(knn.many(v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector"), 10, Metric.SQUARED_L2), "distance")
 
 
 def auto_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    n = _vectors(spark, sf).count()
-    cases = [(1, 10, n), (2, 200, n), (3, 10, n // 16), (4, 10, 0)]
-    rows = [(c, auto_reason(SearchOptions(exact_threshold=16), k, e, n)) for c, k, e in cases]
-    return spark.createDataFrame(rows, "item int, reason string")
+    """Searches of each kind, each with its report beside its hits."""
+    v, q, out = _vectors(spark, sf), _probe(spark, sf), None
+    cases = [(1, 10, None, SearchOptions(exact_threshold=16)), (2, 200, None, SearchOptions(exact_threshold=16)), (3, 10, F.col("id") % 20 == 0, SearchOptions(exact_threshold=4)), (4, 10, F.col("id") % 50 == 0, SearchOptions())]
+    for item, k, where, options in cases:
+        found, report = knn.auto(v, q, k, Metric.SQUARED_L2, options, where=where)
+        named = _rounded(found, "distance").select(F.lit(item).alias("item"), F.lit(report.reason).alias("reason"), F.lit(report.eligible_count).cast("long").alias("eligible"), "id", "distance", "rank")
+        out = named if out is None else out.union(named)
+    return out
 
 
 def pairwise_distances(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,8 +169,103 @@ def store_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doctor(spark: SparkSession, sf: str) -> DataFrame:
+    """A table with planted faults: repeated and missing ids, values not finite, short, null and zero vectors."""
+    v = _vectors(spark, sf).select("id", "vector")
+    nan, zero, short = (f"transform(vector, x -> float('{x}'))" for x in ("NaN", "0", "1"))
+    odd = [v.where("id % 7 = 0"), v.where("id % 11 = 0").selectExpr("id + 1000000", f"{nan}"), v.where("id % 13 = 0").selectExpr("id + 2000000", f"{zero}"), v.where("id % 17 = 0").selectExpr("id + 3000000", f"slice({short}, 1, 3)"), v.where("id % 19 = 0").selectExpr("id + 4000000", "cast(null as array<float>)"), v.where("id % 23 = 0").selectExpr("cast(null as long)", "vector")]
+    for x in odd:
+        v = v.union(x)
+    return store.doctor(v, Space("m", 64, Metric.COSINE))
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf: str) -> keyword.Index:
+    """The table's index, written once for a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        path = f"{kept_dir(spark)}/quillon-kept/bm25-{uuid.uuid4().hex}"
+        keyword.Index.create(spark, path).add(_t(spark, sf, "documents"), id_col="doc_id")
+        _INDEXES[key] = path
+    return keyword.Index(spark, _INDEXES[key])
+
+
+def bm25_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(_index(spark, sf).search(QUERY, 20), "score")
+
+
+def bm25_indexed_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    eligible = _t(spark, sf, "documents").where("lang = 'en'").select("doc_id")
+    return _rounded(_index(spark, sf).search(QUERY, 20, eligible), "score")
+
+
+def index_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms, documents and lengths after a change and a merge, as if the index had been built at once."""
+    d = _t(spark, sf, "documents").select("doc_id", "text")
+    path = f"{kept_dir(spark)}/quillon-kept/bm25-{uuid.uuid4().hex}"
+    keyword.Index.create(spark, path).add(d.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" stale words"))).otherwise(F.col("text"))), id_col="doc_id")
+    keyword.Index(spark, path).add(d.where("doc_id % 3 = 0"), d.where("doc_id % 5 = 0 and doc_id % 3 <> 0").select("doc_id"), id_col="doc_id")
+    index = keyword.Index(spark, path)
+    index.merge()
+    return index._read("postings", "term string, id long, tf long, len long").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"), F.sum("len").alias("lens"))
+
+
+_CODES: dict[tuple[str, str], str] = {}
+
+
+def _codes(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors' codes, written once for a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CODES:
+        _CODES[key] = f"{kept_dir(spark)}/quillon-kept/codes-{uuid.uuid4().hex}"
+        quantize.prepare(_vectors(spark, sf), _CODES[key], 1)
+    return spark.read.parquet(f"{_CODES[key]}/codes-1")
+
+
+def sq8_prepared(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(knn.prepared(_codes(spark, sf), _vectors(spark, sf), _probe(spark, sf), 10, Metric.SQUARED_L2, 64), "distance")
+
+
+def sq8_many(spark: SparkSession, sf: str) -> DataFrame:
+    v = _vectors(spark, sf)
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector")
+    return _rounded(knn.many(v.join(_codes(spark, sf), "id"), asked, 10, Metric.SQUARED_L2, candidates=64), "distance")
+
+
+def knn_null_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without a vector, with a short one or with a null coordinate are not searched."""
     v = _vectors(spark, sf)
-    return store.doctor(v.union(v.where("id < 3")))
+    bad = F.when(F.col("id") % 3 == 1, F.lit(None)).when(F.col("id") % 9 == 2, F.slice("vector", 1, 5)).when(F.col("id") % 9 == 5, F.transform("vector", lambda x, i: F.when(i != 7, x))).otherwise(F.col("vector"))
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector")
+    return _rounded(knn.many(v.withColumn("vector", bad), asked, 5, Metric.COSINE), "distance")
+
+
+def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.latency(_t(spark, sf, "lineitem").select(F.col("l_extendedprice").cast("double").alias("ms")))
+
+
+def rerank_hits(spark: SparkSession, sf: str) -> DataFrame:
+    hits = knn.exact(_vectors(spark, sf), _probe(spark, sf), 30, Metric.SQUARED_L2)
+    return hybrid.rerank(hits, lambda rows: sorted((r["id"] for r in rows), key=lambda i: (i % 7, i)), 10).select("id", "rank")
+
+
+def korean_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of the n-gram analyzer over short Hangul texts made of ids."""
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.translate((F.col("doc_id") % 1000).cast("string"), "0123456789", "가나다라마바사아자차"), F.lit(" 백업")).alias("text"))
+    return keyword.term_stats(d, analyzer=KOREAN_NGRAM)
+
+
+def bm25_no_match(spark: SparkSession, sf: str) -> DataFrame:
+    return keyword.search(_t(spark, sf, "documents").where("doc_id < 0"), QUERY, 5, "doc_id")
+
+
+def one_source_each(spark: SparkSession, sf: str) -> DataFrame:
+    v = _vectors(spark, sf).withColumnRenamed("label", "source")
+    q = _probe(spark, sf)
+    return _rounded(hybrid.one_for_each_source(lambda n: knn.exact(v, q, n, Metric.SQUARED_L2).join(v.select("id", "source"), "id"), 3, 512)[0], "distance").select("id", "source", "distance", "rank")
+
+
 
 
 def html_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,7 +279,7 @@ def chunk_bytes(spark: SparkSession, sf: str) -> DataFrame:
 def sync_plan(spark: SparkSession, sf: str) -> DataFrame:
     d = _t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("c"), "conv_id", F.lit(".md")).alias("source"), "text", "turn")
     rows = d.select("id", "source", "text", F.col("turn").cast("int").alias("start_line"), F.col("turn").cast("int").alias("end_line"), F.array(F.lit("t")).alias("tags"), F.col("turn").alias("chunk"))
-    changed = rows.where("id % 7 <> 0 and hash(source) % 11 <> 0").withColumn("text", F.when(F.col("id") % 13 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    changed = rows.where("id % 7 <> 0 and id % 1000 <> 3").withColumn("text", F.when(F.col("id") % 13 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     return sync.report(sync.plan(rows, changed, prune=True))
 
 
@@ -198,6 +300,8 @@ def mrr_ndcg(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FILTERS = {
+    "filter_one_point": ('number("quality") >= 1 AND number("quality") <= 1', "quality = 1"),
+    "filter_mixed": ('(tag("en") OR source("src2")) AND NOT (number("n_chars") > 900 AND date("modified") < "2026-07-01")', "(lang = 'en' OR coalesce(source = 'src2', FALSE)) AND NOT (coalesce(n_chars > 900, FALSE) AND doc_id % 5 <> 0 AND DATE '2026-01-01' + CAST(doc_id % 365 AS INT) < DATE '2026-07-01')"),
     "filter_tag_and": ('tag("all") AND tag("en") AND source("src1")', "lang = 'en' AND source = 'src1'"),
     "filter_or": ('tag("de") OR tag("fr")', "lang IN ('de', 'fr')"),
     "filter_not_missing": ('NOT number("quality") = 1', "coalesce(quality <> 1, TRUE)"),
@@ -213,6 +317,7 @@ QUERIES = {
         knn_filtered, knn_ids, knn_metadata, knn_multi_query, auto_reasons, pairwise_distances, tokens, term_stats, bm25, bm25_filtered, bm25_counters, hybrid_rrf,
         context_chunks, group_by_source, max_distance, list_page, sq8_encode, sq8_search, sq8_all_candidates, mutation_fold, batch_report, store_stats, doctor,
         html_text, chunk_bytes, sync_plan, recall_sq8, mrr_ndcg,
+        bm25_indexed, bm25_indexed_filtered, index_postings, sq8_prepared, sq8_many, knn_null_vectors, latency_percentiles, rerank_hits, korean_terms, bm25_no_match, one_source_each,
     )},
     **{name: _filtered(text) for name, (text, _) in FILTERS.items()},
 }
@@ -245,9 +350,13 @@ _MUT = "m AS (SELECT event_id // 100 AS seq, CAST(event_id % 100 AS INT) AS ordi
 ORACLE_SQL = {
     "knn_l2": _knn_sql("l2"), "knn_cosine": _knn_sql("cos"), "knn_ip": _knn_sql("ip"), "knn_k_zero": _knn_sql("cos", 0), "knn_k_over": _knn_sql("l2", 100_000),
     "knn_filtered": _knn_sql("l2", where="e.label = 1"), "knn_ids": _knn_sql("cos", where="e.id % 7 = 0"), "knn_metadata": _knn_sql("ip", 5, "e.label = 2"),
-    "knn_multi_query": f"""WITH {_E}, q AS (SELECT id AS qid, v FROM e WHERE id < 100), d AS (SELECT qid, e.id, {_DIST['l2']} AS d FROM e, q),
+    "knn_multi_query": f"""WITH {_E}, q AS (SELECT id AS qid, v FROM e WHERE id % 20 = 0), d AS (SELECT qid, e.id, {_DIST['l2']} AS d FROM e, q),
 r AS (SELECT qid, id, d, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, id) AS INT) AS rank FROM d) SELECT qid, id, round(d, 9) AS distance, rank FROM r WHERE rank <= 10""",
-    "auto_reasons": "SELECT * FROM (VALUES (1, 'AnnSelected'), (2, 'LargeK'), (3, 'SelectiveFilter'), (4, 'SmallEligibleSet')) v(item, reason)",
+    "auto_reasons": f"""WITH {_E}, {_SQ8}, n AS (SELECT *, list_inner_product(codes, codes) AS nn FROM k), qc AS (SELECT codes AS qc, scale AS qs, nn AS qn FROM n WHERE id = 0), q AS (SELECT v FROM e WHERE id = 0),
+s(item, reason, k, every) AS (VALUES (1, 'AnnSelected', 10, 1), (2, 'LargeK', 200, 1), (3, CASE WHEN (SELECT count(*) FROM e) > 80 THEN 'SelectiveFilter' ELSE 'SmallEligibleSet' END, 10, 20), (4, 'SmallEligibleSet', 10, 50)),
+a AS (SELECT n.id FROM n, qc ORDER BY greatest(0.0, n.scale * n.scale * n.nn + qs * qs * qn - 2.0 * n.scale * qs * list_inner_product(codes, qc)), n.id LIMIT 128),
+d AS (SELECT item, reason, k, e.id, {_DIST['l2']} AS d, (SELECT count(*) FROM e x WHERE x.id % every = 0) AS eligible FROM s, e, q WHERE e.id % every = 0 AND (item <> 1 OR e.id IN (SELECT id FROM a))),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY d, id) AS INT) AS rank FROM d) SELECT item, reason, eligible, id, round(d, 9) AS distance, rank FROM r WHERE rank <= k""",
     "pairwise_distances": f"WITH {_E}, q AS (SELECT v FROM e WHERE id = 1) SELECT e.id, round({_DIST['l2']}, 9) AS squared_l2, round({_DIST['cos']}, 9) AS cosine, round({_DIST['ip']}, 9) AS inner_product FROM e, q",
     "tokens": f"SELECT doc_id AS id, CAST(len({_TERMS}) AS BIGINT) AS len FROM documents",
     "term_stats": f"WITH x AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total FROM x GROUP BY term",
@@ -269,11 +378,48 @@ SELECT c.id AS centre, x.rn - c.rn AS position, x.id FROM t c JOIN t x ON c.s =
     "sq8_search": f"""WITH {_E}, {_SQ8}, n AS (SELECT *, list_inner_product(codes, codes) AS nn FROM k), q AS (SELECT codes AS qc, scale AS qs, nn AS qn, v FROM n WHERE id = 0),
 a AS (SELECT n.id, n.v, greatest(0.0, n.scale * n.scale * n.nn + qs * qs * qn - 2.0 * n.scale * qs * list_inner_product(codes, qc)) AS near FROM n, q ORDER BY near, id LIMIT 64),
 r AS (SELECT e.id, {_DIST['l2']} AS d FROM a e, q) SELECT id, round(d, 9) AS distance, CAST(row_number() OVER (ORDER BY d, id) AS INT) AS rank FROM r QUALIFY rank <= 10""",
+    "sq8_many": f"""WITH {_E}, {_SQ8}, n AS (SELECT *, list_inner_product(codes, codes) AS nn FROM k), q AS (SELECT id AS qid, codes AS qc, scale AS qs, nn AS qn, v FROM n WHERE id % 20 = 0),
+a AS (SELECT qid, n.id, {_DIST['l2'].replace('e.v', 'n.v')} AS d, row_number() OVER (PARTITION BY qid ORDER BY greatest(0.0, n.scale * n.scale * n.nn + qs * qs * qn - 2.0 * n.scale * qs * list_inner_product(codes, qc)), n.id) AS place FROM n, q),
+r AS (SELECT qid, id, d, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, id) AS INT) AS rank FROM a WHERE place <= 64) SELECT qid, id, round(d, 9) AS distance, rank FROM r WHERE rank <= 10""",
+    "recall_sq8": f"""WITH {_E}, {_SQ8}, n AS (SELECT *, list_inner_product(codes, codes) AS nn FROM k), q AS (SELECT id AS qid, codes AS qc, scale AS qs, nn AS qn, v FROM n WHERE id % 20 = 0),
+a AS (SELECT qid, n.id, {_DIST['l2'].replace('e.v', 'n.v')} AS d, row_number() OVER (PARTITION BY qid ORDER BY greatest(0.0, n.scale * n.scale * n.nn + qs * qs * qn - 2.0 * n.scale * qs * list_inner_product(codes, qc)), n.id) AS place FROM n, q),
+t AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM a QUALIFY rank <= 10), f AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM a WHERE place <= 64 QUALIFY rank <= 10),
+h AS (SELECT t.qid, count(*) AS wanted, count(f.id) AS hits FROM t LEFT JOIN f ON t.qid = f.qid AND t.id = f.id GROUP BY t.qid)
+SELECT count(*) AS queries, CAST(sum(hits) AS BIGINT) AS hits, round(sum(hits) / sum(wanted), 9) AS recall, count(*) FILTER (wanted < 10) AS short FROM h""",
     "sq8_all_candidates": _knn_sql("cos"),
+    "sync_plan": """WITH o AS (SELECT conv_id * 1000 + turn AS id, 'c' || conv_id || '.md' AS source, text, turn FROM conversations), i AS (SELECT id, source, CASE WHEN id % 13 = 0 THEN text || '!' ELSE text END AS text, turn FROM o WHERE id % 7 <> 0 AND id % 1000 <> 3),
+a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS p FROM o), b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY turn, id) AS p FROM i),
+j AS (SELECT coalesce(a.source, b.source) AS source, a.id, b.id AS nid, a.text AS t, b.text AS nt, a.turn AS l, b.turn AS nl FROM a FULL JOIN b ON a.source = b.source AND a.p = b.p),
+k AS (SELECT *, bool_and(coalesce(t = nt AND l = nl, FALSE)) OVER (PARTITION BY source) AS same, bool_or(nid IS NOT NULL) OVER (PARTITION BY source) AS known FROM j),
+x AS (SELECT *, CASE WHEN same THEN 'unchanged' WHEN NOT known OR nid IS NULL THEN 'delete' WHEN id IS NULL THEN 'insert' ELSE 'update' END AS action FROM k),
+y AS (SELECT *, action IN ('insert', 'update') AS put, EXISTS (SELECT 1 FROM o WHERE o.source = x.source AND o.text = x.nt AND o.turn = x.nl) AS again FROM x),
+z AS (SELECT source, bool_or(action <> 'unchanged') AS changed, count(*) FILTER (put) AS puts, count(*) FILTER (action = 'delete') AS deletes, count(*) FILTER (put AND again) AS reused FROM y GROUP BY source)
+SELECT count(*) FILTER (changed) AS changed, count(*) FILTER (NOT changed) AS unchanged, CAST(sum(puts) AS BIGINT) AS puts, CAST(sum(deletes) AS BIGINT) AS deleted, CAST(sum(reused) AS BIGINT) AS reused, CAST(sum(puts) - sum(reused) AS BIGINT) AS embed FROM z""",
     "mutation_fold": f"WITH {_MUT}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC, ordinal DESC) AS n FROM m) SELECT id, value FROM r WHERE n = 1 AND op = 'put'",
     "batch_report": f"""WITH {_MUT}, x AS (SELECT m.*, coalesce(lag(op) OVER (PARTITION BY m.id ORDER BY seq, ordinal), CASE WHEN m.id < 50 THEN 'put' ELSE 'delete' END) = 'put' AS there FROM m)
 SELECT seq, count(*) FILTER (op = 'put' AND NOT there) AS inserted, count(*) FILTER (op = 'put' AND there) AS updated, count(*) FILTER (op = 'delete' AND there) AS deleted, count(*) FILTER (op = 'delete' AND NOT there) AS absent FROM x GROUP BY seq""",
     "store_stats": "SELECT count(*) AS rows, CAST(sum(len(embedding) * 4) AS BIGINT) AS vector_bytes, CAST(min(len(embedding)) AS INT) AS min_dims, CAST(max(len(embedding)) AS INT) AS max_dims FROM embeddings",
-    "doctor": "SELECT count(*) + 3 AS rows, CAST(3 AS BIGINT) AS repeated_ids, CAST(0 AS BIGINT) AS null_ids, CAST(0 AS BIGINT) AS not_finite, CAST(0 AS BIGINT) AS wrong_dimensions, CAST(0 AS BIGINT) AS zero_vectors FROM embeddings",
+    "doctor": """WITH c AS (SELECT count(*) AS n, count(*) FILTER (vec_id % 7 = 0) AS a, count(*) FILTER (vec_id % 11 = 0) AS b, count(*) FILTER (vec_id % 13 = 0) AS z, count(*) FILTER (vec_id % 17 = 0) AS s, count(*) FILTER (vec_id % 19 = 0) AS u, count(*) FILTER (vec_id % 23 = 0) AS i FROM embeddings)
+SELECT n + a + b + z + s + u + i AS rows, a + i - 1 AS repeated_ids, i AS null_ids, b AS not_finite, s + u AS wrong_dimensions, z AS zero_vectors FROM c""",
+    "bm25_indexed": f"WITH {_BM25}, r AS ({_RANKED}) SELECT id, round(score, 9) AS score, rank FROM r WHERE rank <= 20",
+    "bm25_indexed_filtered": f"WITH {_BM25}, r AS ({_RANKED} WHERE lang = 'en') SELECT id, round(score, 9) AS score, rank FROM r WHERE rank <= 20",
+    "index_postings": f"""WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 3 = 0), x AS (SELECT doc_id, len(ts) AS l, unnest(ts) AS term FROM d), p AS (SELECT term, doc_id, l, count(*) AS tf FROM x GROUP BY ALL)
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total, CAST(sum(l) AS BIGINT) AS lens FROM p GROUP BY term""",
+    "knn_null_vectors": f"""WITH {_E}, q AS (SELECT id AS qid, v FROM e WHERE id % 20 = 0), d AS (SELECT qid, e.id, {_DIST['cos']} AS d FROM e, q WHERE e.id % 3 <> 1 AND e.id % 9 <> 2 AND e.id % 9 <> 5),
+r AS (SELECT qid, id, d, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, id) AS INT) AS rank FROM d) SELECT qid, id, round(d, 9) AS distance, rank FROM r WHERE rank <= 5""",
+    "latency_percentiles": "SELECT CAST(quantile_disc(l_extendedprice, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(l_extendedprice, 0.95) AS DOUBLE) AS p95, CAST(quantile_disc(l_extendedprice, 0.99) AS DOUBLE) AS p99 FROM lineitem",
+    "rerank_hits": f"SELECT * FROM (SELECT id, CAST(row_number() OVER (ORDER BY id % 7, id) AS INT) AS rank FROM (SELECT id FROM ({_knn_sql('l2', 30)}))) WHERE rank <= 10",
+    "korean_terms": """WITH d AS (SELECT doc_id, translate(CAST(doc_id % 1000 AS VARCHAR), '0123456789', '가나다라마바사아자차') AS w FROM documents),
+g AS (SELECT doc_id, w AS term FROM d UNION ALL SELECT doc_id, '백업' FROM d UNION ALL SELECT doc_id, unnest(list_distinct(list_filter([substr(w, 1, 2), substr(w, 2, 2)], lambda x: length(x) = 2 AND x <> w))) FROM d)
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total FROM g GROUP BY term""",
+    "bm25_no_match": "SELECT doc_id AS id, CAST(0 AS DOUBLE) AS score, CAST(0 AS INT) AS rank FROM documents WHERE FALSE",
+    "one_source_each": f"""WITH {_E}, q AS (SELECT v FROM e WHERE id = 0), d AS (SELECT e.id, e.label AS source, {_DIST['l2']} AS d FROM e, q), b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY d, id) AS n FROM d)
+SELECT id, source, round(d, 9) AS distance, CAST(row_number() OVER (ORDER BY d, id) AS INT) AS rank FROM b WHERE n = 1 QUALIFY rank <= 3""",
+    "mrr_ndcg": f"""WITH {_E}, q AS (SELECT id AS qid, v, label FROM e WHERE id % 20 = 0), d AS (SELECT qid, e.id, e.label AS source, {_DIST['cos']} AS d FROM e, q), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM d QUALIFY rank <= 10),
+f AS (SELECT * FROM r WHERE id <> qid), j AS (SELECT qid, CASE WHEN qid % 10 <> 0 THEN label END AS expected FROM q), b AS (SELECT j.qid, expected, (SELECT min(rank) FROM f WHERE f.qid = j.qid AND f.source = j.expected) AS r, (SELECT count(*) FROM f WHERE f.qid = j.qid) > 0 AS back FROM j)
+SELECT count(*) AS queries, count(expected) AS answerable, round(avg(CASE WHEN expected IS NOT NULL THEN CAST(coalesce(r = 1, FALSE) AS INT) END), 9) AS hit_at_1, round(avg(CASE WHEN expected IS NOT NULL THEN CAST(coalesce(r <= 3, FALSE) AS INT) END), 9) AS recall_at_3,
+round(avg(CASE WHEN expected IS NOT NULL THEN coalesce(1.0 / r, 0) END), 9) AS mrr, round(avg(CASE WHEN expected IS NOT NULL THEN coalesce(1.0 / log2(r + 1), 0) END), 9) AS ndcg, round(avg(CASE WHEN expected IS NOT NULL THEN CAST(r IS NOT NULL AS INT) END), 9) AS source_recall,
+count(*) FILTER (expected IS NULL AND back) AS unanswerable_returned FROM b""",
     **{name: f"SELECT doc_id AS id FROM documents LEFT JOIN labels USING (doc_id) WHERE {sql}" for name, (_, sql) in FILTERS.items()},
 }
+ORACLE_SQL["sq8_prepared"] = ORACLE_SQL["sq8_search"]

@@ -78,6 +78,70 @@ def test_generations(spark, tmp_path):
         store.publish(df, f"{tmp_path}/g", 4)
     with pytest.raises(EngineError):
         store.publish(df.union(df), f"{tmp_path}/g", 6)
+    with pytest.raises(EngineError):
+        store.publish(df.union(spark.createDataFrame([(None, [1.0])], df.schema)), f"{tmp_path}/g", 6)
+    assert not (tmp_path / "g" / "gen=3").exists()
+    assert store.publish(df, f"{tmp_path}/g", 6) == 3
+    name = store.pin(spark, f"{tmp_path}/g", 1)
+    assert store.collect_generations(spark, f"{tmp_path}/g") == [2]
+    assert [(r["generation"], r["current"], r["pins"]) for r in store.generations(spark, f"{tmp_path}/g").orderBy("generation").collect()] == [(1, False, 1), (3, True, 0)]
+    store.unpin(spark, f"{tmp_path}/g", name)
+    assert store.collect_generations(spark, f"{tmp_path}/g") == [1] and store.open_generation(spark, f"{tmp_path}/g").count() == 2
+    with pytest.raises(EngineError):
+        store.open_generation(spark, f"{tmp_path}/g", 1)
+
+
+def test_maintenance_backup_and_recovery(spark, tmp_path):
+    s = store.Store.create(spark, str(tmp_path), "kept", SPACE, "id long, vector array<float>")
+    ops = lambda *rows: spark.createDataFrame(list(rows), OPS)
+    s.write_batch(ops(*[(i, "put", i, [float(i), 0.0]) for i in range(10)]), batch_id="first")
+    assert s.maintain() == "none" and s.maintain(store.Policy(log_bytes=1)) == "checkpoint"
+    s.write_batch(ops(*[(i, "delete", i, None) for i in range(6)]), batch_id="second")
+    assert s.maintain(store.Policy(dead_rows=5, dead_share=0.5)) == "compact"
+    assert sorted(p.name for p in (tmp_path / "kept").glob("v=*")) == ["v=2"] and not list((tmp_path / "kept" / "log").glob("seq=*"))
+    assert sorted(r["id"] for r in s.state().collect()) == [6, 7, 8, 9]
+    assert s.write_batch(ops((0, "put", 50, [1.0, 1.0])), batch_id="first")["inserted"] == 0
+    copy = s.backup(str(tmp_path), "copy")
+    copy.write_batch(ops((0, "put", 99, [1.0, 1.0])))
+    assert copy.state().count() == 5 and s.state().count() == 4
+    with pytest.raises(EngineError):
+        copy.import_rows(s.state())
+    fresh = store.Store.create(spark, str(tmp_path), "fresh", SPACE, "id long, vector array<float>")
+    with pytest.raises(EngineError):
+        fresh.import_rows(s.state().union(s.state()))
+    assert fresh.import_rows(s.state()) == 4 and fresh.state().count() == 4
+    import shutil
+
+    shutil.rmtree(tmp_path / "copy" / "log" / "seq=2")
+    with pytest.raises(EngineError) as e:
+        store.Store(spark, f"{tmp_path}/copy").state()
+    assert e.value.kind == "Corrupt"
+    (tmp_path / "kept" / "lock").write_text("{}")
+    with pytest.raises(EngineError) as e:
+        s.checkpoint()
+    assert e.value.kind == "Locked"
+    import os
+
+    os.utime(tmp_path / "kept" / "lock", (1, 1))
+    assert s.checkpoint() == 0
+
+
+def test_mutations_without_an_operation_are_refused(spark, tmp_path):
+    s = store.Store.create(spark, str(tmp_path), "n", SPACE, "id long, vector array<float>")
+    for bad in ((0, None, 7, [1.0, 1.0]), (0, "patch", 7, [1.0, 1.0]), (0, "put", None, [1.0, 1.0]), (0, "put", 7, None), (0, "put", 7, [1.0, None])):
+        with pytest.raises(EngineError):
+            s.write_batch(spark.createDataFrame([bad], OPS))
+    with pytest.raises(Exception, match="put or a delete"):
+        store.fold(spark.createDataFrame([(1, 0, None, 7, 2.0)], "seq long, ordinal int, op string, id long, value double")).collect()
+
+
+def test_a_session_answers(spark, tmp_path):
+    corpus = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id long, vector array<float>")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"qid": 1, "vector": [3.2, 1.0], "k": 2}\n{"qid": 2, "vector": [8, 1], "k": 1}\nnonsense\n')
+    upsert.serve(spark.readStream.text(f"{tmp_path}/in"), corpus, Metric.SQUARED_L2, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
+    rows = spark.read.schema("qid long, id long, distance double, rank int, error string").json(f"{tmp_path}/out/*").collect()
+    assert sorted((r["qid"], r["rank"], r["id"]) for r in rows if r["error"] is None) == [(1, 1, 3), (1, 2, 4), (2, 1, 8)] and [r["error"] for r in rows if r["error"]] == ["InvalidInput"]
 
 
 def test_doctor_and_policy(spark):
@@ -124,12 +188,6 @@ def test_chunks(spark, tmp_path):
     assert [(r["source"], r["text"], r["numbers"]["file_bytes"]) for r in row] == [("sub/x.md", "hello\n", 6.0)]
 
 
-def test_html(spark):
-    assert ingest.html_text("<head><title>t</title></head><p>a &amp; b<p>c<script>x<b>y</b></script><br>d") == "a & b\nc\nd"
-    df = spark.createDataFrame([(1, "<p>x"), (2, None), (3, "<script>y</script>")], "page_id long, html string")
-    assert [r["text"] for r in ingest.extract_html(df).orderBy("page_id").collect()] == ["x", None, None]
-
-
 def test_sync(spark):
     cols = "source string, text string, start_line int, end_line int, tags array<string>"
     old = spark.createDataFrame([("a.md", "one", 1, 1, ["t"]), ("a.md", "two", 2, 2, ["t"]), ("b.md", "b", 1, 1, ["t"]), ("c.md", "c", 1, 1, ["t"]), ("d.txt", "d", 1, 1, ["t"])], cols).withColumn("id", F.monotonically_increasing_id())

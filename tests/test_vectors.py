@@ -1,5 +1,5 @@
 import math
-import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -14,120 +14,166 @@ from quillon.plans import knn
 SCHEMA = "id long, vector array<float>"
 
 
-def left_fold(a, b, metric):
-    dot = lambda x, y: _sum(p * q for p, q in zip(x, y, strict=True))
-    if metric is Metric.SQUARED_L2:
-        return _sum((p - q) * (p - q) for p, q in zip(a, b, strict=True))
-    if metric is Metric.INNER_PRODUCT:
-        return -dot(a, b)
-    inv = lambda v: 1 / math.sqrt(dot(v, v)) if dot(v, v) else 0.0
-    return max(0.0, min(2.0, 1 - dot(a, b) * inv(b) * inv(a)))
+@pytest.fixture(scope="module")
+def cloud(spark):
+    """Points on a coarse grid, so that many distances tie."""
+    points = np.random.default_rng(2031).integers(-2, 3, (150, 6)).astype(float)
+    points[~points.any(1)] = 1.0
+    return spark.createDataFrame([(1000 - 3 * i, p.tolist()) for i, p in enumerate(points)], SCHEMA).repartition(6).cache(), {1000 - 3 * i: p for i, p in enumerate(points)}
 
 
-def _sum(xs):
-    total = -0.0
-    for x in xs:
-        total += x
-    return total
+def plain(points, query, k, metric):
+    """Brute force over exact fractions; cosines in floats."""
+    q = [Fraction(float(x)) for x in query]
 
+    def far(p):
+        v = [Fraction(float(x)) for x in p]
+        inner = sum(a * b for a, b in zip(v, q, strict=True))
+        if metric is Metric.SQUARED_L2:
+            return float(sum((a - b) ** 2 for a, b in zip(v, q, strict=True)))
+        if metric is Metric.INNER_PRODUCT:
+            return float(-inner)
+        return round(1 - float(inner) / math.sqrt(sum(a * a for a in v) * sum(b * b for b in q)), 9)
 
-def ids(df):
-    return [(r["id"], r["distance"]) for r in df.orderBy("rank").collect()]
+    return sorted((far(p), i) for i, p in points.items())[:k]
 
 
-def test_ties_go_by_id(spark):
-    df = spark.createDataFrame([(30, [3.0, 4.0]), (10, [0.0, 0.0]), (20, [-3.0, -4.0])], SCHEMA)
-    assert ids(knn.exact(df, [0.0, 0.0], 3, Metric.SQUARED_L2)) == [(10, 0.0), (20, 25.0), (30, 25.0)]
-    assert ids(knn.exact(df, [0.0, 0.0], 0, Metric.SQUARED_L2)) == []
-    assert len(ids(knn.exact(df, [0.0, 0.0], 99, Metric.SQUARED_L2))) == 3
+def found(df):
+    return [(round(r["distance"], 9) + 0.0, r["id"]) for r in df.orderBy("rank").collect()]
 
 
-def test_cosine_and_inner_product(spark):
-    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [-4.0, 3.0]), (3, [-3.0, -4.0])], SCHEMA)
-    assert [round(d, 12) for _, d in ids(knn.exact(df, [6.0, 8.0], 3, Metric.COSINE))] == [0, 1, 2]
-    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [10.0, 0.0]), (3, [-1.0, 0.0])], SCHEMA)
-    assert ids(knn.exact(df, [2.0, 0.0], 3, Metric.INNER_PRODUCT)) == [(2, -20.0), (1, -2.0), (3, 2.0)]
+@pytest.mark.parametrize("metric", list(Metric))
+def test_exact_search_is_brute_force(cloud, metric):
+    df, points = cloud
+    query = [1.0, -2.0, 0.5, 0.0, 3.0, -1.0]
+    for k in (0, 1, 23, 10_000):
+        got, want = found(knn.exact(df, query, k, metric)), plain(points, query, k, metric)
+        assert [d for d, _ in got] == [d for d, _ in want]
+        if metric is not Metric.COSINE:  # whose ties may differ in the last bit
+            assert got == want
+    even = {i: p for i, p in points.items() if i % 2 == 0}
+    assert [d for d, _ in found(knn.exact(df, query, 9, metric, where=F.col("id") % 2 == 0))] == [d for d, _ in plain(even, query, 9, metric)]
 
 
-def test_negative_zero_comes_first(spark):
-    df = spark.createDataFrame([(1, [-0.0, 0.0]), (2, [1.0, 0.0]), (3, [-1.0, 0.0])], SCHEMA)
-    found = ids(knn.exact(df, [0.0, 1.0], 3, Metric.INNER_PRODUCT))
-    signs = [math.copysign(1, d) for _, d in found]
-    assert signs == sorted(signs)
+def test_ids_that_repeat_or_are_absent(spark, cloud):
+    df, points = cloud
+    some = spark.createDataFrame([(1000,), (1000,), (994,), (5,)], "id long")
+    assert {i for _, i in found(knn.exact(knn.by_ids(df, some), [0.0] * 6, 9, Metric.SQUARED_L2))} == {1000, 994}
 
 
 @pytest.mark.parametrize("metric", list(Metric))
-def test_columns_kernel_and_fold_agree_to_the_bit(spark, metric):
-    rng = random.Random(5)
-    rows = [[float(np.float32(rng.gauss(0, 3))) for _ in range(17)] for _ in range(40)]
-    q = rows[7]
-    df = spark.createDataFrame(list(enumerate(rows)), SCHEMA)
-    mine = [r[0] for r in df.orderBy("id").select(distance(F.col("vector"), vector_literal(q), metric)).collect()]
-    assert mine == [left_fold(r, q, metric) for r in rows]
-    assert kernel(np.array(rows, np.float32), np.array([q], np.float32), metric)[:, 0].tolist() == mine
-
-
-def test_many_queries_equal_single_ones(spark):
-    rng = np.random.default_rng(1)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.integers(-3, 3, (120, 4)).astype(float))], SCHEMA).repartition(5)
-    many = knn.many(df, df.where("id < 6").select(F.col("id").alias("qid"), "vector"), 7, Metric.SQUARED_L2)
-    got = {}
-    for r in many.orderBy("qid", "rank").collect():
-        got.setdefault(r["qid"], []).append((r["id"], r["distance"]))
-    for r in df.where("id < 6").collect():
-        assert got[r["id"]] == ids(knn.exact(df, r["vector"], 7, Metric.SQUARED_L2))
-    assert knn.many(df, df.limit(0).select(F.col("id").alias("qid"), "vector"), 7, Metric.SQUARED_L2).count() == 0
-
-
-def test_all_candidates_are_exact(spark):
-    rows = [(i, [float((31 * i + 13 * d) % 211 - 100) / 31 for d in range(17)]) for i in range(320)]
-    df = spark.createDataFrame(rows, SCHEMA)
+def test_columns_and_kernel_agree_to_the_bit(spark, metric):
+    rng = np.random.default_rng(8)
+    rows = (rng.standard_normal((30, 11)) * 10.0 ** rng.integers(-3, 4, (30, 1))).astype(np.float32)
+    q = rows[4] * np.float32(0.3)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], SCHEMA).orderBy("id")
+    by_column = [r[0] for r in df.select(distance(F.col("vector"), vector_literal(q.tolist()), metric)).collect()]
+    assert kernel(rows, q[None], metric)[:, 0].tolist() == by_column
+    exact = [float(x) for x in ((rows.astype(float) - q) ** 2).sum(1)] if metric is Metric.SQUARED_L2 else None
+    assert exact is None or np.allclose(by_column, exact, rtol=1e-12)
+
+
+def test_the_sign_of_zero_decides_before_the_id(spark):
+    df = spark.createDataFrame([(4, [0.0, 7.0]), (5, [-0.0, -7.0]), (6, [2.0, 1.0])], SCHEMA)
+    got = [math.copysign(1, r["distance"]) for r in knn.exact(df, [3.0, 0.0], 3, Metric.INNER_PRODUCT).orderBy("rank").collect()]
+    assert got == sorted(got)
+
+
+def test_many_queries_equal_single_ones(spark, cloud):
+    df, _ = cloud
+    asked = df.where("id % 10 = 0")
+    for metric in Metric:
+        got = {}
+        for r in knn.many(df, asked.select(F.col("id").alias("qid"), "vector"), 8, metric).orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append((r["id"], r["distance"]))
+        for r in asked.collect():
+            assert got[r["id"]] == [(x["id"], x["distance"]) for x in knn.exact(df, r["vector"], 8, metric).orderBy("rank").collect()]
+    none = asked.limit(0).select(F.col("id").alias("qid"), "vector")
+    assert knn.many(df, none, 8, Metric.SQUARED_L2).count() == 0 and knn.many(df.limit(0), asked.select(F.col("id").alias("qid"), "vector"), 8, Metric.SQUARED_L2).count() == 0
+
+
+def test_rows_without_a_whole_vector_are_not_searched(spark, cloud):
+    df, points = cloud
+    odd = spark.createDataFrame([(1, None), (2, [1.0, 2.0]), (3, [None, 0.0, 0.0, 0.0, 0.0, 0.0]), (4, []), (0, None)], SCHEMA)
+    both = odd.union(df).coalesce(1)
+    query = points[1000].tolist()
+    asked = spark.createDataFrame([(9, query)], "qid long, vector array<float>")
     for metric in Metric:
-        assert ids(knn.approximate(df, rows[3][1], 12, metric, 65_536)) == ids(knn.exact(df, rows[3][1], 12, metric))
-    truth = knn.exact(df, rows[3][1], 12, Metric.SQUARED_L2).withColumn("qid", F.lit(1))
-    found = knn.approximate(df, rows[3][1], 12, Metric.SQUARED_L2, 48).withColumn("qid", F.lit(1))
-    assert evaluate.recall(found, truth, 12).first()["recall"] >= 0.9
+        want = found(knn.exact(df, query, 12, metric))
+        assert found(knn.exact(both, query, 12, metric)) == want
+        assert found(knn.many(both, asked, 12, metric)) == want
+        assert found(knn.approximate(both, query, 12, metric, 65_536)) == want
+    with pytest.raises(EngineError):
+        knn.many(df, asked.union(spark.createDataFrame([(10, [1.0])], "qid long, vector array<float>")), 3, Metric.SQUARED_L2)
 
 
-def test_codes_round_half_away_from_zero(spark):
-    row = quantize.encode(spark.createDataFrame([(1, [127.0, 2.5, -0.5, -2.5]), (2, [0.0, 0.0, 0.0, 0.0])], SCHEMA)).orderBy("id").collect()
-    assert row[0]["codes"] == [127, 3, -1, -3] and row[0]["scale"] == 1.0 and row[1]["scale"] == 1.0
-    assert quantize.encode_query([127.0, 2.5, -0.5, -2.5]) == ([127, 3, -1, -3], 1.0, 127**2 + 9 + 1 + 9)
+def test_equal_vectors_send_k_rows_for_each_batch(spark):
+    ids, near = np.array([9, 3, 7, 1, 5]), np.array([[1.0, 0.0], [1.0, 2.0], [1.0, 0.0], [1.0, 0.0], [0.5, 5.0]])
+    rows, queries = knn._first(near, ids, 2)
+    assert sorted(zip(queries.tolist(), ids[rows].tolist(), strict=True)) == [(0, 1), (0, 5), (1, 1), (1, 7)]
 
 
-def test_auto_rules():
-    o = SearchOptions()
-    assert auto_reason(SearchOptions(Strategy.EXACT), 1, 9, 9) == "ExactRequested"
-    assert auto_reason(SearchOptions(Strategy.ANN), 1, 9, 9) == "AnnRequested"
-    assert auto_reason(o, 10, 256, 9000) == "SmallEligibleSet"
-    assert auto_reason(o, 129, 9000, 9000) == "LargeK"
-    assert auto_reason(o, 10, 500, 4000) == "SelectiveFilter"
-    assert auto_reason(o, 10, 501, 4007) == "AnnSelected"
-    assert auto_reason(o, 10, 9000, 9000) == "AnnSelected"
+def test_two_stage_search_from_prepared_codes(spark, cloud, tmp_path):
+    df, points = cloud
+    codes = quantize.prepare(df.union(spark.createDataFrame([(1, None)], SCHEMA)), str(tmp_path / "codes"), 4)
+    assert codes.count() == len(points)
+    for metric in Metric:
+        query = points[970].tolist()
+        assert found(knn.prepared(codes, df, query, 7, metric, 40)) == found(knn.approximate(df, query, 7, metric, 40))
+        assert found(knn.prepared(codes, df, query, 7, metric, 4000)) == found(knn.exact(df, query, 7, metric))
+    truth = knn.exact(df, points[970].tolist(), 7, Metric.SQUARED_L2).withColumn("qid", F.lit(1))
+    got = knn.prepared(codes, df, points[970].tolist(), 7, Metric.SQUARED_L2, 40).withColumn("qid", F.lit(1))
+    assert evaluate.recall(got, truth, 7).first()["recall"] >= 0.9
+    with pytest.raises(EngineError):
+        knn.prepared(codes, df, points[970].tolist(), 7, Metric.SQUARED_L2, 6)
+
 
+def test_codes_round_halves_away_from_zero(spark):
+    rows = quantize.encode(spark.createDataFrame([(1, [-254.0, 9.0, 1.0, -1.0, 3.0]), (2, [0.0])], SCHEMA)).orderBy("id").collect()
+    assert rows[0]["codes"] == [-127, 5, 1, -1, 2] and rows[0]["scale"] == 2.0 and rows[0]["sqnorm"] == 127**2 + 25 + 1 + 1 + 4
+    assert rows[1]["codes"] == [0] and rows[1]["scale"] == 1.0
+    assert quantize.encode_query([-254.0, 9.0, 1.0, -1.0, 3.0]) == ([-127, 5, 1, -1, 2], 2.0, 127**2 + 25 + 1 + 1 + 4)
 
-def test_auto_reports(spark):
-    df = spark.createDataFrame([(i, [float(i)]) for i in range(400)], SCHEMA)
-    found, report = knn.auto(df, [3.0], 5, Metric.SQUARED_L2, where=F.col("id") % 2 == 0)
-    assert report.mode == "exact" and report.reason == "SmallEligibleSet" and report.eligible_count == 200 and report.complete
-    assert [i for i, _ in ids(found)] == [2, 4, 0, 6, 8]
-    assert knn.auto(df, [3.0], 5, Metric.SQUARED_L2)[1].mode == "ann"
 
+@pytest.mark.parametrize(
+    ("options", "k", "eligible", "active", "reason"),
+    [
+        (SearchOptions(Strategy.EXACT), 5, 70_000, 70_000, "ExactRequested"), (SearchOptions(Strategy.ANN), 5, 3, 3, "AnnRequested"), (SearchOptions(), 5, 200, 70_000, "SmallEligibleSet"),
+        (SearchOptions(ef_search=20), 21, 70_000, 70_000, "LargeK"), (SearchOptions(), 5, 4000, 70_000, "SelectiveFilter"), (SearchOptions(), 5, 4097, 70_000, "AnnSelected"), (SearchOptions(), 5, 4000, 30_000, "AnnSelected"),
+    ],
+)
+def test_strategy(options, k, eligible, active, reason):
+    assert auto_reason(options, k, eligible, active) == reason
 
-def test_bad_input():
-    for bad in ([], [math.nan], [math.inf]):
-        with pytest.raises(EngineError):
-            check_vector(bad, None, Metric.SQUARED_L2)
+
+def test_reports(cloud):
+    df, points = cloud
+    hits, report = knn.auto(df, [0.5] * 6, 4, Metric.SQUARED_L2, where=F.col("id") > 900)
+    assert (report.mode, report.reason, report.eligible_count, report.complete) == ("exact", "SmallEligibleSet", 34, True)
+    assert found(hits) == plain({i: p for i, p in points.items() if i > 900}, [0.5] * 6, 4, Metric.SQUARED_L2)
+    assert knn.auto(df, [0.5] * 6, 4, Metric.SQUARED_L2, SearchOptions(exact_threshold=9))[1].mode == "ann"
+
+
+@pytest.mark.parametrize(("vector", "dimensions", "metric"), [([], None, Metric.COSINE), ([1.0, math.nan], None, Metric.COSINE), ([-math.inf], None, Metric.SQUARED_L2), ([0.0, 0.0], None, Metric.COSINE), ([1.0], 2, Metric.SQUARED_L2), ([0.0] * 5000, None, Metric.SQUARED_L2)])
+def test_vectors_that_are_refused(vector, dimensions, metric):
     with pytest.raises(EngineError):
-        check_vector([0.0, -0.0], 2, Metric.COSINE)
+        check_vector(vector, dimensions, metric)
+
+
+def test_spaces_must_agree():
+    mine = Space("encoder-1", 12, Metric.INNER_PRODUCT)
+    mine.check(Space("encoder-1", 12, Metric.INNER_PRODUCT))
     with pytest.raises(EngineError) as e:
-        Space("m", 3, Metric.COSINE).check(Space("m", 4, Metric.COSINE))
+        mine.check(Space("encoder-2", 12, Metric.INNER_PRODUCT))
     assert e.value.kind == "EmbeddingMismatch"
 
 
-def test_relevance(spark):
-    ranked = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (2, "c", 2), (3, "x", 1), (4, "y", 1)], "qid long, source string, rank int")
-    judged = spark.createDataFrame([(1, "a"), (2, "c"), (3, "z"), (4, None)], "qid long, expected string")
+def test_relevance_and_latency(spark):
+    ranked = spark.createDataFrame([(5, "p", 2), (5, "q", 1), (6, "q", 4), (7, "p", 1), (8, "r", 1)], "qid long, source string, rank int")
+    judged = spark.createDataFrame([(5, "p"), (6, "q"), (7, "z"), (8, None), (9, None)], "qid long, expected string")
     r = evaluate.relevance(ranked, judged).first()
-    assert (r["answerable"], r["unanswerable_returned"]) == (3, 1)
-    assert abs(r["hit_at_1"] - 1 / 3) < 1e-12 and abs(r["mrr"] - 0.5) < 1e-12 and abs(r["ndcg"] - (1 + 1 / math.log2(3)) / 3) < 1e-12
+    assert (r["queries"], r["answerable"], r["unanswerable_returned"], r["hit_at_1"]) == (5, 3, 1, 0.0)
+    assert abs(r["mrr"] - (1 / 2 + 1 / 4) / 3) < 1e-12 and abs(r["recall_at_3"] - 1 / 3) < 1e-12 and abs(r["source_recall"] - 2 / 3) < 1e-12
+    assert abs(r["ndcg"] - (1 / math.log2(3) + 1 / math.log2(5)) / 3) < 1e-12
+    times = spark.createDataFrame([(float(x),) for x in range(1, 201)], "ms double")
+    assert evaluate.latency(times).first().asDict() == {"p50": 100.0, "p95": 190.0, "p99": 198.0}
