@@ -66,17 +66,9 @@ def drop_written(*tables: DataFrame) -> None:
 
 
 def keep_table(spark: SparkSession, table: str) -> DataFrame:
-    """A written table, which goes when the driver ends, or with drop_table."""
+    """A written table, which goes when the driver ends."""
     _tables.append((spark, table))
-    out = spark.table(table)
-    out.__dict__["_quillon_table"] = table
-    return out
-
-
-def drop_table(df: DataFrame) -> None:
-    table = df.__dict__.pop("_quillon_table")
-    _tables.remove((df.sparkSession, table))
-    df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+    return spark.table(table)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

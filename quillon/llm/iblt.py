@@ -16,12 +16,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, keep_table, write_out
+from .common import keep_table, write_out
 
 #: Rows of a sketch, and cells in each row of a fingerprint.
 ROWS, WIDTH = 3, 16
 #: Cells in a row for each digest of the estimated difference, and cells besides.  Peeling takes rows in turns.
-PER_DIGEST, MORE_CELLS, TURNS = 1.0, 8, 6
+PER_DIGEST, MORE_CELLS, TURNS = 1.0, 8, 3
 #: Smallest digests of each text that the estimate compares.
 SAMPLE = 16
 #: Documents of a range, about, within which each is brought together with the next one; and ranges at most (a range beyond that
@@ -78,25 +78,20 @@ def recover(pairs: DataFrame, buckets: int) -> DataFrame:
     while True:
         both = F.array(F.struct(F.lit(1).cast("long").alias("s"), F.col("a").alias("keys")), F.struct(F.lit(-1).cast("long").alias("s"), F.col("b").alias("keys")))
         rows = todo.select(*by, F.shiftleft(F.col("w").cast("long"), seed).alias("w"), F.inline(both)).select(*by, "w", "s", F.explode("keys").alias("key"))
-        cells, turn, known = sketch(rows, by, seed).withColumn("g", F.lit(0).cast("long")), 0, None
-        before = None
+        cells, turn, done = sketch(rows, by, seed).withColumn("g", F.lit(0).cast("long")), 0, []
         while True:
             for _ in range(TURNS):
                 cells, turn = peel(cells, by, turn % ROWS, seed), turn + 1
             cells = bucketed(cells, buckets)
-            if before is not None:
-                drop_table(before)
-            before = cells
+            done.append(cells.where("c < 0").select("id", F.col("g").alias("k"), "n", F.lit(seed + 1).alias("tries")))
             left, got = cells.agg(F.count_if(F.col("c") >= 0), F.count_if(F.col("c") < 0)).first()
-            if not left or got == known:
+            if not left or not got:
                 break
-            known = got
-        done = cells.where("c < 0").select("id", F.col("g").alias("k"), "n", F.lit(seed + 1).alias("tries"))
+            cells = cells.where("c >= 0")  # what is found needs no further turn
         if not left:
-            return reduce_union([*found, done])
+            return reduce_union([*found, *done])
         stuck = write_out(cells.where("c >= 0").select("id").distinct(), "iblt-stuck")
-        found.append(write_out(done.join(stuck, "id", "left_anti"), "iblt-found"))
-        drop_table(cells)
+        found.append(write_out(reduce_union(done).join(stuck, "id", "left_anti"), "iblt-found"))
         todo, seed = todo.join(stuck, "id", "left_semi"), seed + 1
 
 

@@ -262,6 +262,41 @@ def test_iblt_by_brute_force(docs, texts):
         assert prints.setdefault(t, r["fingerprint"]) == r["fingerprint"]
 
 
+def test_iblt_recovers_what_differs(spark):
+    """Sketches alone against sets: small differences, none, all, and tables far too small at first."""
+    rng = np.random.default_rng(12)
+    sets = {}
+    for i in range(40):
+        common, a, b = (set(rng.integers(-(1 << 62), 1 << 62, n).tolist()) for n in (rng.integers(0, 60), rng.integers(0, 1 + 3 * i), rng.integers(0, 30)))
+        sets[i] = (common | a, common | b)
+    sets[40], sets[41], sets[42] = (set(), set()), ({5, 6}, {5, 6}), (set(range(1000)), set())
+    for w in (2, 200):
+        rows = [(i % 3, i, w, sorted(a), sorted(b)) for i, (a, b) in sets.items()]
+        got = defaultdict(set)
+        tries = Counter()
+        for r in iblt.recover(spark.createDataFrame(rows, "range int, id long, w long, a array<long>, b array<long>"), 4).collect():
+            assert (r["k"], r["n"]) not in got[r["id"]]
+            got[r["id"]].add((r["k"], r["n"]))
+            tries[r["id"]] = r["tries"]
+        for i, (a, b) in sets.items():
+            assert got[i] == {(k, 1) for k in a - b} | {(k, -1) for k in b - a}
+        assert tries[42] > 1
+
+
+def test_iblt_deals_shared_ids_to_ranges(spark):
+    rows = [(7 if i % 3 else i, f"text {i}. And {i * i}") for i in range(1500)] + [(None, f"no id {i}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = iblt.with_next(docs).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, rows))
+    assert max(Counter(r["range"] for r in got).values()) < 1000  # two ids hold most rows
+    follows = {(r["doc_id"], r["text"]): r["next"] for r in got}
+    assert sorted(follows.values()) == sorted(t for _, t in rows)
+    ids = {t: d for d, t in rows}
+    none = 1 << 62
+    breaks = sum((none if ids[n] is None else ids[n]) < (none if d is None else d) for (d, _), n in follows.items())
+    assert breaks == 1  # after the last comes the first
+
+
 def test_warc_round_trip_and_order(spark):
     pages = spark.createDataFrame([(5, "http://b.org/x?q=1#f", "<p>é"), (2, "https://www.A.com/y", "<p>é"), (3, None, None), (4, "http://a.com/", ""), (9, "http://a.com/", "WARC/1.1\r\n\r\n\r\nWARC/1.1\r\nWARC-Archive: 0\r\n"), (9, "http://a.com/", "x\r\n\r\n")], "page_id long, url string, html string")
     rows = warc.captures(pages).collect()
