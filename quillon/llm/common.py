@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,18 +17,15 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 DICTIONARY_BYTES = 16 << 20
+#: Share of the driver's largest heap from which it is cleaned before a table is written.
+HEAP_SHARE = 0.4
 _written: list[tuple[SparkSession, str]] = []
 _tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='quillon-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-        _written.append((spark, base))
-    return base.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset (tests)."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -44,6 +40,7 @@ def write_out(df: DataFrame, name: str) -> DataFrame:
 
     Dictionaries may be larger than usual: hashes of words and keys of rows repeat, and are long otherwise.
     """
+    _breathe(df.sparkSession)
     path = shared_path(df.sparkSession, name)
     df.write.option("parquet.dictionary.page.size", DICTIONARY_BYTES).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -65,6 +62,14 @@ def drop_written(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+def _breathe(spark: SparkSession) -> None:
+    """Has the driver's garbage collected where its heap has grown: jobs leave plans, generated classes and shuffle files behind."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP_SHARE * runtime.maxMemory():
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 def keep_table(spark: SparkSession, table: str) -> DataFrame:
     """A written table, which goes when the driver ends."""
     _tables.append((spark, table))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_rows, remainder
+from .common import bounded_batches, map_rows, remainder, row_of
 
 ORDER = 4
 #: Labelled rows of each language that the classifier is fitted on, at most, taken by a hash of their id; and characters after
@@ -273,13 +273,15 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model | None, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs, all columns as they are, whose text has a language by a score of `least` or more."""
-    box, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    box = docs.sparkSession.sparkContext.broadcast(model)
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if t is None else t.encode() for t in b.column(at).to_pylist()]
+            texts = [None if t is None else t.encode() for t in b.column(1).to_pylist()]
             pred, score, _ = _judge(box.value, texts)
-            yield b.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+            kept = pa.array([p != UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["row"]).filter(kept)
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(row_of(docs).alias("row"), "text")
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
