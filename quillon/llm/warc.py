@@ -4,14 +4,20 @@ Archives are plain WARC/1.1 files that Spark's text writer makes, with the paylo
 and the others as revisits.  Every record's first field is the archive's own id, drawn after the pages were written, so the
 reader can part the files at it whatever the payloads hold; lengths and digests are checked again.
 
-Captures are sorted where they were read, which gives runs; the runs are dealt by ranges of (URL key, time, page) and each
-range merges its runs with a loser tree, so the parts one after the other are the global order.
+Captures are sorted where they were read, which gives runs, and the runs are written; they are dealt by ranges of (URL key, time,
+page), of a bounded number of rows each, and each range merges its parts of the runs with a loser tree, so the parts one after the
+other are the global order.
+
+`records` reads any archive, by the lengths that its records state.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,6 +137,58 @@ def read(spark: SparkSession, path: str, archive: str) -> DataFrame:
     return parsed.withColumn("record_type", checked).drop("whole")
 
 
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields by lower-cased name, block) of each record of a WARC file, which may be compressed; by Content-Length."""
+    file = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    while line := file.readline():
+        if not line.strip():
+            continue  # between records
+        if not line.startswith(b"WARC/"):
+            raise ValueError("not a WARC record")
+        fields: dict[str, str] = {}
+        name = ""
+        while (line := file.readline()).strip():
+            text = line.decode("utf-8", "replace").rstrip("\r\n")
+            if text[0] in " \t" and name:  # a folded line
+                fields[name] += " " + text.strip()
+            else:
+                name, _, value = text.partition(":")
+                name = name.strip().lower()
+                fields[name] = value.strip()
+        length = int(fields["content-length"])
+        block = file.read(length)
+        if len(block) < length:
+            raise ValueError("a WARC record ends early")
+        yield fields, block
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, type, id, url, captured, payload_digest, refers_to, block) of the records of any archives below path, .gz too.
+
+    A file is read whole by one task, so it must fit in a worker's memory, as files of the usual gigabyte do; block is binary.
+    """
+    names = ("warc-type", "warc-record-id", "warc-target-uri", "warc-date", "warc-payload-digest", "warc-refers-to")
+    schema = pa.schema([("file", pa.string()), ("place", pa.int64()), *[(n, pa.string()) for n in ("type", "id", "url", "captured", "payload_digest", "refers_to")], ("block", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held: list = []
+                size = 0
+                for n, (fields, block) in enumerate(parse(data.as_py())):
+                    held.append((file, n, *[fields.get(k) for k in names], block))
+                    size += len(block)
+                    if size > 8 << 20:
+                        yield _batch(held, schema)
+                        held, size = [], 0
+                if held:
+                    yield _batch(held, schema)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "content")
+    return files.mapInArrow(run, "file string, place long, type string, id string, url string, captured string, payload_digest string, refers_to string, block binary")
+
+
 class LoserTree:
     """Merges sorted iterators: each inner node keeps the loser of its match, so the next winner takes one path to the top."""
 
@@ -178,8 +236,9 @@ def merge_index(captures: DataFrame, keys: tuple[str, ...] = ("urlkey", "capture
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 by_run.setdefault(row[run_at], []).append((tuple((row[i] is not None, row[i]) for i in at), row))
-        for rows in by_run.values():  # a run's share comes in its order, but that isn't promised; sorting what is sorted costs a scan
-            rows.sort(key=lambda x: x[0])
+        for rows in by_run.values():  # a run's rows come from one task in its order; what comes otherwise is sorted
+            if any(b[0] < a[0] for a, b in pairwise(rows)):
+                rows.sort(key=lambda x: x[0])
         order = LoserTree([iter([(key, n, row) for n, (key, row) in enumerate(rows)]) for rows in by_run.values()])
         held: list = []
         for _, _, row in order:
