@@ -24,39 +24,10 @@ def texts(docs):
     return {r["doc_id"]: r["text"] for r in docs.collect()}
 
 
-@pytest.fixture(scope="session")
-def messy(spark):
-    """Nulls in every column, empty and long texts, ties, repeated rows, and columns whose names operators use themselves."""
-    long = "\n".join(f"line {i} has w{i % 97} x{i % 89} y{i} z{i * 7}" for i in range(3000))
-    rows = [
-        (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \t\n", "en", None, 3), (4, long, "en", "b", None), (5, "same words here twice over", "fr", "b", 1),
-        (5, "same words here twice over", "fr", "b", 1), (6, "same words here twice over", None, "c", 1), (None, "no id at all in this row", "en", "a", 9), (7, "日本語 ÀÉ <|endoftext|> 'll 12", "de", "é", 5),
-        (8, "one", "de", "", 1), (9, "12 34 !!", "de", "c", 1),
-    ]
-    cols = "doc_id long, text string, lang string, source string, n_chars long, key string, fp string, n string, size string, row string, line string, page_id string"
-    return spark.createDataFrame([(*r, *["clash"] * 7) for r in rows], cols)
-
-
 def one(df, *names):
     return sorted(tuple(r[n] for n in names) for r in df.collect() if r["doc_id"] is not None)
 
 
-@pytest.mark.parametrize("empty", [False, True])
-def test_every_operator_takes_messy_and_empty_tables(spark, messy, empty):
-    table = messy.limit(0) if empty else messy
-    n = table.count()
-    pages = table.selectExpr("doc_id as page_id", "source as url", "text as html", "key as digest", "fp as first")
-    assert mixing.mixed_documents(table).columns == table.columns and (mixing.mixed_documents(table).count() == 0) == empty
-    assert simhash.one_of_each(table).columns == table.columns and (simhash.one_of_each(table).count() == 0) == empty
-    whole = {
-        "compression": compression.rules, "simhash": simhash.near_duplicates, "lines": linededup.dedup, "iblt": iblt.fingerprints, "lm": lm.score, "mix": mixing.mix,
-        "langid": lambda d: langid.predict(d, langid.train(d)), "warc": lambda _: warc.captures(pages), "pack": lambda d: packing.pack(d).where("piece = 0"),
-    }
-    for name, f in whole.items():
-        assert f(table).count() == n, name
-    assert licenses.scan(table).count() == 0
-
-
 def test_compression_base_by_brute_force(docs, texts):
     got = {r["doc_id"]: r for r in compression.rules(docs).collect()}
     for d, t in texts.items():
@@ -308,6 +279,31 @@ def test_warc_round_trip_and_order(spark):
     assert {r["payload_digest"] for r in rows if r["page_id"] == 5} == {base64.b32encode(hashlib.sha1("<p>é".encode()).digest()).decode()}
 
 
+def test_records_of_any_archive(spark, tmp_path):
+    import gzip
+
+    record = lambda kind, block, more="": f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: http://x.org/\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    blocks = [b"software: x\r\n", b"HTTP/1.1 200 OK\r\n\r\nWARC/1.0\r\n\r\n\xff\x00", b"", "é\r\n\r\nWARC/1.1".encode()]
+    kinds = ["warcinfo", "response", "metadata", "resource"]
+    folded = "WARC-Record-ID: <urn:x>\r\nX-Long: a\r\n  b\r\n"
+    made = [record(k, b, folded if k == "response" else "") for k, b in zip(kinds, blocks, strict=True)]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(b"".join(made))
+    (tmp_path / "w" / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, made)))
+    got = warc.records(spark, str(tmp_path / "w")).orderBy("file", "place").collect()
+    assert [(r["type"], bytes(r["block"])) for r in got] == [*zip(kinds, blocks, strict=True)] * 2 and {r["id"] for r in got if r["type"] == "response"} == {"<urn:x>"}
+    for broken in (made[1][:-9], b"GET / HTTP/1.1\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse(broken))
+
+
+def test_archives_are_read_back_by_their_lengths(spark, tmp_path):
+    pages = spark.createDataFrame([(5, "http://b.org/", "<p>é"), (2, "http://a.com/", "<p>é"), (3, None, None)], "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "own"))
+    got = {(r["type"], bytes(r["block"]).partition(b"\r\n\r\n")[2].decode()) for r in warc.records(spark, str(tmp_path / "own")).collect()}
+    assert got == {("response", "<p>é"), ("revisit", ""), ("response", "")}
+
+
 def test_loser_tree():
     rng = np.random.default_rng(4)
     for k in (0, 1, 2, 3, 7, 16):
@@ -366,11 +362,11 @@ def test_packing_round_trip(docs, texts):
     tok = Tokenizer.from_file(packing.tokenizer_path())
     rows = packing.pack(docs).collect()
     bins = defaultdict(list)
+    ids = {d: [*tok.encode(t, add_special_tokens=False).ids, 0] for d, t in texts.items()}
+    assert sorted((r["doc_id"], r["piece"]) for r in rows) == sorted((d, k) for d, x in ids.items() for k in range(math.ceil(len(x) / 2048)))
     for r in rows:
-        ids = [*tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0] if r["piece"] == 0 else None
-        if ids is not None:
-            assert zlib.crc32(np.array(ids[:2048], "<u4").tobytes()) == r["ids_crc32"] and r["length"] == min(len(ids), 2048)
-        assert r["start"] == 2048 * r["piece"]
+        mine = ids[r["doc_id"]][2048 * r["piece"] : 2048 * (r["piece"] + 1)]
+        assert (zlib.crc32(np.array(mine, "<u4").tobytes()), len(mine), 2048 * r["piece"]) == (r["ids_crc32"], r["length"], r["start"])
         bins[r["sequence_id"]].append((r["offset"], r["length"]))
     for parts in bins.values():
         end = 0
