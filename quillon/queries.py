@@ -12,7 +12,7 @@ from .files import kept_dir
 from .functions.distance import distance, vector_literal
 from .functions.text import KOREAN_NGRAM, words
 from .operators import evaluate, filters, keyword, quantize, store, sync
-from .plans import hybrid, knn
+from .plans import hybrid, ivf, knn
 from .sources import ingest
 
 QUERY = "the and of in"
@@ -233,6 +233,31 @@ def sq8_many(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(knn.many(v.join(_codes(spark, sf), "id"), asked, 10, Metric.SQUARED_L2, candidates=64), "distance")
 
 
+_CELLS: dict[tuple[str, str], str] = {}
+
+
+def _cells(spark: SparkSession, sf: str) -> ivf.Cells:
+    """The vectors by cells, written once for a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CELLS:
+        path = f"{kept_dir(spark)}/quillon-kept/cells-{uuid.uuid4().hex}"
+        ivf.build(_vectors(spark, sf), path, Metric.COSINE, 32)
+        _CELLS[key] = path
+    return ivf.Cells(spark, _CELLS[key])
+
+
+def ivf_all_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """With every cell read, the index gives the exact answer."""
+    return _rounded(_cells(spark, sf).search(_probe(spark, sf), 10, 32, F.col("label") == 1), "distance")
+
+
+def ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every 20th row as a query: share of the exact ten that the cells near it have."""
+    v = _vectors(spark, sf)
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector")
+    return _rounded(evaluate.recall(_cells(spark, sf).many(asked, 10, 20), knn.many(v, asked, 10, Metric.COSINE), 10), "recall")
+
+
 def knn_null_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Rows without a vector, with a short one or with a null coordinate are not searched."""
     v = _vectors(spark, sf)
@@ -317,7 +342,7 @@ QUERIES = {
         knn_filtered, knn_ids, knn_metadata, knn_multi_query, auto_reasons, pairwise_distances, tokens, term_stats, bm25, bm25_filtered, bm25_counters, hybrid_rrf,
         context_chunks, group_by_source, max_distance, list_page, sq8_encode, sq8_search, sq8_all_candidates, mutation_fold, batch_report, store_stats, doctor,
         html_text, chunk_bytes, sync_plan, recall_sq8, mrr_ndcg,
-        bm25_indexed, bm25_indexed_filtered, index_postings, sq8_prepared, sq8_many, knn_null_vectors, latency_percentiles, rerank_hits, korean_terms, bm25_no_match, one_source_each,
+        bm25_indexed, bm25_indexed_filtered, index_postings, sq8_prepared, sq8_many, ivf_all_cells, ivf_recall, knn_null_vectors, latency_percentiles, rerank_hits, korean_terms, bm25_no_match, one_source_each,
     )},
     **{name: _filtered(text) for name, (text, _) in FILTERS.items()},
 }
@@ -405,6 +430,7 @@ SELECT n + a + b + z + s + u + i AS rows, a + i - 1 AS repeated_ids, i AS null_i
     "bm25_indexed_filtered": f"WITH {_BM25}, r AS ({_RANKED} WHERE lang = 'en') SELECT id, round(score, 9) AS score, rank FROM r WHERE rank <= 20",
     "index_postings": f"""WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 3 = 0), x AS (SELECT doc_id, len(ts) AS l, unnest(ts) AS term FROM d), p AS (SELECT term, doc_id, l, count(*) AS tf FROM x GROUP BY ALL)
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total, CAST(sum(l) AS BIGINT) AS lens FROM p GROUP BY term""",
+    "ivf_all_cells": _knn_sql("cos", where="e.label = 1"),
     "knn_null_vectors": f"""WITH {_E}, q AS (SELECT id AS qid, v FROM e WHERE id % 20 = 0), d AS (SELECT qid, e.id, {_DIST['cos']} AS d FROM e, q WHERE e.id % 3 <> 1 AND e.id % 9 <> 2 AND e.id % 9 <> 5),
 r AS (SELECT qid, id, d, CAST(row_number() OVER (PARTITION BY qid ORDER BY d, id) AS INT) AS rank FROM d) SELECT qid, id, round(d, 9) AS distance, rank FROM r WHERE rank <= 5""",
     "latency_percentiles": "SELECT CAST(quantile_disc(l_extendedprice, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(l_extendedprice, 0.95) AS DOUBLE) AS p95, CAST(quantile_disc(l_extendedprice, 0.99) AS DOUBLE) AS p99 FROM lineitem",

@@ -9,7 +9,7 @@ from quillon.config import Metric, SearchOptions, Space, Strategy, auto_reason,
 from quillon.errors import EngineError
 from quillon.functions.distance import distance, kernel, vector_literal
 from quillon.operators import evaluate, quantize
-from quillon.plans import knn
+from quillon.plans import ivf, knn
 
 SCHEMA = "id long, vector array<float>"
 
@@ -177,3 +177,23 @@ def test_relevance_and_latency(spark):
     assert abs(r["ndcg"] - (1 / math.log2(3) + 1 / math.log2(5)) / 3) < 1e-12
     times = spark.createDataFrame([(float(x),) for x in range(1, 201)], "ms double")
     assert evaluate.latency(times).first().asDict() == {"p50": 100.0, "p95": 190.0, "p99": 198.0}
+
+
+def test_cells(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((9, 8)) * 6
+    points = (centres[rng.integers(0, 9, 400)] + rng.standard_normal((400, 8))).astype(np.float32)
+    df = spark.createDataFrame([(i, p.tolist(), i % 4) for i, p in enumerate(points)] + [(900, None, 0), (901, [1.0], 0)], f"{SCHEMA}, label int")
+    for metric in Metric:
+        cells = ivf.build(df, str(tmp_path / metric.value), metric, 9)
+        assert cells.rows.count() == 400
+        query = points[17].tolist()
+        assert found(cells.search(query, 9, 99)) == found(knn.exact(df, query, 9, metric))
+        assert found(cells.search(query, 9, 99, F.col("label") == 2)) == found(knn.exact(df, query, 9, metric, where=F.col("label") == 2))
+        asked = df.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector")
+        truth = knn.many(df, asked, 10, metric)
+        assert evaluate.recall(cells.many(asked, 10, 99), truth, 10).first()["recall"] == 1.0
+        if metric is not Metric.INNER_PRODUCT:
+            assert evaluate.recall(cells.many(asked, 10, 3), truth, 10).first()["recall"] >= 0.9
+    with pytest.raises(EngineError):
+        ivf.Cells(spark, str(tmp_path / "none"))
