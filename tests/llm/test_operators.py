@@ -195,8 +195,8 @@ def test_line_dedup_by_brute_force(spark, docs, texts):
     out = linededup.dedup(df).collect()
     gone = {(r["doc_id"], n) for r in out for n in r["removed"]}
     assert gone == lines_removed(made)
-    for hot_rows in (5,):  # words are hot: leaders, then pairs of words
-        assert {(r["doc_id"], r["n"]) for r in linededup.removals(df, hot_rows=hot_rows, bits=4).collect()} == gone
+    # words have leaders, and are hot: leaders, then pairs of words
+    assert {(r["doc_id"], r["n"]) for r in linededup.removals(df, led_rows=3, hot_rows=8, bits=4).collect()} == gone
     for r in out:
         assert r["text"] == "\n".join(x for n, x in enumerate(made[r["doc_id"]].split("\n")) if (r["doc_id"], n) not in gone)
 
