@@ -58,16 +58,20 @@ def drop_written(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
             _written.remove((df.sparkSession, path))
     if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        let_go(tables[0].sparkSession)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Collects the driver's garbage, and with it the shuffle files of jobs that are done."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _breathe(spark: SparkSession) -> None:
     """Has the driver's garbage collected where its heap has grown: jobs leave plans, generated classes and shuffle files behind."""
     runtime = spark._jvm.java.lang.Runtime.getRuntime()
     if runtime.totalMemory() > HEAP_SHARE * runtime.maxMemory():
-        gc.collect()
-        spark._jvm.System.gc()
+        let_go(spark)
 
 
 def keep_table(spark: SparkSession, table: str) -> DataFrame:

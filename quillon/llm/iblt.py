@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_table, write_out
+from .common import keep_table, let_go, write_out
 
 #: Rows of a sketch, and cells in each row of a fingerprint.
 ROWS, WIDTH = 3, 16
@@ -175,7 +175,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     table of one row is its own next.  Equal texts have equal fingerprints; that of a text without a passage is empty.
     n_edited counts the digests recovered against the edited text, tries the sketches that both comparisons took, one each at least.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = with_next(docs)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
@@ -183,6 +184,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     d = d.select("range", "doc_id", n.cast("long").alias("n_chars"), "text", "next", edited.alias("edited"))
     d = d.select("range", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[digests(F.col(c)).alias(k) for c, k in (("text", "a"), ("edited", "e"), ("next", "x"))])
     keys = bucketed(d.withColumn("row", F.monotonically_increasing_id()), buckets)
+    del d
+    let_go(spark)  # the texts' shuffle files
     a, e, x = F.col("a"), F.col("e"), F.col("x")
 
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("keys")) for k, c in enumerate((a, e))])
