@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..config import Metric, check_vector
 from ..errors import EngineError, invalid
@@ -76,7 +77,7 @@ def build(df: DataFrame, path: str, metric: Metric, cells: int = 64, id_col: str
                 x = np.asarray(b.column(at).flatten(), np.float64).reshape(b.num_rows, -1)
                 yield b.append_column("cell", pa.array(_nearest(_unit(x, metric), box.value), pa.int32()))
 
-    schema = rows.schema.add("cell", "int")
+    schema = StructType([*rows.schema.fields, StructField("cell", IntegerType())])
     placed = rows.mapInArrow(work, schema)
     # a large cell is several files: rows are dealt by cell and a hash of their id
     placed.repartition("cell", F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(8))).write.partitionBy("cell").mode("errorifexists").parquet(f"{path}/cells")

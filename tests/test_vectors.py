@@ -183,7 +183,7 @@ def test_cells(spark, tmp_path):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((9, 8)) * 6
     points = (centres[rng.integers(0, 9, 400)] + rng.standard_normal((400, 8))).astype(np.float32)
-    df = spark.createDataFrame([(i, p.tolist(), i % 4) for i, p in enumerate(points)] + [(900, None, 0), (901, [1.0], 0)], f"{SCHEMA}, label int")
+    df = spark.createDataFrame([(i, p.tolist(), i % 4) for i, p in enumerate(points)] + [(901, None, 0), (903, [1.0], 0)], f"{SCHEMA}, label int")
     for metric in Metric:
         cells = ivf.build(df, str(tmp_path / metric.value), metric, 9)
         assert cells.rows.count() == 400
