@@ -218,6 +218,23 @@ def test_line_dedup_takes_short_lines(spark):
     assert sorted(got) == sorted(want) and {(2, 0), (2, 1), (3, 0), (3, 3), (4, 2), (5, 0), (5, 1)} == want
 
 
+def test_line_dedup_makes_few_pairs_of_nearly_similar_lines(spark, monkeypatch):
+    """Lines that share most words, but not enough: what is compared word by word doesn't grow with their square."""
+    rng = np.random.default_rng(5)
+    made = {}
+    for d in range(300):
+        w = [f"w{i}" for i in range(40)]
+        for i in rng.choice(40, 3, replace=False):
+            w[i] = f"v{rng.integers(0, 2000)}"
+        made[d] = " ".join(w)
+    compared, verified = [], linededup._verified
+    monkeypatch.setattr(linededup, "_verified", lambda pairs, *more: (compared.append(pairs.distinct().count()), verified(pairs, *more))[1])
+    monkeypatch.setattr(linededup, "TURN_ROWS", 500, raising=False)  # words go in several turns, too
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    assert {(r["doc_id"], r["n"]) for r in linededup.removals(df).collect()} == lines_removed(made)
+    assert sum(compared) < 10 * len(made)
+
+
 def test_iblt_by_brute_force(docs, texts):
     passages = lambda t: {p for p in re.split(r"\n|(?<=[.!?]) +", t) if p}
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
