@@ -70,7 +70,7 @@ def peel(cells: DataFrame, by: tuple[str, ...], row: int, seed: int) -> DataFram
 
 
 def recover(pairs: DataFrame, buckets: int) -> DataFrame:
-    """pairs(range, id, w, a, b) -> (id, k, n, tries): the digests only in a (n 1) and only in b (n -1), and sketches it took.
+    """pairs(range, id, w, a, b) -> (range, id, k, n, tries): the digests only in a (n 1) and only in b (n -1), and sketches it took.
 
     w is the first number of cells in a row.  Nothing but sketches of a and b is compared.
     """
@@ -83,7 +83,7 @@ def recover(pairs: DataFrame, buckets: int) -> DataFrame:
             for _ in range(TURNS):
                 cells, turn = peel(cells, by, turn % ROWS, seed), turn + 1
             cells = bucketed(cells, buckets)
-            done.append(cells.where("c < 0").select("id", F.col("g").alias("k"), "n", F.lit(seed + 1).alias("tries")))
+            done.append(cells.where("c < 0").select("range", "id", F.col("g").alias("k"), "n", F.lit(seed + 1).alias("tries")))
             left, got = cells.agg(F.count_if(F.col("c") >= 0), F.count_if(F.col("c") < 0)).first()
             if not left or not got:
                 break
@@ -91,7 +91,7 @@ def recover(pairs: DataFrame, buckets: int) -> DataFrame:
         if not left:
             return reduce_union([*found, *done])
         stuck = write_out(cells.where("c >= 0").select("id").distinct(), "iblt-stuck")
-        found.append(write_out(reduce_union(done).join(stuck, "id", "left_anti"), "iblt-found"))
+        found.append(write_out(reduce_union(done).join(stuck, "id", "left_anti").select("range", "id", "k", "n", "tries"), "iblt-found"))
         todo, seed = todo.join(stuck, "id", "left_semi"), seed + 1
 
 
@@ -197,11 +197,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     two = F.array(*[F.struct((F.col("row") * 2 + k).alias("id"), width(a, b).alias("w"), a.alias("a"), b.alias("b")) for k, b in enumerate((e, x))])
     found = recover(keys.select("range", F.inline(two)), buckets)
-    counts = found.groupBy("id").agg(F.count_if(F.col("n") == 1).alias("mine"), F.count("*").alias("all"), F.max("tries").alias("tries"))
-    by_row = counts.groupBy(F.shiftright("id", 1).alias("row")).agg(
+    counts = found.groupBy("range", "id").agg(F.count_if(F.col("n") == 1).alias("mine"), F.count("*").alias("all"), F.max("tries").alias("tries"))
+    by_row = counts.groupBy("range", F.shiftright("id", 1).alias("row")).agg(
         *[F.max(F.when(F.col("id") % 2 == k, F.col(c))).alias(f"{c}{k}") for k in range(2) for c in ("mine", "all")], F.sum(F.col("tries") - 1).alias("more")
     )
-    out = keys.select("range", "row", "doc_id", "n_chars", "edited_sha256", *[F.size(k).alias(f"n_{k}") for k in "aex"]).join(prints, ["range", "row"], "left").join(by_row, "row", "left")
+    by_row = bucketed(by_row.repartition(buckets, "range"), buckets)  # so that the fingerprints are joined where they are
+    out = keys.select("range", "row", "doc_id", "n_chars", "edited_sha256", *[F.size(k).alias(f"n_{k}") for k in "aex"]).join(prints, ["range", "row"], "left").join(by_row, ["range", "row"], "left")
     some = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
         "doc_id", "n_chars", "edited_sha256",

@@ -271,6 +271,17 @@ def test_iblt_recovers_what_differs(spark):
         assert tries[42] > 1
 
 
+def test_iblt_moves_fingerprints_once(spark, docs):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = iblt.fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    last, joined = [m.start() for m in re.finditer("SortMergeJoin", plan)][:2]
+    assert "Exchange" not in plan[last:joined]  # what the first join made stays where it is
+
+
 def test_iblt_deals_shared_ids_to_ranges(spark):
     rows = [(7 if i % 3 else i, f"text {i}. And {i * i}") for i in range(1500)] + [(None, f"no id {i}") for i in range(700)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
