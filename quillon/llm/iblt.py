@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_table, let_go, write_out
+from .common import drop_written, keep_table, let_go, write_out
 
 #: Rows of a sketch, and cells in each row of a fingerprint.
 ROWS, WIDTH = 3, 16
@@ -69,29 +69,36 @@ def peel(cells: DataFrame, by: tuple[str, ...], row: int, seed: int) -> DataFram
     return left.where("n <> 0 or k <> 0 or x <> 0").select(*by, "w", "c", "n", "k", "x", "g")
 
 
-def recover(pairs: DataFrame, buckets: int) -> DataFrame:
+def recover(pairs: DataFrame, buckets: int, made: list[DataFrame] | None = None) -> DataFrame:
     """pairs(range, id, w, a, b) -> (range, id, k, n, tries): the digests only in a (n 1) and only in b (n -1), and sketches it took.
 
-    w is the first number of cells in a row.  Nothing but sketches of a and b is compared.
+    w is the first number of cells in a row.  Nothing but sketches of a and b is compared.  The written tables that the result
+    reads, and nothing else needs, are added to made.
     """
     by, found, seed, todo = ("range", "id"), [], 0, pairs
+    made = [] if made is None else made
     while True:
         both = F.array(F.struct(F.lit(1).cast("long").alias("s"), F.col("a").alias("keys")), F.struct(F.lit(-1).cast("long").alias("s"), F.col("b").alias("keys")))
         rows = todo.select(*by, F.shiftleft(F.col("w").cast("long"), seed).alias("w"), F.inline(both)).select(*by, "w", "s", F.explode("keys").alias("key"))
         cells, turn, done = sketch(rows, by, seed).withColumn("g", F.lit(0).cast("long")), 0, []
+        turns: list[DataFrame] = []
         while True:
             for _ in range(TURNS):
                 cells, turn = peel(cells, by, turn % ROWS, seed), turn + 1
             cells = bucketed(cells, buckets)
+            turns.append(cells)
             done.append(cells.where("c < 0").select("range", "id", F.col("g").alias("k"), "n", F.lit(seed + 1).alias("tries")))
             left, got = cells.agg(F.count_if(F.col("c") >= 0), F.count_if(F.col("c") < 0)).first()
             if not left or not got:
                 break
             cells = cells.where("c >= 0")  # what is found needs no further turn
         if not left:
+            made += turns
             return reduce_union([*found, *done])
         stuck = write_out(cells.where("c >= 0").select("id").distinct(), "iblt-stuck")
         found.append(write_out(reduce_union(done).join(stuck, "id", "left_anti").select("range", "id", "k", "n", "tries"), "iblt-found"))
+        made += [stuck, found[-1]]
+        drop_written(*turns)
         todo, seed = todo.join(stuck, "id", "left_semi"), seed + 1
 
 
@@ -196,12 +203,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     prints = blocks.groupBy("range", "row").agg(*[F.max(F.when(F.col("kind") == k, F.col("block"))).alias(f"print{k}") for k in range(2)])
 
     two = F.array(*[F.struct((F.col("row") * 2 + k).alias("id"), width(a, b).alias("w"), a.alias("a"), b.alias("b")) for k, b in enumerate((e, x))])
-    found = recover(keys.select("range", F.inline(two)), buckets)
+    made: list[DataFrame] = []
+    found = recover(keys.select("range", F.inline(two)), buckets, made)
     counts = found.groupBy("range", "id").agg(F.count_if(F.col("n") == 1).alias("mine"), F.count("*").alias("all"), F.max("tries").alias("tries"))
     by_row = counts.groupBy("range", F.shiftright("id", 1).alias("row")).agg(
         *[F.max(F.when(F.col("id") % 2 == k, F.col(c))).alias(f"{c}{k}") for k in range(2) for c in ("mine", "all")], F.sum(F.col("tries") - 1).alias("more")
     )
     by_row = bucketed(by_row.repartition(buckets, "range"), buckets)  # so that the fingerprints are joined where they are
+    drop_written(*made)
     out = keys.select("range", "row", "doc_id", "n_chars", "edited_sha256", *[F.size(k).alias(f"n_{k}") for k in "aex"]).join(prints, ["range", "row"], "left").join(by_row, ["range", "row"], "left")
     some = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(

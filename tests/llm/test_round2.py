@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillon.llm import linededup
+from quillon.llm import common, iblt, linededup
 
 
 def written(monkeypatch, module, look):
@@ -36,3 +36,13 @@ def test_line_counts_are_in_one_plan_and_rows_are_shuffled_once(spark, monkeypat
     met = [text for name, text in seen if name == "line-pairs" and "second" in text]
     assert len(met) == 1 and "ReusedExchange" in met[0]
     assert any(name == "line-pairs" and "posexplode" in text and "second" not in text and "ReusedExchange" in text for name, text in seen)
+
+
+def test_sketches_go_before_fingerprints_are_joined(spark):
+    text = F.concat_ws("\n", *[F.concat(F.lit(f"line {k} of "), F.col("id") * F.col("id") + k * (F.col("id") % 3)) for k in range(12)])
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), text.alias("text"))
+    tables, written = set(common._tables), set(common._written)
+    got = iblt.fingerprints(docs)
+    assert len(set(common._tables) - tables) == 2  # the digests and what was recovered, by row
+    assert not [path for _, path in set(common._written) - written if "/iblt-" in path]
+    assert got.count() == 30 and got.where("near_next = 0 or near_edited < 1").count()
