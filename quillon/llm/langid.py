@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_rows, remainder, row_of
+from .common import begin, bounded_batches, map_rows, remainder, row_of
 
 ORDER = 4
 #: Labelled rows of each language that the classifier is fitted on, at most, taken by a hash of their id; and characters after
@@ -277,6 +277,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float = LEAST_SCORE) -
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid.accepted")
         for b in batches:
             texts = [None if t is None else t.encode() for t in b.column(1).to_pylist()]
             pred, score, _ = _judge(box.value, texts)

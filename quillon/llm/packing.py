@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, write_out
+from .common import kept, map_rows, write_out
 
 CAPACITY, END_ID = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
@@ -75,10 +74,9 @@ class Encoder:
         return b"".join(out)
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    """One for each worker."""
-    return Encoder(path)
+    """One for each worker, which goes with its words when the worker begins other work: it may take 200 MB."""
+    return kept(path, lambda: Encoder(path))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillon.llm import common, iblt, linededup
+from quillon.llm import common, iblt, linededup, packing
 
 
 def written(monkeypatch, module, look):
@@ -46,3 +46,17 @@ def test_sketches_go_before_fingerprints_are_joined(spark):
     assert len(set(common._tables) - tables) == 2  # the digests and what was recovered, by row
     assert not [path for _, path in set(common._written) - written if "/iblt-" in path]
     assert got.count() == 30 and got.where("near_next = 0 or near_edited < 1").count()
+
+
+def test_a_worker_keeps_no_words_of_packing_for_other_work(spark):
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id")).alias("text")).coalesce(1)
+
+    def held(cols):
+        import gc
+
+        return {"n": [sum(type(x).__name__ == "Encoder" for x in gc.get_objects())] * len(cols["doc_id"])}
+
+    assert packing.pieces(docs).count() == 20
+    one = packing.pieces(docs).agg(F.sum("length")).first()[0]
+    assert {r["n"] for r in common.map_rows(docs, held, "n long").collect()} == {0}
+    assert packing.pieces(docs).agg(F.sum("length")).first()[0] == one
