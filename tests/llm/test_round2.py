@@ -60,3 +60,23 @@ def test_a_worker_keeps_no_words_of_packing_for_other_work(spark):
     one = packing.pieces(docs).agg(F.sum("length")).first()[0]
     assert {r["n"] for r in common.map_rows(docs, held, "n long").collect()} == {0}
     assert packing.pieces(docs).agg(F.sum("length")).first()[0] == one
+
+
+def test_line_words_are_lowered_once_and_signed_by_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "One  two\tTHREE\r\nfour\x0bFive Ärger\fΣΑΣ\tx"), (2, None), (3, "")], "doc_id long, text string")
+    seen = written(monkeypatch, linededup, lambda df: df._jdf.queryExecution().optimizedPlan().toString())
+    t = linededup.sets(docs, spark.createDataFrame([], "doc_id long, h long, n int"))
+    assert [text.count("lower(") for name, text in seen if name == "line-sets"] == [1]
+    hashed = lambda words: sorted(r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect())
+    got = {(r["doc_id"], r["n"]): r["t"] for r in t.collect()}
+    assert got == {(1, 0): hashed(["one", "two", "three"]), (1, 1): hashed(["four", "five", "ärger", "σας", "x"]), (3, 0): []}
+
+    sets = [[-(1 << 63), -(1 << 62) - 1, -(1 << 62), -1], [0, 1, 64, 1 << 62, (1 << 63) - 1], [5], [-(1 << 62), 0, 1 << 62]]
+    rows = spark.createDataFrame([(k, 0, 0, x) for k, x in enumerate(sets)], "doc_id long, h long, n int, t array<long>")
+    heads = linededup.heads(rows, F.array_repeat(F.lit(0).cast("tinyint"), 16), bits=4)
+    assert " filter(" not in heads._jdf.queryExecution().optimizedPlan().toString()  # no look at each hash for each part
+    for r in heads.collect():
+        signs = [0] * 4
+        for h in sets[r["doc"]]:
+            signs[(h + (1 << 63)) >> 62] ^= 1 << (h & 63)
+        assert [r[f"s{k}"] & (1 << 64) - 1 for k in range(4)] == signs
