@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,8 @@ SMOOTH, UNIT = 0.4, 1 / 14
 HOT_WORDS = 150_000
 #: Words that a training task counts before it hands them on.
 HELD_WORDS = 300_000
-#: Different slots that a training task holds before it hands them on, and bytes it counts at once.
-HELD_SLOTS, COUNTED_BYTES = 1 << 21, 1 << 22
+#: Different slots that a training task holds before it hands them on, bytes it counts at once, and bytes whose contexts it makes at once.
+HELD_SLOTS, COUNTED_BYTES, CONTEXT_BYTES = 1 << 21, 1 << 22, 1 << 18
 #: Bytes of all documents side by side that are scored at once.
 _STEP_BYTES = 1 << 14
 _DEPTHS = 8
@@ -55,47 +56,62 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 def contexts(padded: np.ndarray) -> np.ndarray:
     """What precedes every byte after the padding, 56 bits: 24 of a hash of the word so far less its last four bytes, and four bytes."""
-    a = padded.astype(np.uint64)
-    n = len(a) - _FAR
-    four = a[_FAR - 1 : _FAR - 1 + n].copy()
-    for k in range(1, _FAR):
-        four |= a[_FAR - 1 - k : _FAR - 1 - k + n] << np.uint64(8 * k)
+    n = len(padded) - _FAR
+    four = np.ndarray(n, ">u4", np.ascontiguousarray(padded), 0, (1,)).astype(np.uint64)  # the last byte is the lowest
     # a word's bytes times powers of _ODD from its start, by differences of running sums
-    power = np.full(len(a) + 1, _ODD)
-    power[0] = 1
-    power = np.cumprod(power, dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((a + np.uint64(1)) * power[:-1], dtype=np.uint64)])
-    at = np.arange(len(a))
-    start = np.maximum.accumulate(np.where(_KIND[padded] == 1, 0, at + 1))[_FAR - 1 : _FAR - 1 + n]  # where the word so far begins
-    long = np.flatnonzero(start < at[:n])  # it has more than four bytes
-    first = start[long]
-    back = np.full(len(a) + 1, np.uint64(pow(int(_ODD), -1, 1 << 64)))
-    back[0] = 1
-    back = np.cumprod(back, dtype=np.uint64)
-    four[long] |= _mixed((sums[long] - sums[first]) * back[first]) >> np.uint64(40) << np.uint64(32)
+    power, back = _powers(len(padded))
+    sums = np.zeros(len(padded) + 1, np.uint64)
+    np.cumsum((padded + np.uint64(1)) * power, out=sums[1:])
+    start = np.arange(1, len(padded))
+    start *= _KIND[padded[:-1]] != 1
+    start = np.maximum.accumulate(start, out=start)[_FAR - 1 :]  # where the word so far begins
+    long = np.flatnonzero(start < np.arange(n))  # it has more than four bytes
+    first = start.take(long)
+    four[long] |= _mixed((sums.take(long) - sums.take(first)) * back.take(first)) >> np.uint64(40) << np.uint64(32)
     return four
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of _ODD and of its inverse; the last ones are kept."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]), dtype=np.uint64) for x in (_ODD, pow(int(_ODD), -1, 1 << 64))]
+    return [x[:n] for x in _POWERS]
+
+
 def _mixed(context: np.ndarray) -> np.ndarray:
     h = context * _ODD
     h ^= h >> np.uint64(29)
-    return h * np.uint64(0xBF58476D1CE4E5B9)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h
 
 
 _WORD_MASK = np.array([0xFF, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFFFFFFFF], np.uint64)
-
-
-def hashes(joint: np.ndarray) -> list[np.ndarray]:
-    """48 bits of hash of each predictor's context, from what all see together."""
-    byte = [(joint >> np.uint64(8 * k) & np.uint64(255)).view(np.int64) for k in range(_FAR)]
-    run = np.zeros(len(joint), np.int64)  # letters at the end
-    on = np.ones(len(joint), bool)
-    for b in byte:
-        on &= _KIND[b] == 1
-        run += on
-    word = joint & _WORD_MASK[run] | (run.view(np.uint64) + np.uint64(1)) << np.uint64(56)
-    out = [joint & np.uint64((1 << 8 * k) - 1) for k in range(1, _FAR + 1)]
-    return [_mixed(c) >> np.uint64(16) for c in (*out, word)]
+_WORD_SIZE = np.arange(1, _FAR + 2, dtype=np.uint64) << np.uint64(56)
+#: Letters at the end of two bytes, the last of which is the lower one; and hashes of the contexts of one and two bytes.
+_RUN = np.where(_KIND[np.arange(1 << 16) & 255] == 1, np.where(_KIND[np.arange(1 << 16) >> 8] == 1, 2, 1), 0).astype(np.uint8)
+_SHORT = _mixed(np.arange(1 << 16, dtype=np.uint64)) >> np.uint64(16)
+#: Contexts that are hashed at once, so that they stay in a core's cache.
+_HASHED = 1 << 14
+
+
+def hashes(joint: np.ndarray) -> np.ndarray:
+    """48 bits of hash of each predictor's context, a row each, from what all see together."""
+    out = np.empty((PREDICTORS, len(joint)), np.uint64)
+    for at in range(0, len(joint), _HASHED):
+        some, to = joint[at : at + _HASHED], out[:, at : at + _HASHED]
+        last = (some & np.uint64(0xFFFF)).view(np.int64)
+        run = _RUN.take(last)  # letters at the end
+        run += _RUN.take((some >> np.uint64(16) & np.uint64(0xFFFF)).view(np.int64)) * (run == 2)
+        run = run.astype(np.int64)
+        _SHORT.take(last & 255, out=to[0], mode="clip")
+        _SHORT.take(last, out=to[1], mode="clip")
+        word = some & _WORD_MASK.take(run) | _WORD_SIZE.take(run)
+        for c, row in zip((some & np.uint64(0xFFFFFF), some & np.uint64(0xFFFFFFFF), word), to[2:], strict=True):
+            np.right_shift(_mixed(c), np.uint64(16), out=row)
+    return out
 
 
 @dataclass
@@ -106,6 +122,7 @@ class Code:
     length: np.ndarray
     node: np.ndarray
     bit: np.ndarray
+    gate: np.ndarray  # the kind of the byte before and the depth, which choose the weights
 
     @staticmethod
     def of(counts: np.ndarray) -> Code:
@@ -113,14 +130,18 @@ class Code:
         start, length = np.zeros((256, 256), np.int64), np.zeros((256, 256), np.int64)
         node: list[int] = []
         bit: list[int] = []
-        for before in [None, *np.flatnonzero(counts.sum(1)).tolist()]:
-            paths = Code._paths(counts.sum(0) if before is None else counts[before])
+        gate: list[int] = []
+        known = np.flatnonzero(counts.sum(1))
+        for rows in [*(np.setdiff1d(np.flatnonzero(_KIND == k), known) for k in range(3)), *known.reshape(-1, 1)]:
+            if not len(rows):
+                continue
+            paths = Code._paths(counts[rows[0]] if counts[rows[0]].any() else counts.sum(0))
             long = np.array([len(p) for p in paths])
-            rows = slice(None) if before is None else before
             start[rows], length[rows] = np.cumsum(long) - long + len(node), long
             node += [n for p in paths for n, _ in p]
             bit += [b for p in paths for _, b in p]
-        return Code(start.ravel(), length.ravel(), np.array(node), np.array(bit, np.float32))
+            gate += [_KIND[rows[0]] * _DEPTHS + min(d, _DEPTHS - 1) for p in paths for d in range(len(p))]
+        return Code(start.ravel(), length.ravel(), np.array(node), np.array(bit, np.float32), np.array(gate))
 
     @staticmethod
     def _paths(counts: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -141,11 +162,12 @@ class Code:
                 todo += [(half, [*path, (made - 1 - name, b)]) for b, half in enumerate(halves)]
         return paths
 
-    def steps(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of (byte before << 8 | byte): lengths of the codes, and the depth and place in node and bit of each of their bits."""
-        long = self.length[pair]
-        depth = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
-        return long, depth, np.repeat(self.start[pair], long) + depth
+    def steps(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of (byte before << 8 | byte): lengths of the codes, and the place in node, bit and gate of each of their bits."""
+        long = self.length.take(pair)
+        step = np.repeat(self.start.take(pair) - np.cumsum(long) + long, long)
+        step += np.arange(len(step))
+        return long, step
 
 
 def _base(hashed: np.ndarray, bits: int) -> np.ndarray:
@@ -164,16 +186,29 @@ def log_odds(unset: np.ndarray, set_: np.ndarray) -> np.ndarray:
 @dataclass
 class Mixer:
     code: Code
-    tables: list[np.ndarray]  # log-odds in units
+    tables: list[np.ndarray]  # log-odds in units; one after the other in flat
     weights: np.ndarray  # (kinds * depths, predictors)
 
-    def stretched(self, hashed: list[np.ndarray], i: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Log-odds (bit, predictor) at these nodes after the i-th contexts."""
-        out = np.empty((len(i), len(self.tables)), np.float32)
-        for k, t in enumerate(self.tables):
-            out[:, k] = t.take(hashed[k].take(i) ^ node)
-        out *= np.float32(UNIT)
-        return out
+    def __post_init__(self) -> None:
+        self.flat = np.concatenate(self.tables)
+        self.ends = np.cumsum([len(t) for t in self.tables])
+        self.tables = np.split(self.flat, self.ends[:-1])
+
+    def __reduce__(self) -> tuple:
+        return Mixer, (self.code, self.tables, self.weights)
+
+    def bases(self, hashed: np.ndarray) -> np.ndarray:
+        """Where the contexts' cells are in flat, a row for each predictor."""
+        for k, (row, end) in enumerate(zip(hashed, self.ends.tolist(), strict=True)):
+            size = len(self.tables[k])
+            row >>= np.uint64(48 - size.bit_length() + 1)
+            row += np.uint64(end - size)
+        return hashed.view(np.int64)
+
+    def units(self, bases: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Log-odds in units, a row for each predictor, at these steps of codes after contexts with these bases."""
+        bases ^= self.code.node.take(step)
+        return self.flat.take(bases).astype(np.float32)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text with its end.  Texts of about the same length go side by side; each is scored by itself."""
@@ -193,11 +228,11 @@ class Mixer:
         buf = np.frombuffer(b"".join(_PAD + t + b"\0" for t in texts), np.uint8)
         lens = np.array([len(t) + 1 for t in texts])
         starts = np.cumsum(lens + _FAR) - lens - _FAR  # of the texts among bytes that have enough before them
-        hashed = [_base(h, len(t).bit_length() - 1) for h, t in zip(hashes(contexts(buf)), self.tables, strict=True)]
-        before = buf[_FAR - 1 : -1].astype(np.int64)
-        pair, kind = before << 8 | buf[_FAR:], _KIND[before] * _DEPTHS
+        bases = self.bases(hashes(contexts(buf)))
+        pair = buf[_FAR - 1 : -1].astype(np.int64) << 8 | buf[_FAR:]
+        signs = (2 * self.code.bit - 1) * np.float32(UNIT)
         gates, m = self.weights.shape
-        w = np.repeat(self.weights[None].astype(np.float32), len(texts), 0)
+        w = np.repeat(self.weights.T[:, None].astype(np.float32), len(texts), 1)  # (predictor, text, gate)
         total = np.zeros(len(texts))
         for at in range(0, int(lens.max()), BLOCK):
             live = np.flatnonzero(lens > at)
@@ -205,28 +240,30 @@ class Mixer:
                 n = np.minimum(lens[part] - at, BLOCK)
                 first = np.cumsum(n) - n
                 i = np.arange(int(n.sum())) + np.repeat(starts[part] + at - first, n)
-                long, depth, step = self.code.steps(pair.take(i))
-                node, y = self.code.node.take(step), self.code.bit.take(step)
-                of_doc = np.add.reduceat(long, first)
-                first = np.cumsum(of_doc) - of_doc
-                st = self.stretched(hashed, np.repeat(i, long), node)
-                gate = (np.repeat(kind.take(i), long) + np.minimum(depth, _DEPTHS - 1)).astype(np.uint8)
-                doc = np.repeat(np.arange(len(part)), of_doc)
-                mine = w[part].reshape(-1, m)
-                z = np.einsum("ij,ij->i", mine.take(doc * gates + gate, 0), st)
-                z = np.where(y > 0, z, -z)  # log-odds of what is there
+                long, step = self.code.steps(pair.take(i))
+                # bits in order of their weights: gate, then text
+                gate = self.code.gate.take(step)
+                order = np.argsort(gate.astype(np.uint8), kind="stable")
+                cell = np.repeat(np.repeat(np.arange(len(part)) * gates, n), long)
+                cell += gate
+                cell, step = cell.take(order), step.take(order)
+                edge = np.flatnonzero(np.diff(cell, prepend=-1))
+                many, cell = np.diff(edge, append=len(cell)), cell.take(edge)
+                st, sign = self.units(bases.take(np.repeat(i, long).take(order), 1), step), signs.take(step)
+                mine = w[:, part].reshape(m, -1)
+                z = np.repeat(mine.take(cell, 1), many, axis=1)
+                z *= st
+                z = z.sum(0)
+                z *= sign  # log-odds of what is there
                 e = np.exp(-np.abs(z))
-                total[part] += np.add.reduceat(np.log1p(e) - np.minimum(z, 0), first, dtype=np.float64)
+                total[part] += np.bincount(cell // gates, np.add.reduceat(np.log1p(e) - np.minimum(z, 0), edge, dtype=np.float64), len(part))
                 if at + BLOCK < int(lens[part].max()):  # something is left that the step can serve
-                    miss = np.where(z >= 0, e, 1) / (1 + e)  # probability of what isn't there
-                    st *= np.where(y > 0, miss, -miss)[:, None]
-                    order = np.argsort(gate, kind="stable")
-                    cell = gate.take(order).astype(np.int64) + doc.take(order) * gates
-                    edge = np.flatnonzero(np.diff(cell, prepend=-1))
-                    grad = np.add.reduceat(st.take(order, 0), edge, axis=0)
-                    cell = cell[edge]
-                    mine[cell] = np.clip(mine[cell] + np.float32(RATE / 16) * grad, -4, 4)
-                    w[part] = mine.reshape(len(part), gates, m)
+                    miss = np.where(z >= 0, e, np.float32(1)) / (1 + e)  # probability of what isn't there
+                    miss *= sign
+                    st *= miss
+                    grad = np.add.reduceat(st, edge, axis=1)
+                    mine[:, cell] = np.clip(mine[:, cell] + np.float32(RATE / 16) * grad, -4, 4)
+                    w[:, part] = mine.reshape(m, len(part), gates)
         return total / np.log(2)
 
 
@@ -251,47 +288,73 @@ def _padding(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buf, real
 
 
+def _slots(texts: list[bytes]) -> np.ndarray:
+    """The slots of all bytes of the texts and of their ends: 56 bits of contexts, then the byte."""
+    out, first = [], 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size + len(texts[last]) < CONTEXT_BYTES):
+            size += len(texts[last])
+            last += 1
+        buf, real = _padding(texts[first:last])
+        out.append((contexts(buf) << np.uint64(8) | buf[_FAR:])[real])
+        first = last
+    return np.concatenate(out)
+
+
+def _word_counts(texts: pa.Array) -> pa.Table:
+    """(word, n) of texts; white space is that of bytes.split()."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts)).flatten()
+    counted = pc.value_counts(words.filter(pc.not_equal(words, "")))
+    return pa.table([counted.field("values"), counted.field("counts")], ["word", "n"])
+
+
 def gather(docs: DataFrame) -> DataFrame:
     """(word, slot, n) from docs (text): word counts (slot null) and counts of what precedes a byte, with it (word null), by task.
 
-    A slot is 56 bits of contexts, then the byte.  Counts are handed on in turns, so a task's memory doesn't grow with its input.
+    Counts are handed on in turns, so a task's memory doesn't grow with its input.
     """
     schema = pa.schema([("word", pa.string()), ("slot", pa.int64()), ("n", pa.int64())])
 
-    def batch(words: list, slots: np.ndarray | None, n: list | np.ndarray) -> pa.RecordBatch:
-        size = len(n)
-        w = pa.array(words, pa.string()) if slots is None else pa.nulls(size, pa.string())
-        s = pa.nulls(size, pa.int64()) if slots is None else pa.array(slots.view(np.int64), pa.int64())
-        return pa.RecordBatch.from_arrays([w, s, pa.array(n, pa.int64())], schema=schema)
+    def batch(slots: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.string()), pa.array(slots.view(np.int64)), pa.array(n, pa.int64())], schema=schema)
+
+    def summed(words: list[pa.Table]) -> pa.Table:
+        t = pa.concat_tables(words).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return pa.table([t["word"], t["n_sum"]], ["word", "n"])
+
+    def handed(words: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in words.to_batches():
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.nulls(b.num_rows, pa.int64()), b.column(1)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+        words: list[pa.Table] = []
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
+            if not b.num_rows:
+                continue
+            words += [_word_counts(b.column(0).cast(pa.string())), pa.table([[END], [b.num_rows]], ["word", "n"])]
+            if sum(t.num_rows for t in words) > 2 * HELD_WORDS:
+                words = [summed(words)]
+                if words[0].num_rows > HELD_WORDS:
+                    yield from handed(words.pop())
             texts = [(t or "").encode().translate(ASCII_LOWER) for t in b.column(0).to_pylist()]
-            for t in texts:
-                words.update(t.split())
-            words[END.encode()] += len(texts)
-            if len(words) > HELD_WORDS:
-                yield batch([x.decode() for x in words], None, list(words.values()))
-                words = Counter()
             first = 0
             while first < len(texts):
                 last, size = first, 0
                 while last < len(texts) and (last == first or size + len(texts[last]) < COUNTED_BYTES):
                     size += len(texts[last])
                     last += 1
-                buf, real = _padding(texts[first:last])
-                held.append(_summed((contexts(buf) << np.uint64(8) | buf[_FAR:])[real]))
+                held.append(_summed(_slots(texts[first:last])))
                 if sum(len(slots) for slots, _ in held) > HELD_SLOTS:
                     held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
                     if len(held[0][0]) > HELD_SLOTS // 2:
-                        yield batch([], *held.pop())
+                        yield batch(*held.pop())
                 first = last
         if words:
-            yield batch([x.decode() for x in words], None, list(words.values()))
+            yield from handed(summed(words))
         if held:
-            yield batch([], *_summed(*map(np.concatenate, zip(*held, strict=True))))
+            yield batch(*_summed(*map(np.concatenate, zip(*held, strict=True))))
 
     bounded_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "word string, slot long, n long")
@@ -338,7 +401,7 @@ def tables(counted: DataFrame, code: Code, bits: list[int]) -> list[np.ndarray]:
                 key = keys[mine].view(np.uint64)
                 size = bits[name[0]] - PART_BITS
                 base = _base(key >> np.uint64(16), bits[name[0]]) & (1 << size) - 1
-                long, _, step = box.value.steps((key & np.uint64(0xFFFF)).view(np.int64))
+                long, step = box.value.steps((key & np.uint64(0xFFFF)).view(np.int64))
                 place = np.repeat(base, long) ^ box.value.node[step]
                 if name not in seen:
                     seen[name] = np.zeros(2 << size)
@@ -371,17 +434,19 @@ def fitted(slots: DataFrame, mixer: Mixer) -> np.ndarray:
         mix = box.value
         for slot, n in _many(batches, 1 << 16):
             slot = slot.view(np.uint64)
-            hashed = [_base(h, len(t).bit_length() - 1) for h, t in zip(hashes(slot >> np.uint64(8)), mix.tables, strict=True)]
-            long, depth, step = mix.code.steps((slot & np.uint64(0xFFFF)).view(np.int64))
-            st = mix.stretched(hashed, np.repeat(np.arange(len(slot)), long), mix.code.node[step]).astype(np.float64)
-            gate = np.repeat(_KIND[(slot >> np.uint64(8) & np.uint64(255)).view(np.int64)] * _DEPTHS, long) + np.minimum(depth, _DEPTHS - 1)
-            p = 1 / (1 + np.exp(-np.einsum("ij,ij->i", mix.weights[gate], st)))
-            many = np.repeat(n, long)
-            err, var = many * (mix.code.bit[step] - p), many * p * (1 - p)
-            for j in range(m):
-                total[:, j] += np.bincount(gate, err * st[:, j], gates)
-                for l in range(m):
-                    total[:, m + j * m + l] += np.bincount(gate, var * st[:, j] * st[:, l], gates)
+            long, step = mix.code.steps((slot & np.uint64(0xFFFF)).view(np.int64))
+            gate = mix.code.gate.take(step)
+            order = np.argsort(gate.astype(np.uint8), kind="stable")
+            gate, step, at = gate.take(order), step.take(order), np.repeat(np.arange(len(slot)), long).take(order)
+            st = mix.units(mix.bases(hashes(slot >> np.uint64(8))).take(at, 1), step).astype(np.float64)
+            st *= UNIT
+            y, many = mix.code.bit.take(step), n.take(at)
+            p = 1 / (1 + np.exp(-(mix.weights.T.take(gate, 1) * st).sum(0)))
+            err, var = many * (y - p), st * (many * p * (1 - p))
+            edge = np.searchsorted(gate, np.arange(gates + 1)).tolist()
+            for g, (i, j) in enumerate(zip(edge, edge[1:], strict=False)):
+                total[g, :m] += st[:, i:j] @ err[i:j]
+                total[g, m:] += (var[:, i:j] @ st[:, i:j].T).ravel()
         whole = [int(round(x)) for x in (total.ravel() * unit).tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells, dtype=np.int32)), pa.array(whole, pa.decimal128(38, 0))], schema=schema)
 
@@ -451,7 +516,7 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
                 words = [*text.split(), END.encode()]
                 got = list(map(log.get, words))
                 known = [x for x in got if x is not None]
-                base = float(np.sum(known))
+                base = float(sum(known))
                 if len(known) < len(words):
                     missed = Counter([w for w, x in zip(words, got, strict=True) if x is None])
                     if none_is_hot:  # every counted word is here, so these have none
