@@ -106,14 +106,18 @@ def windows(docs: DataFrame, dice: float, templates: tuple, texts: tuple) -> Dat
         hashes = [h - (1 << 64) if (h := xxhash.xxh64_intdigest(b.encode(), 42)) >> 63 else h for b in own]  # as F.xxhash64
         known.append((own, hashes, len(words) - 1, max(1, -int(-(dice / (2 - dice) * len(own) - 1e-9) // 1))))
     literal = lambda hs: F.split(F.lit(",".join(map(str, hs))), ",").cast("array<bigint>")  # noqa: E731  folded into a literal
-    likely = _contains_any(F.col("text"), anchors([x[0] for x in known[: len(templates)]], dice)) if templates else F.lit(False)
-    for own, _, _, need in known[len(templates) :]:
-        likely = likely | ((F.length("text") >= 2 * need) & _contains_any(F.col("text"), text_anchors(own, dice)))
     ws = F.col("ws")
+    # texts are cut into words once, and only those with an anchor of any template are held against each template's
+    asked = [(0, anchors([x[0] for x in known[: len(templates)]], dice))] if templates else []
+    asked += [(2 * need, text_anchors(own, dice)) for own, _, _, need in known[len(templates) :]]
+    has = lambda words: F.arrays_overlap(ws, F.array(*map(F.lit, words)))
+    likely = reduce(lambda a, b: a | b, [(F.length("text") >= least) & has(words) for least, words in asked])
+    every = list(dict.fromkeys(w for _, words in asked for w in words))
     pairs = F.zip_with(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b)))
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(likely).withColumn("row", F.monotonically_increasing_id())
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
     # explode keeps Catalyst from evaluating an array once for each use of it
-    hashed = some.select("row", "doc_id", "text", F.explode(F.array(_words(F.col("text")))).alias("ws")).select("row", "doc_id", "text", F.explode(F.array(pairs)).alias("b"))
+    cut = some.select("row", "doc_id", "text", F.explode(F.array(_words(F.col("text")))).alias("ws")).where(has(every)).where(likely)
+    hashed = cut.select("row", "doc_id", "text", F.explode(F.array(pairs)).alias("b"))
     hits = hashed.select("row", "doc_id", "text", "b", F.explode(F.array(F.array_intersect(literal({h for x in known for h in x[1]}), "b"))).alias("hits"))
     hits = hits.where(F.size("hits") >= min(x[3] for x in known))
     each = [F.when((F.size("hits") >= need) & (F.size(F.array_intersect(literal(hs), "hits")) >= need), F.struct(F.lit(k).alias("k"), F.lit(size).alias("size"), F.lit(need).alias("need"), literal(hs).alias("own"))) for k, (_, hs, size, need) in enumerate(known)]
@@ -152,11 +156,11 @@ def scan(docs: DataFrame, dice: float = DICE, templates: tuple = TEMPLATES, text
         return _contains_any(text, words)
 
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(likely(F.col("text")))
-    lines = F.split("text", "\n")
-    units = some.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(lines).alias("line", "unit"))
-    whole = some.where(F.contains("text", F.lit("\n"))).select("doc_id", F.xxhash64("text").alias("key"), F.lit(-1).alias("line"), F.col("text").alias("unit"))
+    # a text and its lines, in one scan; a text of one line is that line
+    each = F.concat(F.when(F.contains("text", F.lit("\n")), F.array("text")).otherwise(F.array(F.lit(None))), F.split("text", "\n"))
+    units = some.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(each).alias("at", "unit")).select("doc_id", "key", (F.col("at") - 1).alias("line"), "unit")
     # explode keeps Catalyst from evaluating the bigrams once for each use of them
-    sets = units.union(whole).where(likely(F.col("unit"))).select("doc_id", "key", "line", F.explode(F.array(bigrams(F.col("unit")))).alias("b"))
+    sets = units.where(likely(F.col("unit"))).select("doc_id", "key", "line", F.explode(F.array(bigrams(F.col("unit")))).alias("b"))
     n = F.size("b")
     scores = []
     for k, (_, own) in enumerate(known):
