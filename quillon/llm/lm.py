@@ -13,7 +13,6 @@ after each block, so later blocks are scored with what earlier ones taught.  The
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded_batches, drop_written, remainder, write_out
+from .common import ASCII_LOWER, bounded_batches, drop_written, remainder, write_out  # noqa: F401  the rule of lower case
 
 END = " "  # no word holds a space
 ALPHA = 0.1
@@ -232,7 +231,7 @@ class Mixer:
         pair = buf[_FAR - 1 : -1].astype(np.int64) << 8 | buf[_FAR:]
         signs = (2 * self.code.bit - 1) * np.float32(UNIT)
         gates, m = self.weights.shape
-        w = np.repeat(self.weights.T[:, None].astype(np.float32), len(texts), 1)  # (predictor, text, gate)
+        w = np.repeat(self.weights.T[:, :, None].astype(np.float32), len(texts), 2)  # (predictor, gate, text)
         total = np.zeros(len(texts))
         for at in range(0, int(lens.max()), BLOCK):
             live = np.flatnonzero(lens > at)
@@ -244,26 +243,23 @@ class Mixer:
                 # bits in order of their weights: gate, then text
                 gate = self.code.gate.take(step)
                 order = np.argsort(gate.astype(np.uint8), kind="stable")
-                cell = np.repeat(np.repeat(np.arange(len(part)) * gates, n), long)
-                cell += gate
-                cell, step = cell.take(order), step.take(order)
-                edge = np.flatnonzero(np.diff(cell, prepend=-1))
-                many, cell = np.diff(edge, append=len(cell)), cell.take(edge)
+                gate *= len(part)
+                gate += np.repeat(np.arange(len(part)), np.add.reduceat(long, first))
+                many = np.bincount(gate)
+                cell = np.flatnonzero(many)
+                many = many.take(cell)
+                edge, step = np.cumsum(many) - many, step.take(order)
                 st, sign = self.units(bases.take(np.repeat(i, long).take(order), 1), step), signs.take(step)
-                mine = w[:, part].reshape(m, -1)
-                z = np.repeat(mine.take(cell, 1), many, axis=1)
-                z *= st
-                z = z.sum(0)
+                mine = w[:, :, part].reshape(m, -1)
+                z = np.einsum("ki,ki->i", np.repeat(mine.take(cell, 1), many, axis=1), st)
                 z *= sign  # log-odds of what is there
                 e = np.exp(-np.abs(z))
-                total[part] += np.bincount(cell // gates, np.add.reduceat(np.log1p(e) - np.minimum(z, 0), edge, dtype=np.float64), len(part))
+                total[part] += np.bincount(cell % len(part), np.add.reduceat(np.log1p(e) - np.minimum(z, 0), edge, dtype=np.float64), len(part))
                 if at + BLOCK < int(lens[part].max()):  # something is left that the step can serve
-                    miss = np.where(z >= 0, e, np.float32(1)) / (1 + e)  # probability of what isn't there
-                    miss *= sign
-                    st *= miss
+                    st *= sign / (1 + np.exp(np.minimum(z, np.float32(80))))  # with the probability of what isn't there
                     grad = np.add.reduceat(st, edge, axis=1)
                     mine[:, cell] = np.clip(mine[:, cell] + np.float32(RATE / 16) * grad, -4, 4)
-                    w[:, part] = mine.reshape(m, len(part), gates)
+                    w[:, :, part] = mine.reshape(m, gates, len(part))
         return total / np.log(2)
 
 
@@ -302,10 +298,22 @@ def _slots(texts: list[bytes]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _word_counts(texts: pa.Array) -> pa.Table:
-    """(word, n) of texts; white space is that of bytes.split()."""
-    words = pc.ascii_split_whitespace(pc.ascii_lower(texts)).flatten()
-    counted = pc.value_counts(words.filter(pc.not_equal(words, "")))
+def _lower(texts: pa.Array) -> pa.Array:
+    """Texts with A-Z in lower case; null is empty."""
+    return pc.ascii_lower(texts.cast(pa.string()).fill_null(""))
+
+
+def _words(lower: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """All words of the texts and the number of the text of each; white space is that of bytes.split()."""
+    lists = pc.ascii_split_whitespace(lower)
+    words = lists.flatten()
+    real = pc.not_equal(words, "")
+    return words.filter(real), pc.list_parent_indices(lists).filter(real)
+
+
+def _word_counts(lower: pa.Array) -> pa.Table:
+    """(word, n) of texts."""
+    counted = pc.value_counts(_words(lower)[0])
     return pa.table([counted.field("values"), counted.field("counts")], ["word", "n"])
 
 
@@ -333,12 +341,13 @@ def gather(docs: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            words += [_word_counts(b.column(0).cast(pa.string())), pa.table([[END], [b.num_rows]], ["word", "n"])]
+            lower = _lower(b.column(0))
+            words += [_word_counts(lower), pa.table([[END], [b.num_rows]], ["word", "n"])]
             if sum(t.num_rows for t in words) > 2 * HELD_WORDS:
                 words = [summed(words)]
                 if words[0].num_rows > HELD_WORDS:
                     yield from handed(words.pop())
-            texts = [(t or "").encode().translate(ASCII_LOWER) for t in b.column(0).to_pylist()]
+            texts = lower.cast(pa.binary()).to_pylist()
             first = 0
             while first < len(texts):
                 last, size = first, 0
@@ -499,39 +508,36 @@ def score(docs: DataFrame, hot_words: int = HOT_WORDS) -> DataFrame:
         least, some = 1 << r["power"], some + r["count"]
     hot = vocabulary.where(F.col("c") >= least).toPandas()
     floor = ALPHA / (n + ALPHA * (v + 1)) if n else 1.0
-    logs = dict(zip((w.encode() for w in hot["word"]), np.log10((hot["c"].to_numpy() + ALPHA) / (n + ALPHA * (v + 1)) if n else []).tolist(), strict=True))
-    box = docs.sparkSession.sparkContext.broadcast((mixer, logs))
+    logs = np.log10((hot["c"].to_numpy().astype(np.float64) + ALPHA) / (n + ALPHA * (v + 1))) if n else np.zeros(0)
+    box = docs.sparkSession.sparkContext.broadcast((mixer, pa.array(hot["word"].tolist(), pa.string()), logs))
     none_is_hot = least == 1
     out = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("bits", pa.float64()), ("n_bytes", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mix, log = box.value
+        mix, known, log = box.value
         unseen = float(np.log10(floor))
         for b in batches:
-            rows, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
-            texts = [(t or "").encode().translate(ASCII_LOWER) for t in b.column(2).to_pylist()]
-            cols: list[list] = [[] for _ in out]
-            rare: list[list] = [[], [], []]
-            for row, doc_id, text, bits in zip(rows, ids, texts, mix.bits(texts), strict=True):
-                words = [*text.split(), END.encode()]
-                got = list(map(log.get, words))
-                known = [x for x in got if x is not None]
-                base = float(sum(known))
-                if len(known) < len(words):
-                    missed = Counter([w for w, x in zip(words, got, strict=True) if x is None])
-                    if none_is_hot:  # every counted word is here, so these have none
-                        base += unseen * sum(missed.values())
-                    else:
-                        rare[0] += [row] * len(missed)
-                        rare[1] += [w.decode() for w in missed]
-                        rare[2] += missed.values()
-                for c, x in zip(cols, (row, doc_id, len(words), len(known), base, float(bits), len(text), None, None), strict=True):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
-            if rare[0]:
-                k = len(rare[0])
-                made = {"row": rare[0], "word": rare[1], "n": rare[2]}
-                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else pa.nulls(k, f.type) for f in out], schema=out)
+            size = b.num_rows
+            if not size:
+                continue
+            lower = _lower(b.column(2))
+            words, text = _words(lower)
+            words = pa.concat_arrays([words, pa.array([END] * size, pa.string())])
+            text = np.concatenate([text.to_numpy(), np.arange(size)])
+            at = pc.index_in(words, value_set=known).fill_null(-1).to_numpy()
+            there = at >= 0
+            tokens, n_known = (np.bincount(x, minlength=size) for x in (text, text[there]))
+            base = np.bincount(text[there], log[at[there]], size)
+            if none_is_hot:  # every counted word is here, so the others have none
+                base += unseen * (tokens - n_known)
+            bits = mix.bits(lower.cast(pa.binary()).to_pylist())
+            made = [b.column(0), b.column(1), pa.array(tokens), pa.array(n_known), pa.array(base), pa.array(bits), pc.binary_length(lower).cast(pa.int64()), pa.nulls(size, pa.string()), pa.nulls(size, pa.int64())]
+            yield pa.RecordBatch.from_arrays(made, schema=out)
+            if not none_is_hot and not there.all():
+                rest = pa.table([b.column(0).take(pa.array(text[~there])), words.filter(pa.array(~there))], ["row", "word"])
+                rare = rest.group_by(["row", "word"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["row", "word", "n"])
+                for r in rare.to_batches():
+                    yield pa.RecordBatch.from_arrays([r.column(f.name) if f.name in ("row", "word", "n") else pa.nulls(r.num_rows, f.type) for f in out], schema=out)
 
     bounded_batches(docs.sparkSession)
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, bits double, n_bytes long, word string, n long"

@@ -4,14 +4,15 @@ import numpy as np
 import pyarrow as pa
 
 from quillon.llm import lm
+from quillon.llm.common import ASCII_LOWER
 
 
 def test_words_are_those_of_split():
     texts = [" a\x0bb \x1c c\x85d\x00e  ", "", None, "  ", "Ä ä A a\tA\r\n\f a", "é x a"]
-    got = lm._word_counts(pa.array(texts, pa.string()))
-    want = Counter(w.decode() for t in texts for w in (t or "").encode().translate(lm.ASCII_LOWER).split())
+    got = lm._word_counts(lm._lower(pa.array(texts, pa.string())))
+    want = Counter(w.decode() for t in texts for w in (t or "").encode().translate(ASCII_LOWER).split())
     assert dict(zip(got["word"].to_pylist(), got["n"].to_pylist(), strict=True)) == want
-    assert lm._word_counts(pa.array([None, ""], pa.string())).num_rows == 0
+    assert lm._word_counts(lm._lower(pa.array([None, ""], pa.string()))).num_rows == 0
 
 
 def test_slots_in_pieces(monkeypatch):
