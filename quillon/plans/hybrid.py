@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import MAX_CONTEXT_RADIUS, MAX_PAGE, HybridOptions, Metric
+from ..config import MAX_CONTEXT_RADIUS, MAX_PAGE, HybridOptions, Metric, check_vector
 from ..errors import invalid
+from ..functions.distance import distance, vector_literal, zero_sign
 from ..operators import keyword
 from . import knn
 
@@ -62,23 +63,38 @@ def within(hits: DataFrame, max_distance: float, distance: str = "distance") ->
     return hits.where(F.col(distance) <= max_distance)
 
 
-def one_for_each_source(search: Callable[[int], DataFrame], k: int, most: int, source: str = "source") -> tuple[DataFrame, bool]:
+def one_for_each_source(search: Callable[[int], DataFrame], k: int, most: int | None = None, source: str = "source") -> tuple[DataFrame, bool]:
     """The k best sources of a search, and whether they are all that it can find.
 
     search(n) gives n hits with ranks.  It is asked for more than k, twice as many each time, until enough sources are among
-    them, it gives fewer than it was asked for, or `most` have been asked for.
+    them or it gives fewer than it was asked for; a caller that can't wait for all may say how many hits to ask for at `most`.
+    Where the rows can be read, nearest_of_each_source gives the same at once.
     """
-    if not 1 <= k <= most:
+    if k < 1 or (most is not None and k > most):
         raise invalid("1 <= k <= most")
     n = k
     while True:
-        n = min(most, 2 * n)
+        n = 2 * n if most is None else min(most, 2 * n)
         hits = search(n)
         best = first_of_source(hits, source)
         sources, found = best.count(), hits.count()
         if sources >= k or found < n or n == most:
-            rank = F.row_number().over(Window.orderBy("rank"))  # at most `most` rows
-            return best.withColumn("rank", rank).where(F.col("rank") <= k), sources >= k or found < n
+            top = best.orderBy("rank").limit(k)
+            return top.withColumn("rank", F.row_number().over(Window.orderBy("rank"))), sources >= k or found < n  # k rows meet
+
+
+def nearest_of_each_source(df: DataFrame, query: list[float], k: int, metric: Metric, source: str = "source", id_col: str = "id", vector: str = "vector", where: Column | None = None) -> DataFrame:
+    """(id, source, distance, rank): the nearest row of each source, and of those the k nearest.
+
+    One scan of all rows, however far down the second source is: each task keeps a row for each source.
+    """
+    check_vector(query, None, metric)
+    if k < 0:
+        raise invalid("k must not be negative")
+    rows = knn.usable(df if where is None else df.where(where), vector, len(query))
+    far = rows.select(id_col, source, distance(F.col(vector), vector_literal(query), metric).alias("distance"))
+    best = far.groupBy(source).agg(F.min(F.struct("distance", zero_sign(F.col("distance")).alias("sign"), id_col)).alias("best"))
+    return knn.ordered(best.select(F.col(f"best.{id_col}").alias(id_col), source, "best.distance"), k, id_col)
 
 
 def page(df: DataFrame, after: int | None, limit: int, id_col: str = "id") -> tuple[DataFrame, int | None]:

@@ -287,10 +287,7 @@ def bm25_no_match(spark: SparkSession, sf: str) -> DataFrame:
 
 def one_source_each(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf).withColumnRenamed("label", "source")
-    q = _probe(spark, sf)
-    return _rounded(hybrid.one_for_each_source(lambda n: knn.exact(v, q, n, Metric.SQUARED_L2).join(v.select("id", "source"), "id"), 3, 512)[0], "distance").select("id", "source", "distance", "rank")
-
-
+    return _rounded(hybrid.nearest_of_each_source(v, _probe(spark, sf), 3, Metric.SQUARED_L2), "distance")
 
 
 def html_text(spark: SparkSession, sf: str) -> DataFrame:
