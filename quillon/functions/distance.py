@@ -64,11 +64,26 @@ def kernel(x: np.ndarray, q: np.ndarray, metric: Metric) -> np.ndarray:
     if metric is Metric.INNER_PRODUCT:
         return -product
 
-    def inverse(v: np.ndarray) -> np.ndarray:
-        square = np.zeros(len(v))
+    return np.clip(1.0 - product * inverse_norms(q)[None, :] * inverse_norms(x)[:, None], 0.0, 2.0)
+
+
+def inverse_norms(v: np.ndarray) -> np.ndarray:
+    """1 / |row|, 0 for zero; the same bits as inverse_norm."""
+    square = np.zeros(len(v))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         for j in range(v.shape[1]):
             square = square + v[:, j] * v[:, j]
-        with np.errstate(divide="ignore"):
-            return np.where(square == 0, 0.0, 1 / np.sqrt(square))
-
-    return np.clip(1.0 - product * inverse(q)[None, :] * inverse(x)[:, None], 0.0, 2.0)
+        return np.where(square == 0, 0.0, 1 / np.sqrt(square))
+
+
+def paired(x: np.ndarray, n: np.ndarray, q: np.ndarray, j: np.ndarray, metric: Metric, x_inverse: np.ndarray, q_inverse: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (row n, query j), of matrices (coordinate, row) of doubles; the same bits as kernel's."""
+    acc = None
+    with np.errstate(invalid="ignore", over="ignore"):
+        for a, b in zip(x, q, strict=True):
+            u, v = a[n], b[j]
+            term = (u - v) * (u - v) if metric is Metric.SQUARED_L2 else u * v
+            acc = term - 0.0 if acc is None else acc + term
+        if metric is Metric.SQUARED_L2:
+            return acc
+        return -acc if metric is Metric.INNER_PRODUCT else np.clip(1.0 - acc * q_inverse[j] * x_inverse[n], 0.0, 2.0)

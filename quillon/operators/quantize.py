@@ -54,6 +54,16 @@ def approximate_kernel(codes: np.ndarray, scale: np.ndarray, sqnorm: np.ndarray,
     return np.where(norm == 0, 1.0, np.clip(1.0 - dot / np.where(norm == 0, 1.0, norm), 0.0, 2.0))
 
 
+def approximate_pairs(dot: np.ndarray, scale: np.ndarray, sqnorm: np.ndarray, qs: np.ndarray, qn: np.ndarray, metric: Metric) -> np.ndarray:
+    """approximate_distance of pairs, from the products of their codes; the same bits as approximate_kernel's."""
+    if metric is Metric.SQUARED_L2:
+        return np.maximum(0.0, scale * scale * sqnorm + qs * qs * qn - 2.0 * scale * qs * dot)
+    if metric is Metric.INNER_PRODUCT:
+        return -scale * qs * dot
+    norm = np.sqrt(sqnorm) * np.sqrt(qn)
+    return np.where(norm == 0, 1.0, np.clip(1.0 - dot / np.where(norm == 0, 1.0, norm), 0.0, 2.0))
+
+
 def prepare(df: DataFrame, path: str, sequence: int, id_col: str = "id", vector: str = "vector") -> DataFrame:
     """Writes the codes of a generation's vectors (id, codes, scale, sqnorm) below path, once for each sequence; rows without a vector have none."""
     place = f"{path}/codes-{sequence}"

@@ -10,15 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..config import Metric, check_vector
 from ..errors import EngineError, invalid
 from ..files import Files
-from ..functions.distance import distance, zero_sign
-from .knn import exact, usable
+from ..functions.distance import distance
+from .knn import best_of, exact, in_turns, ranked, usable
 
 #: Rows that the centres are fitted on, at most, chosen by a hash of their id; and rounds of fitting.
 SAMPLE_ROWS, ROUNDS = 20_000, 12
@@ -38,6 +38,12 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres * centres).sum(1)[None] - 2 * x @ centres.T).argmin(1)
 
 
+def _probed(q: np.ndarray, centres: np.ndarray, metric: Metric, probes: int) -> np.ndarray:
+    """The cells that each query looks into, nearest first."""
+    far = -(q @ centres.T) if metric is Metric.INNER_PRODUCT else (centres * centres).sum(1)[None] - 2 * q @ centres.T
+    return np.argsort(far, 1, kind="stable")[:, :probes].astype(np.int32)
+
+
 def fit(sample: np.ndarray, cells: int, seed: int = 5) -> np.ndarray:
     """Centres of a sample: spread-out rows at first, then means of what is nearest to them."""
     rng = np.random.default_rng(seed)
@@ -110,19 +116,39 @@ class Cells:
         return exact(some, query, k, self.metric, self.id, self.vector, where)
 
     def many(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
-        """(qid, id, distance, rank) for each row of queries (qid, vector): each query meets the rows of its cells by an equi-join."""
+        """(qid, id, distance, rank) for each row of queries (qid, vector): each query meets the rows of its cells.
+
+        Queries go to all executors with their cells, within fixed bounds and in turns if there are more; each task keeps its k best.
+        Where ids aren't whole numbers of at most 64 bits, queries and rows meet by an equi-join.
+        """
+        if k < 0:
+            raise invalid("k must not be negative")
+        kind = dict(self.rows.dtypes)[self.id]
+        if kind not in ("tinyint", "smallint", "int", "bigint"):
+            return self._many_joined(queries, k, probes)
+        none = self.rows.sparkSession.createDataFrame([], f"qid long, id {kind}, distance double, rank int")
+        asked = usable(queries.select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<float>").alias("vector")), "vector", self.centres.shape[1])
+        turns = []
+        for turn in in_turns(asked.toLocalIterator(), k) if k else ():
+            x = np.array([r["vector"] for r in turn], np.float32)
+            q = _unit(x.astype(np.float64), self.metric)
+            turns.append((np.array([r["qid"] for r in turn]), x, _probed(q, self.centres, self.metric, probes)))
+        if not turns:
+            return none
+        rows = self.rows.select(F.col(self.id).cast("long").alias("id"), F.col(self.vector).cast("array<float>").alias("v"), F.col("cell").cast("int").alias("cell"))
+        return ranked(best_of(rows, turns, k, self.metric).select("qid", F.col("id").cast(kind).alias("id"), "distance"), k)
+
+    def _many_joined(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         centres, metric = self.centres, self.metric
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
                     q = _unit(np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1), metric)
-                    far = -(q @ centres.T) if metric is Metric.INNER_PRODUCT else (centres * centres).sum(1)[None] - 2 * q @ centres.T
-                    cell = np.argsort(far, 1, kind="stable")[:, :probes].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.tolist(), pa.list_(pa.int32()))], names=["qid", "q", "cells"])
+                    cells = _probed(q, centres, metric, probes)
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cells.tolist(), pa.list_(pa.int32()))], names=["qid", "q", "cells"])
 
         asked = usable(queries.select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<float>").alias("q")), "q", centres.shape[1])
         placed = asked.mapInArrow(work, "qid long, q array<float>, cells array<int>").select("qid", "q", F.explode("cells").alias("cell"))
         met = self.rows.join(placed, "cell").select("qid", F.col(self.id).alias("id"), distance(F.col(self.vector), F.col("q"), metric).alias("distance"))
-        order = Window.partitionBy("qid").orderBy("distance", zero_sign(F.col("distance")), "id")  # a group limit runs before the shuffle
-        return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ranked(met, k)

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from quillon import queries
 from quillon.config import Metric
-from quillon.plans import hybrid
+from quillon.functions.distance import kernel
+from quillon.plans import hybrid, knn
 
 
 def _rows(df, *names):
@@ -29,3 +30,42 @@ def test_sources_by_search_and_by_scan_are_the_same(spark):
         assert at_once.count() == min(k, 3)
     only = hybrid.nearest_of_each_source(df, [0.0, 0.0], 3, Metric.SQUARED_L2, where=F.col("source") == "far")
     assert [r["source"] for r in only.collect()] == ["far"]
+
+
+def _kernel_best(x, ids, q, k, metric):
+    d = kernel(x, q, metric)
+    return {(j, r + 1): (int(ids[n]), d[n, j]) for j in range(len(q)) for r, n in enumerate(np.lexsort((ids, ~((d[:, j] == 0) & np.signbit(d[:, j])), d[:, j]))[:k])}
+
+
+def test_what_a_task_keeps_is_what_all_distances_give(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.integers(-2, 3, (400, 6)), rng.standard_normal((300, 6)), rng.standard_normal((40, 6)) * 1e18, np.zeros((9, 6)), np.full((3, 6), 3.0e38)]).astype(np.float32)
+    ids = rng.permutation(len(x))
+    q = np.concatenate([x[::25], x[-2:]])
+    for metric in Metric:
+        asked = q[(q != 0).any(1)] if metric is Metric.COSINE else q
+        best, qids = knn._Best(knn._Sides(asked, metric, False), 7), np.arange(len(asked))
+        for some in np.array_split(np.arange(len(x)), 9):
+            best.take(ids[some], knn._Rows(x[some], best.sides, None))
+        got = {}
+        for b in best.batches(qids):
+            for j, i, d in zip(b["qid"].to_pylist(), b["id"].to_pylist(), b["distance"].to_pylist(), strict=True):
+                got[(j, sum(a == j for a, _ in got) + 1)] = (i, d)
+        want = _kernel_best(x, ids, asked, 7, metric)
+        assert got == want
+
+
+def test_tasks_shuffle_their_best_only(spark, monkeypatch):
+    """However many Arrow batches a task reads, it hands on k rows for each query; a turn holds a bounded number of them."""
+    x = np.random.default_rng(3).standard_normal((600, 4)).astype(np.float32)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, vector array<float>")
+    asked = v.where("id % 20 = 0").selectExpr("id as qid", "vector")
+    want = sorted(map(tuple, knn.many(v, asked, 3, Metric.COSINE).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    monkeypatch.setattr(knn, "HELD_CELLS", 24)
+    made = []
+    monkeypatch.setattr(knn, "ranked", lambda found, k, ranked=knn.ranked: made.append(found) or ranked(found, k))
+    got = knn.many(v, asked, 3, Metric.COSINE)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got.collect())) == want
+    assert made[0].count() == 30 * 3 * spark.sparkContext.defaultParallelism
