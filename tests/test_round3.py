@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from quillon import queries
 from quillon.config import Metric
 from quillon.functions.distance import kernel
+from quillon.operators import evaluate
 from quillon.plans import hybrid, knn
 
 
@@ -69,3 +70,16 @@ def test_tasks_shuffle_their_best_only(spark, monkeypatch):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(map(tuple, got.collect())) == want
     assert made[0].count() == 30 * 3 * spark.sparkContext.defaultParallelism
+
+
+def test_percentiles_meet_in_bounded_counts(spark):
+    """As percentile_disc gives them, and no aggregate holds all different values."""
+    rng = np.random.default_rng(6)
+    odd = [float("-inf"), float("inf"), float("nan"), -0.0, 0.0, 5e-324, None]
+    for values in (rng.standard_normal(997).tolist() + odd, [3.5] * 40, [None, -2.0], (rng.integers(-9, 9, 200) * 1e300).tolist(), odd):
+        times = spark.createDataFrame([(x,) for x in values], "ms double").repartition(5)
+        want = times.selectExpr(*[f"percentile_disc({p}) within group (order by ms) as p{i}" for i, p in enumerate((0.5, 0.95, 0.99))]).first()
+        got = evaluate.latency(times)
+        assert str(tuple(got.first())).replace("-0.0", "0.0") == str(tuple(want)).replace("-0.0", "0.0")
+        assert "percentile" not in got._jdf.queryExecution().toString()
+    assert tuple(evaluate.latency(times.limit(0)).first()) == (None, None, None)
