@@ -114,10 +114,34 @@ class Index:
         seg = self.state["next"]
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
         gone = rows.select("id", F.lit(None).cast("long").alias("len")).limit(0) if removed is None else removed.select(F.col(removed.columns[0]).cast("long").alias("id"), F.lit(None).cast("long").alias("len"))
-        lens = lengths(rows)
-        self._write(postings(rows, analyzer=self.state["analyzer"]).join(lens, "id"), lens.union(gone.join(rows.select("id"), "id", "left_anti")), seg)
+        each, lens = self._counted(rows, seg)
+        self._write(each, lens.union(gone.join(rows.select("id"), "id", "left_anti")), seg)
+        self.files.delete(f"counted-{seg}")
         self._commit([*self.state["segments"], seg], seg + 1)
 
+    def _counted(self, rows: DataFrame, seg: int) -> tuple[DataFrame, DataFrame]:
+        """Postings (term, id, tf, len) and lengths (id, len) of rows (id, text).
+
+        A text is cut into words once and its terms are counted in its row, so that no word is shuffled before the sort; the
+        counts are written, as the sort reads them twice.
+        """
+        one = lambda c: F.explode(F.array(c))  # noqa: E731  a generator's value is made once, whatever uses it
+        cut = rows.select("id", "text", one(words(F.col("text"))).alias("words"))
+        if self.state["analyzer"] == WORDS:
+            cut = cut.withColumn("terms", F.col("words"))
+        else:
+            cut = cut.select("*", one(terms(F.col("text"), self.state["analyzer"])).alias("terms"))
+        cut = cut.select("id", F.size("words").cast("long").alias("len"), one(F.array_sort("terms")).alias("terms"))
+        n = F.size("terms")
+        place = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        ends = F.filter(place, lambda i: (i == n - 1) | (F.get("terms", i) != F.get("terms", i + 1)))
+        marked = cut.select("id", "len", "terms", one(ends).alias("ends"))
+        runs = F.transform("ends", lambda e, i: F.struct(F.get("terms", e).alias("term"), (e - F.when(i == 0, -1).otherwise(F.get("ends", i - 1))).cast("long").alias("tf")))
+        path = f"{self.path}/counted-{seg}"
+        marked.select("id", "len", runs.alias("runs")).write.mode("overwrite").parquet(path)
+        kept = self.spark.read.schema("id long, len long, runs array<struct<term:string,tf:long>>").parquet(path)
+        return kept.select("id", "len", F.inline("runs")).select("term", "id", "tf", "len"), kept.select("id", "len")
+
     def merge(self) -> None:
         """One segment of all."""
         seg, live = self.state["next"], self.documents()

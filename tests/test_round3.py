@@ -3,8 +3,9 @@ from pyspark.sql import functions as F
 
 from quillon import queries
 from quillon.config import Metric
+from quillon.functions import text
 from quillon.functions.distance import kernel
-from quillon.operators import evaluate
+from quillon.operators import evaluate, keyword
 from quillon.plans import hybrid, knn
 
 
@@ -83,3 +84,18 @@ def test_percentiles_meet_in_bounded_counts(spark):
         assert str(tuple(got.first())).replace("-0.0", "0.0") == str(tuple(want)).replace("-0.0", "0.0")
         assert "percentile" not in got._jdf.queryExecution().toString()
     assert tuple(evaluate.latency(times.limit(0)).first()) == (None, None, None)
+
+
+def test_an_index_counts_terms_without_a_shuffle(spark, tmp_path, monkeypatch):
+    texts = {1: "b a b", 2: "", 3: None, 4: "zwei x zwei zwei", 5: "백업을 백업"}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(2)
+    for analyzer in (text.WORDS, text.KOREAN_NGRAM):
+        seen = []
+        monkeypatch.setattr(keyword.Index, "_write", lambda self, rows, lens, seg, seen=seen, write=keyword.Index._write: seen.append((rows._jdf.queryExecution().executedPlan().toString(), sorted(map(tuple, rows.collect())))) or write(self, rows, lens, seg))
+        index = keyword.Index.create(spark, str(tmp_path / analyzer), analyzer)
+        index.add(docs)
+        monkeypatch.undo()
+        plan, got = seen[0]
+        want = keyword.postings(docs, analyzer=analyzer).join(keyword.lengths(docs), "id").select("term", "id", "tf", "len")
+        assert got == sorted(map(tuple, want.collect())) and "Exchange" not in plan
+        assert sorted(r["id"] for r in index.documents().collect()) == [1, 2, 3, 4, 5]
